@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quantiles, splitting
+from . import neighbours, packing, quantiles, splitting
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,9 +52,19 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_containers(spark, sf_dir).where("n_pieces > 1 AND piece_no = 1").select("doc_id")
 
 
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embed_responses").select("response_id", "model", F.get("embeddings", F.lit(0)).alias("vector"))
+    return neighbours.similar_vectors(rows, "response_id", "model", "vector")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    close = p5_neighbours(spark, sf_dir).where("similarity >= 0.85")
+    return close.select(F.least("response_id", "neighbour").alias("response_a"), F.greatest("response_id", "neighbour").alias("response_b")).distinct()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p4_found, p4_daily_percentiles, p6_found, p6_containers)
+    for f in (p1_found, p1_pieces, p4_found, p4_daily_percentiles, p5_found, p5_neighbours, p6_found, p6_containers)
 }
 
 ORACLE_SQL: dict[str, str] = {
