@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neighbours, packing, quantiles, splitting
+from . import lookalikes, neighbours, packing, quantiles, splitting
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,20 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_pieces(spark, sf_dir).where("n_pieces > 1 AND piece_no = 1").select("result_id")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.lookalike_rows(_table(spark, sf_dir, "search_results"), "result_id", _table(spark, sf_dir, "patterns"), _table(spark, sf_dir, "chunks"))
+
+
+def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct title and path as it is written, with its one form."""
+    tables = [_table(spark, sf_dir, t).select(c) for t, c in (("search_results", "title"), ("search_results", "source_file"), ("chunks", "title"), ("patterns", "source_file"))]
+    texts = tables[0].toDF("written")
+    for t in tables[1:]:
+        texts = texts.union(t)
+    texts = texts.where("written IS NOT NULL").distinct()
+    return texts.withColumn("form", lookalikes.visual_form("written", lookalikes.learn(texts)))
+
+
 def _durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usable durations of PreToolUse records, each record once: ``agent, day_utc, duration_ms``."""
     agent = F.lower(F.regexp_replace("agent", r"(?U)^\s+|\s+$", ""))
@@ -64,7 +78,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p4_found, p4_daily_percentiles, p5_found, p5_neighbours, p6_found, p6_containers)
+    for f in (p1_found, p1_pieces, p2_found, p2_forms, p4_found, p4_daily_percentiles, p5_found, p5_neighbours, p6_found, p6_containers)
 }
 
 ORACLE_SQL: dict[str, str] = {
