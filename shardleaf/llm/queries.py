@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lookalikes, neighbours, packing, quantiles, splitting
+from . import leakage, lookalikes, neighbours, packing, quantiles, splitting
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,9 +76,18 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return close.select(F.least("response_id", "neighbour").alias("response_a"), F.greatest("response_id", "neighbour").alias("response_b")).distinct()
 
 
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and item that it discloses, with the share of the item's words that it holds."""
+    return leakage.find_leaks(_table(spark, sf_dir, "documents"), "doc_id", "text", _table(spark, sf_dir, "eval_items"), "item_id", "text")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p2_found, p2_forms, p4_found, p4_daily_percentiles, p5_found, p5_neighbours, p6_found, p6_containers)
+    for f in (p1_found, p1_pieces, p2_found, p2_forms, p4_found, p4_daily_percentiles, p5_found, p5_neighbours, p6_found, p6_containers, p7_found, p7_leaks)
 }
 
 ORACLE_SQL: dict[str, str] = {
