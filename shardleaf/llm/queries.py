@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leakage, lookalikes, neighbours, packing, quantiles, splitting
+from . import leakage, lookalikes, neighbours, packing, quantiles, readability, splitting
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,9 +85,20 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
+def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of prose, score and grade of every English document."""
+    ranker = readability.fit(_table(spark, sf_dir, "graded_samples"), "text", "grade")
+    english = _table(spark, sf_dir, "documents").where(F.lower(F.trim("lang")).rlike(r"^(?:en|eng|english)(?:[-_].*)?$"))
+    return readability.reading_levels(english, "doc_id", "text", ranker)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_levels(spark, sf_dir).select("doc_id", "grade")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p2_found, p2_forms, p4_found, p4_daily_percentiles, p5_found, p5_neighbours, p6_found, p6_containers, p7_found, p7_leaks)
+    for f in (p1_found, p1_pieces, p2_found, p2_forms, p4_found, p4_daily_percentiles, p5_found, p5_neighbours, p6_found, p6_containers, p7_found, p7_leaks, p8_found, p8_levels)
 }
 
 ORACLE_SQL: dict[str, str] = {
