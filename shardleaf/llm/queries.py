@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leakage, lookalikes, neighbours, packing, quantiles, readability, splitting
+from . import leakage, lookalikes, neighbours, packing, privacy, quantiles, readability, splitting
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,18 @@ def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.withColumn("form", lookalikes.visual_form("written", lookalikes.learn(texts)))
 
 
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both fields of every call, each call once, with placeholders in place of personal data."""
+    calls = _table(spark, sf_dir, "call_contexts").select("call_id", "command", "transcript_tail").dropDuplicates(["call_id"])
+    fields = F.explode(F.map_from_arrays(F.array(F.lit("command"), F.lit("transcript_tail")), F.array("command", "transcript_tail")))
+    texts = calls.select("call_id", fields.alias("field_name", "text")).where("text <> ''")
+    return privacy.redact(texts, "text", privacy.fit(texts.select("text"))).drop("text")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_redacted(spark, sf_dir).select("call_id", "field_name", F.explode("kinds").alias("kind"))
+
+
 def _durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Usable durations of PreToolUse records, each record once: ``agent, day_utc, duration_ms``."""
     agent = F.lower(F.regexp_replace("agent", r"(?U)^\s+|\s+$", ""))
@@ -98,7 +110,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p2_found, p2_forms, p4_found, p4_daily_percentiles, p5_found, p5_neighbours, p6_found, p6_containers, p7_found, p7_leaks, p8_found, p8_levels)
+    for f in (p1_found, p1_pieces, p2_found, p2_forms, p3_found, p3_redacted, p4_found, p4_daily_percentiles, p5_found, p5_neighbours, p6_found, p6_containers, p7_found, p7_leaks, p8_found, p8_levels)
 }
 
 ORACLE_SQL: dict[str, str] = {
