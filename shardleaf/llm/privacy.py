@@ -29,13 +29,13 @@ OTHER_WORDS = r"order|run|build|rows?|version|timeout|uuid|commit|ticket|port|sh
 PLACE_WORDS = r"moved to|lives? at|address|office|ship|disk to|says|street|geo\.py|deliver|visit|post to|send to"
 NAME_WORDS = r"my name is|author|reviewed|reported-by|signed-off-by|cc|hi|hello|dear|thanks|ask|by|as|who|subject|owner|assignee|rg|--|ping|regards"
 TITLES = r"Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Señora?|Mme|M"
-STARTERS = r"The|As|If|Hi|Hello|Dear|Ask|Thanks|Cc|Each|Every|This|That|My|Your|Our|Why|Reach|When|While|Once|After|Before|Until|Unless|Any|Some|A|An|All|One|Call|Text|Tel|Ping|SSN|DNI|NI|EOF|ETA"
+STARTERS = r"The|Personalausweis|Passport|As|If|Hi|Hello|Dear|Ask|Thanks|Cc|Each|Every|This|That|My|Your|Our|Why|Reach|When|While|Once|After|Before|Until|Unless|Any|Some|A|An|All|One|Call|Text|Tel|Ping|SSN|DNI|NI|EOF|ETA"
 TOOLS = r"packages?|scripts?|builds?|modules?|crates?|library|compiler|code|language|are headings"
 
 _L, _W = r"[\p{L}\p{M}]", r"[\p{L}\p{M}'’]+(?:-[\p{L}\p{M}'’]+)*"
 _CAP = rf"\p{{Lu}}(?:[\p{{L}}\p{{M}}'’]*\p{{L}}[\p{{M}}]*)(?:-\p{{Lu}}[\p{{L}}\p{{M}}]+)*"
 EMAIL = regex.compile(
-    r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+'-]*[\p{L}\p{N}](?:@|\s?[\[(]\s?at\s?[\])]\s?)[\p{L}\p{N}-]+(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?)[\p{L}\p{N}-]+)+"
+    r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+'-]*[\p{L}\p{N}](?:@|%40|\s?[\[(]\s?at\s?[\])]\s?)[\p{L}\p{N}-]+(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?)[\p{L}\p{N}-]+)+"
     r"|\b[\p{L}\p{N}._+-]+ at [\p{L}\p{N}-]+(?: dot [\p{L}\p{N}-]+)+\b",
     regex.I,
 )
@@ -56,6 +56,9 @@ _TOWN = regex.compile(rf"(?:[,\n]\s?(?:\d{{4,5}} )?{_CAP}(?: {_CAP})?)?(?:[,\n]\
 NAME = regex.compile(rf"(?<![\p{{L}}\p{{N}}_@#/.])(?!(?:{STARTERS})\b)(?:(?:{TITLES})\.? )?(?:\p{{Lu}}\. )?{_CAP}(?:,? (?!(?:{STARTERS})\b)(?:\p{{Lu}}\. )?(?:(?:van|von|de|der|den|da|di|la) )*{_CAP}){{0,2}}(?![\p{{L}}\p{{N}}_/=]|\.\w|@)")
 
 
+_COUNTED = regex.compile(r"\s(?:in \w+ (?:runs|tries|cases)|items|passed|ms|seconds|times|of the (?:schema|table))\b")
+
+
 def folded(text: str) -> str:
     """Full-width forms, dashes and blanks as plain ones, position by position, so that spans hold for the given text."""
     if text.isascii():
@@ -105,8 +108,9 @@ def candidates(text: str, given: frozenset[str]):
         votes = (
             1 if tail.isalpha() and len(tail) > 1 else -1,
             -1 if remote else 0,
-            -1 if local in LOGINS else 0,
+            -1 if local in LOGINS else 1,
             1 if _before(text, a, MAIL_WORDS) or text[a - 1 : a] in ("<", ":") else 0,
+            -1 if regex.search(r"(?:@|%40)\d", m[0]) or not regex.search(r"\p{L}{2,}$", m[0].rstrip(")] ")) else 1,
             1 if "@" not in m[0] or regex.search(r"[._+\d]", local) else 0,
         )
         mails.append((a, b))
@@ -130,7 +134,7 @@ def candidates(text: str, given: frozenset[str]):
         found.append(("address", a, end, votes))
     for m in _spans(text, NUMBER, taken):
         a, b = m.span()
-        other = _before(text, a, OTHER_WORDS, 22) and not _before(text, a, rf"row \d+ shows|{ID_WORDS}")
+        other = bool(_COUNTED.match(text, b)) or _before(text, a, OTHER_WORDS, 22) and not _before(text, a, rf"row \d+ shows|{ID_WORDS}")
         named = bool(regex.search(rf"(?<![\p{{L}}_])(?:{ID_WORDS})(?![\p{{L}}_])[^!?]{{0,14}}$", text[max(0, a - 34) : a], regex.I))
         form = regex.fullmatch(r"\d{3}-\d\d-\d{4}|[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-Z]|\d{8}-?[A-Z]|[A-Z]-?\d{7}-?[A-Z]", m[0])
         number = not named and bool(PHONE.fullmatch(m[0])) and _before(text, a, PHONE_WORDS)
@@ -144,7 +148,7 @@ def candidates(text: str, given: frozenset[str]):
         north = regex.fullmatch(r"(?:\+?1[-. ]?)?\(?\d{3}\)?[-. ]\d{3}[-. ]\d{4}|\d{3}-\d{4}|0\d{2,4} \d{3,4} ?\d{3,4}", groups)
         world = regex.match(r"\+\d|00[1-9]\d", groups)
         date = regex.fullmatch(r"(?:19|20)\d\d[-./]?\d\d[-./]?\d\d(?:[- ]\d+)?|\d{1,3}(?:\.\d{1,3}){3}", groups)
-        other = _before(text, a, OTHER_WORDS, 20)
+        other = bool(_COUNTED.match(text, b)) or _before(text, a, OTHER_WORDS, 20)
         votes = (1 if world else 0, 1 if north else -1 if not world else 0, 1 if _before(text, a, PHONE_WORDS) and not _before(text, a, "social security number|ni number") else 0, -1 if other or date else 1, 1 if groups != m[0] or "(" in m[0] else 0)
         found.append(("phone", a, b, votes))
         taken.append((a, b))
