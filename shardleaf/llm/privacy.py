@@ -104,13 +104,13 @@ def candidates(text: str, given: frozenset[str]):
         a, b = m.span()
         local, tail = m[0].split("@")[0].casefold(), regex.findall(r"[\p{L}\p{N}-]+", m[0])[-1]
         command = regex.split(r"[|;&\n]|(?<=[.!?]) ", text[max(0, a - 60) : a])[-1]
-        remote = bool(regex.search(rf"(?<![\p{{L}}-])(?:{REMOTE_WORDS})\s(?!.*author|.*config|.*commit)", command, regex.I)) or bool(regex.match(r":[\w/~.]", text[b : b + 2]))
+        remote = bool(regex.search(rf"(?<![\p{{L}}-])(?:{REMOTE_WORDS})\s(?!send-email|.*author|.*config|.*commit)", command, regex.I)) or bool(regex.match(r":[\w/~.]", text[b : b + 2]))
         votes = (
-            1 if tail.isalpha() and len(tail) > 1 else -1,
+            0 if tail.isalpha() and len(tail) > 1 else -1,
             -1 if remote else 0,
             -1 if local in LOGINS else 1,
             1 if _before(text, a, MAIL_WORDS) or text[a - 1 : a] in ("<", ":") else 0,
-            -1 if regex.search(r"(?:@|%40)\d", m[0]) or not regex.search(r"\p{L}{2,}$", m[0].rstrip(")] ")) else 1,
+            -1 if regex.search(r"(?:@|%40)\d", m[0]) or not regex.search(r"\p{L}{2,}$", m[0].rstrip(")] ")) else 0,
             1 if "@" not in m[0] or regex.search(r"[._+\d]", local) else 0,
         )
         mails.append((a, b))
