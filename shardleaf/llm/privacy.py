@@ -108,7 +108,7 @@ def candidates(text: str, given: frozenset[str]):
         votes = (
             0 if tail.isalpha() and len(tail) > 1 else -1,
             -1 if remote else 0,
-            -1 if local in LOGINS else 1,
+            -1 if local in LOGINS or not tail.isalpha() else 1,
             1 if _before(text, a, MAIL_WORDS) or text[a - 1 : a] in ("<", ":") else 0,
             -1 if regex.search(r"(?:@|%40)\d", m[0]) or not regex.search(r"\p{L}{2,}$", m[0].rstrip(")] ")) else 0,
             1 if "@" not in m[0] or regex.search(r"[._+\d]", local) else 0,
