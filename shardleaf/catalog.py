@@ -1,35 +1,17 @@
 """Registered queries of the core and the SQL that checks them."""
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shardleaf.functions import text as T
 from shardleaf.operators import documents, retrieval
+from shardleaf.plans import calls, index, traces  # noqa: F401  (they register their queries)
+from shardleaf.registry import ORACLE_SQL, QUERIES, SQL_WORDS, query  # noqa: F401
 from shardleaf.sources.tables import change_set, table
 from shardleaf.streaming import sessions
 
 FIELD_WEIGHTS = {"title": 10.0, "body": 1.0, "tags": 5.0, "source_file": 0.0}
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-#: Runs of letters, lower-cased, as the words of a text in SQL.
-SQL_WORDS = r"list_filter(string_split_regex(lower(coalesce({0}, '')), '[^\p{{L}}\p{{M}}]+'), lambda x: x <> '')"
-
-
 @query("SELECT source_file, title, tags, is_universal, applies_when_json IS NOT NULL AS has_predicate FROM patterns")
 def fil1_list_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "patterns").select("source_file", "title", "tags", "is_universal", F.col("applies_when_json").isNotNull().alias("has_predicate"))
@@ -40,9 +22,9 @@ def fil2_pinned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "patterns").where("is_universal AND applies_when_json IS NULL").select("source_file", "title", "raw_body")
 
 
-@query("SELECT source_file, running_bytes FROM (SELECT source_file, sum(octet_length(encode(raw_body)) + 1) OVER (ORDER BY source_file) AS running_bytes FROM patterns WHERE is_universal AND applies_when_json IS NULL) WHERE running_bytes <= 32768")
+@query("SELECT source_file, CAST(running_bytes AS BIGINT) AS running_bytes FROM (SELECT source_file, sum(octet_length(encode(raw_body)) + 1) OVER (ORDER BY source_file) AS running_bytes FROM patterns WHERE is_universal AND applies_when_json IS NULL) WHERE running_bytes <= 32768")
 def fil3_pinned_within_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.with_running_bytes(fil2_pinned(spark, sf_dir), "source_file", "raw_body", 32768).select("source_file", F.col("running_bytes").cast("decimal(38,0)").alias("running_bytes"))
+    return documents.with_running_bytes(fil2_pinned(spark, sf_dir), "source_file", "raw_body", 32768).select("source_file", "running_bytes")
 
 
 @query("""SELECT id, source_file FROM chunks WHERE language_json IS NULL OR coalesce(list_has_any(CASE WHEN json_valid(language_json) THEN from_json(language_json, '["VARCHAR"]') END, ['python', 'rust']), false)""")

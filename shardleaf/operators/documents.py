@@ -36,6 +36,11 @@ def chunk_by_heading(df: DataFrame, id_col: str, text_col: str, least_bytes: int
 
 
 def with_running_bytes(df: DataFrame, order_col: str, text_col: str, budget: int) -> DataFrame:
-    """Rows in order whose bytes, each with one more, stay within the budget, up to the first that does not."""
+    """Rows in order whose bytes, each with one more, stay within the budget, up to the first that does not.
+
+    Every row takes a byte at least, so no row beyond the first ``budget`` ones can fit: the running sum in one task is
+    over that many rows at most.
+    """
+    df = df.orderBy(order_col).limit(budget)
     w = Window.orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("running_bytes", F.sum(F.octet_length(text_col) + 1).over(w)).where(F.col("running_bytes") <= budget)

@@ -1,18 +1,33 @@
 """Per-session de-duplication and event counts, as batch windows and as streams with watermarks."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def first_in_session(df: DataFrame, session: str, key: str, order: list[str]) -> DataFrame:
+def first_in_session(df: DataFrame, session: str | list[str], key: str, order: list[str]) -> DataFrame:
     """Rows whose key appears for the first time in their session.
 
     A window over (session, key): a hot session is spread by its keys.
     """
-    w = Window.partitionBy(session, key).orderBy(*order)
+    w = Window.partitionBy(*([session] if isinstance(session, str) else session), key).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def with_epochs(df: DataFrame, session: str, at: str, order: list[str], reset: Column, slot: str = "hour") -> DataFrame:
+    """Rows with ``epoch``: the resets of their session up to and including the row.
+
+    Resets are counted by slot of time first; a second sum runs over a session's slots, not its rows, and a third over
+    the rows of one slot. So the rows of a hot session never meet in one task. A null session is one of its own.
+    """
+    rows = df.withColumn("_slot", F.date_trunc(slot, at)).withColumn("_reset", F.coalesce(reset, F.lit(False)).cast("long"))
+    slots = rows.groupBy(F.col(session).alias("_s"), F.col("_slot").alias("_t")).agg(F.sum("_reset").alias("_here"))
+    before = Window.partitionBy("_s").orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
+    slots = slots.withColumn("_before", F.coalesce(F.sum("_here").over(before), F.lit(0))).drop("_here")
+    both = rows.join(slots, F.col(session).eqNullSafe(F.col("_s")) & F.col("_slot").eqNullSafe(F.col("_t")))
+    inside = Window.partitionBy(session, "_slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("epoch", F.col("_before") + F.sum("_reset").over(inside)).drop("_slot", "_reset", "_s", "_t", "_before")
+
+
 def dedup_stream(stream: DataFrame, session: str, key: str, event_time: str, delay: str = "3 days") -> DataFrame:
     """A stream with each (session, key) once within the watermark; state leaves with it."""
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([session, key])
