@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shardleaf.functions import text as T
+from shardleaf.functions.languages import TOKENS
 from shardleaf.operators import documents, retrieval
 from shardleaf.plans import calls, index, traces  # noqa: F401  (they register their queries)
 from shardleaf.registry import ORACLE_SQL, QUERIES, SQL_WORDS, query  # noqa: F401
@@ -92,14 +93,16 @@ def _search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("terms", words)
 
 
-_BM25_SQL = f"""
+_BM25_CTES = f"""
 WITH asked AS (SELECT DISTINCT query AS qid, unnest(list_filter(list_distinct({SQL_WORDS.format("query")}), lambda x: x NOT IN ('and', 'or', 'not'))) AS term FROM trace_records WHERE query <> ''),
 tok AS (SELECT id, unnest({SQL_WORDS.format("title")}) AS term, 10.0::DOUBLE AS w FROM chunks UNION ALL SELECT id, unnest({SQL_WORDS.format("body")}), 1.0 FROM chunks
   UNION ALL SELECT id, unnest({SQL_WORDS.format("tags")}), 5.0 FROM chunks UNION ALL SELECT id, unnest({SQL_WORDS.format("source_file")}), 0.0 FROM chunks),
 post AS (SELECT id, term, sum(w) AS hits FROM tok GROUP BY ALL), len AS (SELECT id, count(*) AS d FROM tok GROUP BY id),
 st AS (SELECT (SELECT count(*) FROM chunks) AS n, (SELECT count(*) FROM tok) / (SELECT count(*) FROM chunks) AS av),
-idf AS (SELECT term, greatest(ln((st.n - count(*) + 0.5) / (count(*) + 0.5)), 1e-6) AS v FROM post, st GROUP BY term, st.n)
-SELECT qid, id, round(sum(v * hits * 2.2 / (hits + 1.2 * (0.25 + 0.75 * d / st.av))), 6) AS score FROM asked JOIN post USING (term) JOIN len USING (id) JOIN idf USING (term), st GROUP BY qid, id"""
+idf AS (SELECT term, greatest(ln((st.n - count(*) + 0.5) / (count(*) + 0.5)), 1e-6) AS v FROM post, st GROUP BY term, st.n)"""
+_PART_SQL = "v * hits * 2.2 / (hits + 1.2 * (0.25 + 0.75 * d / st.av))"
+_BM25_SQL = f"""{_BM25_CTES}
+SELECT qid, id, round(sum({_PART_SQL}), 6) AS score FROM asked JOIN post USING (term) JOIN len USING (id) JOIN idf USING (term), st GROUP BY qid, id"""
 
 
 @query(f"SELECT qid, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM ({_BM25_SQL})) WHERE rank <= 10")
@@ -109,6 +112,26 @@ def ret1_lexical_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.ranked(scores.withColumn("score", F.round("score", 6)), "qid", "score", "id", 10).select("qid", "id", "rank")
 
 
+_KNOWN_SQL = f"term IN ({', '.join(map(repr, TOKENS))})"
+
+
+@query(
+    f"""{_BM25_CTES},
+s AS (SELECT qid, id, round(sum({_PART_SQL}), 6) AS whole, round(sum({_PART_SQL}) FILTER (NOT {_KNOWN_SQL}), 6) AS by_terms, bool_or({_KNOWN_SQL}) AS hl, bool_or(NOT {_KNOWN_SQL}) AS ht FROM asked JOIN post USING (term) JOIN len USING (id) JOIN idf USING (term), st GROUP BY qid, id),
+n AS (SELECT qid, list(term) FILTER ({_KNOWN_SQL}) AS langs, count(*) FILTER ({_KNOWN_SQL}) AS nl, count(*) FILTER (NOT {_KNOWN_SQL}) AS nt FROM asked GROUP BY qid),
+r AS (SELECT s.*, n.* EXCLUDE (qid), language_json FROM s JOIN n USING (qid) JOIN chunks USING (id)),
+l AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY whole DESC, id) AS rank FROM r WHERE language_json IS NULL AND (nl = 0 OR hl) AND (nt = 0 OR ht)
+  UNION ALL SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY by_terms DESC, id) FROM r WHERE ht AND coalesce(list_has_any(CASE WHEN json_valid(language_json) THEN from_json(language_json, '["VARCHAR"]') END, langs), false))
+SELECT qid, id, round(sum(1 / (60 + rank)) / (2 / 61), 9) AS fused FROM l WHERE rank <= 10 GROUP BY qid, id"""
+)
+def ret5_gated_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fallback and structural lists of every query that the traces hold, ten of each, fused."""
+    known = F.array(*map(F.lit, TOKENS))
+    asked = _search_terms(spark, sf_dir).select("qid", F.array_intersect("terms", known).alias("langs"), F.array_except("terms", known).alias("words"))
+    lists = retrieval.gated_lexical(table(spark, sf_dir, "chunks"), "id", FIELD_WEIGHTS, "language_json", asked, "qid", "langs", "words")
+    return retrieval.fuse([retrieval.ranked(x, "qid", "score", "id", 10) for x in lists], "qid", "id").withColumn("fused", F.round("fused", 9))
+
+
 @query(
     "SELECT query_id, vec_id, rank FROM (SELECT q.vec_id AS query_id, c.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), c.vec_id) AS rank "
     "FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0) WHERE rank <= 10"

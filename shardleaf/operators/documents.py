@@ -15,24 +15,32 @@ def headings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def chunk_by_heading(df: DataFrame, id_col: str, text_col: str, least_bytes: int = 10) -> DataFrame:
     """``id_col, chunk_no, heading_path, title, body`` of every section whose trimmed body has ``least_bytes``.
 
-    The body holds its own heading line. The path has the titles of the enclosing headings, outermost first. All
-    steps are expressions on one document's array of lines, so a document never needs a shuffle.
+    The body holds its own heading line. The path has the titles of the enclosing headings, outermost first; what
+    stands before the first heading has an empty path. Null and empty texts have no chunk, repeated rows their own.
+    All steps are expressions on one document's lines: no shuffle, and work in proportion to the lines (a fold runs
+    over headings only).
     """
-    lines = F.split(F.regexp_replace(F.col(text_col), r"\A---\r?\n(?s:.*?)\n---\n*", ""), r"\r\n|\r|\n")
     mark = r"^\s*(#{1,6})(?!#)\s*(.*?)\s*$"
-
-    def step(acc, line):
-        level, name = F.length(F.regexp_extract(line, mark, 1)), F.regexp_extract(line, mark, 2)
-        head = (level > 0) & (name != "")
-        outer = F.filter(acc["stack"], lambda h: h["level"] < level)
-        stack = F.when(head, F.array_append(outer, F.struct(level.alias("level"), name.alias("name")))).otherwise(acc["stack"])
-        return F.struct((acc["no"] + F.when(head, 1).otherwise(0)).alias("no"), stack.alias("stack"), F.array_append(acc["out"], F.struct((acc["no"] + F.when(head, 1).otherwise(0)).alias("no"), F.array_join(F.transform(stack, lambda h: h["name"]), " > ").alias("path"), line.alias("line"))).alias("out"))
-
-    zero = F.struct(F.lit(0).alias("no"), F.expr("cast(array() as array<struct<level:int,name:string>>)").alias("stack"), F.expr("cast(array() as array<struct<no:int,path:string,line:string>>)").alias("out"))
-    marked = df.select(id_col, F.posexplode(F.aggregate(lines, zero, step)["out"]).alias("_at", "_l"))
-    parts = marked.groupBy(id_col, F.col("_l.no").alias("chunk_no"), F.col("_l.path").alias("heading_path")).agg(F.array_sort(F.collect_list(F.struct("_at", "_l.line"))).alias("_lines"))
-    body = F.regexp_replace(F.array_join(F.transform("_lines", lambda x: x["line"]), "\n"), r"\A\s+|\s+\z", "")
-    return parts.withColumn("body", body).where(F.octet_length("body") >= least_bytes).withColumn("title", F.element_at(F.split("heading_path", " > "), -1)).drop("_lines")
+    text = F.regexp_replace(F.col(text_col), r"\A---\r?\n(?s:.*?)\n---\n*", "")
+    rows = df.select(F.col(id_col).alias("_id"), F.split(text, r"\r\n|\r|\n").alias("_lines"))
+    marked = F.transform("_lines", lambda x, i: F.struct(i.alias("at"), F.length(F.regexp_extract(x, mark, 1)).alias("level"), F.regexp_extract(x, mark, 2).alias("name")))
+    rows = rows.withColumn("_heads", F.filter(marked, lambda h: (h["level"] > 0) & (h["name"] != "")))
+
+    def step(acc, head):
+        stack = F.array_append(F.filter(acc["stack"], lambda h: h["level"] < head["level"]), head)
+        path = F.array_join(F.transform(stack, lambda h: h["name"]), " > ")
+        return F.struct(stack.alias("stack"), F.array_append(acc["out"], F.struct(head["at"].alias("at"), path.alias("path"), head["name"].alias("name"))).alias("out"))
+
+    zero = F.struct(F.expr("cast(array() as array<struct<at:int,level:int,name:string>>)").alias("stack"), F.expr("array(struct(0 as at, '' as path, '' as name))").alias("out"))
+    rows = rows.withColumn("_parts", F.aggregate("_heads", zero, step)["out"])
+
+    def section(part, i):
+        end = F.coalesce(F.get(F.col("_parts"), i + 1)["at"], F.size("_lines"))
+        body = F.array_join(F.slice(F.col("_lines"), part["at"] + 1, end - part["at"]), "\n")
+        return F.struct(i.alias("chunk_no"), part["path"].alias("heading_path"), part["name"].alias("title"), F.regexp_replace(body, r"\A\s+|\s+\z", "").alias("body"))
+
+    cut = rows.select("_id", F.explode(F.transform("_parts", section)).alias("_c")).where(F.octet_length("_c.body") >= least_bytes)
+    return cut.select(F.col("_id").alias(id_col), "_c.*")
 
 
 def with_running_bytes(df: DataFrame, order_col: str, text_col: str, budget: int) -> DataFrame:

@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardleaf.functions.text import split_into_words
+from shardleaf.functions.text import json_list, split_into_words
 
 K1, B, RRF_K = 1.2, 0.75, 60
 
@@ -22,14 +22,13 @@ def postings(df: DataFrame, id_col: str, weights: dict[str, float]) -> DataFrame
     return rows.groupBy(id_col, F.col("_t.term").alias("term")).agg(F.sum("_t.w").alias("hits"), F.count(F.lit(1)).alias("n"))
 
 
-def bm25(df: DataFrame, id_col: str, weights: dict[str, float], queries: DataFrame, query_id: str, terms_col: str) -> DataFrame:
-    """``query_id, id_col, score`` of every row that holds any term of the query; higher is better.
+def _parts(df: DataFrame, id_col: str, weights: dict[str, float], asked: DataFrame) -> DataFrame:
+    """Rows of ``asked`` (a term and how many ``times``) with every row that holds the term and its ``part`` of the score.
 
     Terms of all queries meet postings in one equi-join, before which unused postings are gone. Length and frequency
-    statistics come from the whole table. Scores add up per pair with partial sums before the shuffle.
+    statistics come from the whole table.
     """
     posts = postings(df, id_col, weights)
-    asked = queries.select(query_id, F.explode(terms_col).alias("term")).groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("times"))
     lengths = posts.groupBy(id_col).agg(F.sum("n").alias("length"))
     whole = df.agg(F.count(F.lit(1)).alias("rows_total"))
     mean = lengths.agg(F.sum("length").alias("length_total"))
@@ -40,7 +39,39 @@ def bm25(df: DataFrame, id_col: str, weights: dict[str, float], queries: DataFra
     tf, length = F.col("hits"), F.col("length") / F.col("mean_length")
     part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length))
     scored = used.join(lengths, id_col).join(idf, "term").select(id_col, "term", "hits", "length", "idf", "mean_length").join(asked, "term")
-    return scored.groupBy(query_id, id_col).agg(F.sum(part).alias("score"))
+    return scored.select(*asked.columns, id_col, part.alias("part"))
+
+
+def bm25(df: DataFrame, id_col: str, weights: dict[str, float], queries: DataFrame, query_id: str, terms_col: str) -> DataFrame:
+    """``query_id, id_col, score`` of every row that holds any term of the query; higher is better.
+
+    A term that a query repeats counts as often. Scores add up per pair with partial sums before the shuffle.
+    """
+    asked = queries.select(query_id, F.explode(terms_col).alias("term")).groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("times"))
+    return _parts(df, id_col, weights, asked).groupBy(query_id, id_col).agg(F.sum("part").alias("score"))
+
+
+def gated_lexical(df: DataFrame, id_col: str, weights: dict[str, float], declared_col: str, queries: DataFrame, query_id: str, languages_col: str, terms_col: str, digits: int = 6) -> tuple[DataFrame, DataFrame]:
+    """Two scored lists ``query_id, id_col, score`` that share no row: the fallback and the structural one.
+
+    The fallback holds rows that declare no language and have any of the query's languages as a word (where it has
+    languages) and any of its terms (where it has terms). The structural list holds rows that declare a language of the
+    query and have any of its terms; a query without languages or without terms has none. ``declared_col`` is a JSON
+    list. Scores are rounded so that sums in another order tie alike. One pass over the postings serves both lists.
+    """
+    none = F.array().cast("array<string>")
+    roles = F.concat(
+        F.transform(F.coalesce(languages_col, none), lambda t: F.struct(t.alias("term"), F.lit(True).alias("spoken"))),
+        F.transform(F.coalesce(terms_col, none), lambda t: F.struct(t.alias("term"), F.lit(False).alias("spoken"))),
+    )
+    asked = queries.select(query_id, F.explode(roles).alias("_r")).groupBy(query_id, F.col("_r.term").alias("term"), F.col("_r.spoken").alias("spoken")).agg(F.count(F.lit(1)).alias("times"))
+    sums = _parts(df, id_col, weights, asked).groupBy(query_id, id_col).agg(F.sum("part").alias("whole"), F.sum(F.when(~F.col("spoken"), F.col("part"))).alias("by_terms"), F.bool_or("spoken").alias("has_language"), F.bool_or(~F.col("spoken")).alias("has_term"))
+    gates = df.select(id_col, F.col(declared_col).isNull().alias("undeclared"), json_list(F.col(declared_col)).alias("declared"))
+    wanted = queries.select(query_id, F.coalesce(languages_col, none).alias("langs"), F.coalesce(terms_col, none).alias("words"))
+    rows = sums.join(gates, id_col).join(wanted, query_id)
+    fallback = rows.where(F.col("undeclared") & ((F.size("langs") == 0) | F.col("has_language")) & ((F.size("words") == 0) | F.col("has_term")))
+    structural = rows.where(F.col("has_term") & F.coalesce(F.arrays_overlap("declared", "langs"), F.lit(False)))
+    return fallback.select(query_id, id_col, F.round("whole", digits).alias("score")), structural.select(query_id, id_col, F.round("by_terms", digits).alias("score"))
 
 
 def ranked(df: DataFrame, query_id: str, score: str, id_col: str, limit: int, ascending: bool = False) -> DataFrame:
