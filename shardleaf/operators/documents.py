@@ -23,7 +23,8 @@ def chunk_by_heading(df: DataFrame, id_col: str, text_col: str, least_bytes: int
     mark = r"^\s*(#{1,6})(?!#)\s*(.*?)\s*$"
     text = F.regexp_replace(F.col(text_col), r"\A---\r?\n(?s:.*?)\n---\n*", "")
     rows = df.select(F.col(id_col).alias("_id"), F.split(text, r"\r\n|\r|\n").alias("_lines"))
-    marked = F.transform("_lines", lambda x, i: F.struct(i.alias("at"), F.length(F.regexp_extract(x, mark, 1)).alias("level"), F.regexp_extract(x, mark, 2).alias("name")))
+    hashed = F.filter(F.transform("_lines", lambda x, i: F.struct(i.alias("at"), x.alias("line"))), lambda x: F.ltrim(x["line"]).startswith("#") | x["line"].rlike(r"^\s+#"))
+    marked = F.transform(hashed, lambda x: F.struct(x["at"].alias("at"), F.length(F.regexp_extract(x["line"], mark, 1)).alias("level"), F.regexp_extract(x["line"], mark, 2).alias("name")))
     rows = rows.withColumn("_heads", F.filter(marked, lambda h: (h["level"] > 0) & (h["name"] != "")))
 
     def step(acc, head):

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from shardleaf.functions import languages
 from shardleaf.functions import text as T
+from shardleaf.functions.embedding import embed, hashed_vectors
 from shardleaf.functions.ignore import ignored
+from shardleaf.functions.stem import stems
 from shardleaf.operators import index
 from shardleaf.registry import query
 from shardleaf.sources.tables import table
@@ -57,6 +59,20 @@ def ret12_embedding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "chunks").select("id", index.embedding_text(F.col("title"), F.col("tags"), F.col("body")).alias("embedded"))
 
 
+@query()
+def ret14_chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector for every chunk, by the backend for tests."""
+    return embed(ret12_embedding_texts(spark, sf_dir), "id", "embedded", hashed_vectors(64))
+
+
+@query()
+def ret1_stemmed_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks for each stem of their bodies' words: each distinct word is stemmed once."""
+    words = table(spark, sf_dir, "chunks").select("id", F.explode(T.split_into_words(F.col("body"))).alias("word")).distinct()
+    known = words.select("word").distinct().withColumn("stem", stems(F.array("word"))[0])
+    return words.join(known, "word").select("id", "stem").distinct().groupBy("stem").agg(F.count(F.lit(1)).alias("chunks"))
+
+
 @query("SELECT source_file, CAST(sum(octet_length(encode(body))) AS BIGINT) AS bytes FROM chunks WHERE is_universal GROUP BY source_file HAVING sum(octet_length(encode(body))) > 8192")
 def agg7_oversized_universal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pinned sources too large to be pinned."""

@@ -1,3 +1,4 @@
+import regex
 from pyspark.sql import functions as F
 
 from shardleaf.functions.ignore import ignored
@@ -48,3 +49,19 @@ def test_epochs(spark):
     df = spark.createDataFrame(rows, "s string, at string, n int, e string").withColumn("at", F.to_timestamp("at"))
     got = {r.n: r.epoch for r in sessions.with_epochs(df, "s", "at", ["at", "n"], F.col("e") == "reset").collect()}
     assert got == {1: 0, 2: 1, 3: 1, 4: 1, 5: 2, 6: 2, 7: 0, 8: 0}
+
+
+def test_registered_queries_without_sql(spark, sf_dir):
+    from shardleaf.catalog import QUERIES
+    from shardleaf.functions.stem import stem
+
+    chunks = spark.read.parquet(f"{sf_dir}/chunks.parquet").collect()
+    vectors = QUERIES["ret14_chunk_vectors"](spark, sf_dir).collect()
+    assert {r.id for r in vectors} == {r.id for r in chunks} and all(len(r.embedding) == 64 for r in vectors)
+    want = {}
+    for r in chunks:
+        for s in {stem(w) for w in regex.findall(r"[\p{L}\p{M}]+", r.body.lower())}:
+            want[s] = want.get(s, 0) + 1
+    assert {r.stem: r.chunks for r in QUERIES["ret1_stemmed_postings"](spark, sf_dir).collect()} == want
+    asked = QUERIES["qry1_call_queries"](spark, sf_dir).collect()
+    assert asked and all(r.query and (r.languages or r.terms) for r in asked)
