@@ -2,13 +2,13 @@
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
-    """Places of the rows of ``cells`` (n x m, integers below 2**bits) along the Hilbert curve (Skilling 2004), m * bits <= 63."""
+    """Places of the rows of ``cells`` (n x m, integers below 2**bits) along the Hilbert curve (Skilling 2004), as rows of bytes, most significant first."""
     x = cells.astype(np.int64).T.copy()
     for level in range(bits - 1, 0, -1):
         top, low = 1 << level, (1 << level) - 1
@@ -23,11 +23,7 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     for level in range(bits - 1, 0, -1):
         flip ^= np.where((x[-1] >> level) & 1, (1 << level) - 1, 0)
     x ^= flip
-    key = np.zeros(x.shape[1], np.int64)
-    for level in range(bits - 1, -1, -1):
-        for row in x:
-            key = (key << 1) | ((row >> level) & 1)
-    return key
+    return np.packbits(np.stack([(row >> level) & 1 for level in range(bits - 1, -1, -1) for row in x], axis=1).astype(np.uint8), axis=1)
 
 
 def _ordering(number: int, dims: int, axes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -37,20 +33,30 @@ def _ordering(number: int, dims: int, axes: int) -> tuple[np.ndarray, np.ndarray
     return basis[:, :axes] * np.sqrt(dims) / 3, rng.uniform(-0.5, 0.5, axes)
 
 
-def _near(vectors: np.ndarray, first: int, last: int, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For rows first to last: the places and cosines of the k most similar rows within the window on either side."""
-    n, rows = len(vectors), np.arange(first, last)
-    steps = np.concatenate([np.arange(-window, 0), np.arange(1, window + 1)])
-    cosines = np.full((len(rows), len(steps)), -np.inf)
-    for c, step in enumerate(steps):
-        a, b = max(first, -step), min(last, n - step)
-        if a < b:
-            cosines[a - first : b - first, c] = np.einsum("ij,ij->i", vectors[a:b], vectors[a + step : b + step])
-    best = np.argsort(-cosines, axis=1, kind="stable")[:, :k]
-    return rows[:, None] + steps[best], np.round(np.take_along_axis(cosines, best, 1), 6)
+def _near(vectors: np.ndarray, ids: np.ndarray, first: int, last: int, window: int, k: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """For rows first to last: the places and cosines of the k most similar rows, ties by id; infinity where there are fewer.
 
-
-def similar_vectors(df: DataFrame, id_col: str, group_col: str, vector_col: str, k: int = 5, orderings: int = 20, window: int = 32, axes: int = 12, bits: int = 4, task_rows: int = 20_000) -> DataFrame:
+    Rows are compared in blocks, each with all rows of its block and at least ``window`` rows on either side. Sums of
+    products of halves are exact in double precision, so a pair has the same cosine wherever it is met.
+    """
+    n, norms, by_id = len(vectors), np.sqrt((vectors**2).sum(1)), np.empty(len(vectors))
+    by_id[np.argsort(ids, kind="stable")] = np.arange(n)
+    places, cosines = np.zeros((last - first, k), int), np.full((last - first, k), -np.inf)
+    for at in range(first, last, block):
+        end = min(last, at + block)
+        a, b = max(0, at - window), min(n, end + window)
+        loss = -np.rint(vectors[at:end] @ vectors[a:b].T / np.outer(norms[at:end], norms[a:b]) * 1e6)
+        order = loss * n + by_id[a:b]
+        order[np.arange(end - at), np.arange(at, end) - a] = np.inf
+        most = min(k, b - a)
+        best = np.argpartition(order, most - 1, axis=1)[:, :most]
+        best = np.take_along_axis(best, np.argsort(np.take_along_axis(order, best, 1), axis=1), 1)
+        places[at - first : end - first, :most] = best + a
+        cosines[at - first : end - first, :most] = np.where(np.isfinite(np.take_along_axis(order, best, 1)), -np.take_along_axis(loss, best, 1) / 1e6, -np.inf)
+    return places, cosines
+
+
+def similar_vectors(df: DataFrame, id_col: str, group_col: str, vector_col: str, k: int = 5, orderings: int = 20, window: int = 32, axes: int = 12, bits: int = 15, task_rows: int = 20_000) -> DataFrame:
     """``id_col, neighbour, similarity, rank``: the k vectors of the same group most similar (cosine) to each vector.
 
     Vectors are usable if they are not null, hold no null, NaN or infinity, and are not all zeros; others have no row
@@ -58,37 +64,48 @@ def similar_vectors(df: DataFrame, id_col: str, group_col: str, vector_col: str,
     be unique: rows that repeat id, group and vector count once. Equal similarities rank by id. A vector without
     another one in its group has no row. Other columns are ignored, whatever their names.
 
-    Every vector is projected on ``axes`` random directions, shifted and given its place on a Hilbert curve, once per
-    ordering. Each ordering is range-partitioned and sorted by place and id (so a crowd of equal vectors is split, too);
-    a vector is compared with ``window`` rows before and after it. The results of all orderings merge. What is lost:
-    neighbours that no ordering brings within the window, or that a border between tasks parts in each of them. Vectors
-    travel in half precision, so cosines are right to about 0.0005.
+    Vectors travel in half precision, so cosines are right to about 0.0005; those equal in it are one vector: the
+    smallest id stands for its copies in all orderings, and the copies come back, by id, before neighbours are chosen.
+    Every such vector is projected on ``axes`` random directions, shifted and given its place on a Hilbert curve of so
+    many ``bits`` that a crowd of very similar vectors is still spread along it, once per ordering. Each ordering is
+    range-partitioned and sorted by place; a vector is compared with at least ``window`` rows before and after it.
+    The results of all orderings merge. What is lost: neighbours
+    that no ordering brings within the window, or that a border between tasks parts in each of them.
     """
-    axes_fit = min(axes, 63 // bits)
     value = F.col(vector_col).cast("array<float>")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     usable = F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & ~F.coalesce(F.exists(value, bad), F.lit(True)) & F.coalesce(F.exists(value, lambda x: x != 0), F.lit(False))
-    given = df.where(usable).select(F.col(id_col).alias("id"), F.col(group_col).cast("string").alias("grp"), value.alias("v")).distinct()
+    given = df.where(usable).select(F.col(id_col).alias("id"), F.col(group_col).cast("string").alias("grp"), value.alias("v"))
     kind = given.schema["id"].dataType
-    keyed_schema = T.StructType([T.StructField("id", kind), T.StructField("grp", T.StringType()), T.StructField("dims", T.IntegerType()), T.StructField("vec", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    half_fields = [T.StructField("id", kind), T.StructField("grp", T.StringType()), T.StructField("dims", T.IntegerType()), T.StructField("vec", T.BinaryType())]
+    keyed_schema = T.StructType([*half_fields, T.StructField("n", T.LongType()), T.StructField("keys", T.ArrayType(T.BinaryType()))])
 
-    def place(batches):
+    def halve(batches):
         for pdf in batches:
             for dims, part in pdf.groupby(pdf["v"].map(len), sort=False):
                 x = np.stack(part["v"].to_numpy()).astype(np.float64)
                 x /= np.abs(x).max(axis=1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
+                half = x.astype(np.float16) + np.float16(0)  # no negative zeros
+                yield pd.DataFrame({"id": part["id"], "grp": part["grp"], "dims": dims, "vec": [r.tobytes() for r in half]})
+
+    def place(batches):
+        for pdf in batches:
+            for dims, part in pdf.groupby("dims", sort=False):
+                x = np.frombuffer(b"".join(part["vec"]), np.float16).reshape(-1, dims).astype(np.float64)
                 keys = []
                 for number in range(orderings):
-                    projection, shift = _ordering(number, dims, min(axes_fit, dims))
+                    projection, shift = _ordering(number, dims, min(axes, dims))
                     unit = np.clip((x @ projection + shift + 1.5) / 3, 0, 1 - 1e-9)
-                    keys.append(hilbert_keys((unit * (1 << bits)).astype(np.int64), bits))
-                half = x.astype(np.float16)
-                yield pd.DataFrame({"id": part["id"], "grp": part["grp"], "dims": dims, "vec": [r.tobytes() for r in half], "keys": list(np.stack(keys, axis=1))})
+                    keys.append([r.tobytes() for r in hilbert_keys((unit * (1 << bits)).astype(np.int64), bits)])
+                yield part.assign(keys=list(zip(*keys)))
 
+    rows = given.mapInPandas(halve, T.StructType(half_fields)).distinct().checkpoint()
+    alike = rows.groupBy("grp", "dims", "vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).select("id", "grp", "dims", "vec", "n")
     # Written once: the range partitioning looks at the keys before it moves them.
-    keyed = given.mapInPandas(place, keyed_schema).checkpoint()
-    tasks = max(1, -(-keyed.count() * orderings // task_rows))
+    keyed = alike.mapInPandas(place, keyed_schema).checkpoint()
+    vectors = keyed.count()
+    tasks = max(1, -(-vectors * orderings // task_rows))
     line = keyed.select("id", "grp", "dims", "vec", F.posexplode("keys").alias("ordering", "key"))
     order = ["ordering", "grp", "dims", "key", "id"]
     line = line.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
@@ -111,7 +128,18 @@ def similar_vectors(df: DataFrame, id_col: str, group_col: str, vector_col: str,
 
     found = line.mapInPandas(compare, near_schema)
     merged = found.groupBy("id").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
-    out = merged.select("id", F.posexplode("near").alias("at", "x"))
+
+    # Copies come back: k of them and one more, as a row is none of its own neighbours.
+    many = keyed.where("n > 1").select(F.col("id").alias("one"), F.col("grp").alias("_g"), F.col("dims").alias("_d"), F.col("vec").alias("_v"))
+    copies = rows.join(many, rows["grp"].eqNullSafe(many["_g"]) & (rows["dims"] == many["_d"]) & (rows["vec"] == many["_v"])).select("one", "id")
+    first = copies.withColumn("_n", F.row_number().over(Window.partitionBy("one").orderBy("id"))).where(F.col("_n") <= k + 1)
+    first = first.groupBy("one").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    pairs = merged.select("id", F.explode("near").alias("x")).select(F.col("id").alias("from"), "x.loss", F.col("x.id").alias("one")).join(first, "one", "left")
+    pairs = pairs.select("from", "loss", F.explode(F.coalesce("ids", F.array("one"))).alias("id"))
+    own = first.select(F.col("one").alias("from"), F.lit(-1.0).alias("loss"), F.explode("ids").alias("id"))
+    best = pairs.union(own).groupBy("from").agg(F.slice(F.sort_array(F.collect_list(F.struct("loss", "id"))), 1, k + 1).alias("near"))
+    every = copies.union(keyed.where("n = 1").select("id", "id")).toDF("from", "id").join(best, "from")
+    out = every.select("id", F.posexplode(F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k)).alias("at", "x"))
     return out.select(F.col("id").alias(id_col), F.col("x.id").alias("neighbour"), (-F.col("x.loss")).alias("similarity"), (F.col("at") + 1).alias("rank"))
 
 
@@ -134,7 +162,7 @@ def _runs(batches):
 def _answers(held: pd.DataFrame, first: int, last: int, window: int, k: int) -> pd.DataFrame:
     dims = int(held["dims"].iloc[0])
     vectors = np.frombuffer(b"".join(held["vec"]), np.float16).reshape(-1, dims).astype(np.float64)
-    at, cosines = _near(vectors, first, last, window, k)
     ids = held["id"].to_list()
+    at, cosines = _near(vectors, held["id"].to_numpy(), first, last, window, k)
     near = [[{"loss": -c, "id": ids[p]} for p, c in zip(row, cos) if np.isfinite(c)] for row, cos in zip(at, cosines)]
     return pd.DataFrame({"id": ids[first:last], "near": near})

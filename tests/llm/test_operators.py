@@ -94,6 +94,27 @@ def test_neighbours_recall(spark):
     assert np.mean([(i, j) in found for i in range(1500) for j in true[i]]) >= 0.9
 
 
+def test_neighbours_in_a_crowd_and_among_copies(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=64) / 8
+    crowd = base + 0.003 * rng.normal(size=(6000, 64))
+    rows = [(i, "m", v.tolist()) for i, v in zip(rng.permutation(6000).tolist(), crowd)] + [(10_000 + i, "m", (-base * (1 + i % 7)).tolist()) for i in range(400)]
+    got = neighbours.similar_vectors(spark.createDataFrame(rows, "id bigint, model string, v array<double>"), "id", "model", "v").collect()
+    found = {}
+    for r in got:
+        found.setdefault(r.id, {})[r["rank"]] = (r.neighbour, r.similarity)
+    assert len(found) == 6400 and all(len(x) == 5 for x in found.values())
+    for i in range(10_000, 10_400):
+        assert [found[i][r] for r in range(1, 6)] == [(j, 1.0) for j in range(10_000, 10_006) if j != i][:5]
+    ids = np.array([r[0] for r in rows[:6000]])
+    unit = crowd / np.linalg.norm(crowd, axis=1, keepdims=True)
+    at = np.arange(0, 6000, 10)
+    cos = unit[at] @ unit.T
+    cos[np.arange(len(at)), at] = -2
+    true = ids[np.argsort(-cos, axis=1)[:, :5]]
+    assert np.mean([j in {n for n, _ in found[i].values()} for i, js in zip(ids[at].tolist(), true) for j in js]) >= 0.9
+
+
 def test_packing(spark):
     rng = random.Random(2)
     sizes = [rng.choice([50, 300, 900, 1500, 2500]) + rng.randint(0, 300) for _ in range(1500)] + [4096, 4097, 10000]
