@@ -1,5 +1,7 @@
 """The k most similar vectors of every vector, from neighbouring keys in several shifted Hilbert orderings."""
 
+from math import isqrt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -56,7 +58,7 @@ def _near(vectors: np.ndarray, ids: np.ndarray, first: int, last: int, window: i
     return places, cosines
 
 
-def similar_vectors(df: DataFrame, id_col: str, group_col: str, vector_col: str, k: int = 5, orderings: int = 20, window: int = 32, axes: int = 12, bits: int = 15, task_rows: int = 20_000) -> DataFrame:
+def similar_vectors(df: DataFrame, id_col: str, group_col: str, vector_col: str, k: int = 5, orderings: int = 20, window: int = 256, axes: int = 12, bits: int = 15, task_rows: int = 20_000) -> DataFrame:
     """``id_col, neighbour, similarity, rank``: the k vectors of the same group most similar (cosine) to each vector.
 
     Vectors are usable if they are not null, hold no null, NaN or infinity, and are not all zeros; others have no row
@@ -68,8 +70,8 @@ def similar_vectors(df: DataFrame, id_col: str, group_col: str, vector_col: str,
     smallest id stands for its copies in all orderings, and the copies come back, by id, before neighbours are chosen.
     Every such vector is projected on ``axes`` random directions, shifted and given its place on a Hilbert curve of so
     many ``bits`` that a crowd of very similar vectors is still spread along it, once per ordering. Each ordering is
-    range-partitioned and sorted by place; a vector is compared with at least ``window`` rows before and after it.
-    The results of all orderings merge. What is lost: neighbours
+    range-partitioned and sorted by place; a vector is compared with at least ``window`` rows before and after it, in
+    large tables with the square root of their vectors. The results of all orderings merge. What is lost: neighbours
     that no ordering brings within the window, or that a border between tasks parts in each of them.
     """
     value = F.col(vector_col).cast("array<float>")
@@ -105,7 +107,8 @@ def similar_vectors(df: DataFrame, id_col: str, group_col: str, vector_col: str,
     # Written once: the range partitioning looks at the keys before it moves them.
     keyed = alike.mapInPandas(place, keyed_schema).checkpoint()
     vectors = keyed.count()
-    tasks = max(1, -(-vectors * orderings // task_rows))
+    window = max(window, isqrt(vectors))
+    tasks = max(1, -(-vectors * orderings // max(task_rows, 40 * window)))
     line = keyed.select("id", "grp", "dims", "vec", F.posexplode("keys").alias("ordering", "key"))
     order = ["ordering", "grp", "dims", "key", "id"]
     line = line.repartitionByRange(tasks, *order).sortWithinPartitions(*order)

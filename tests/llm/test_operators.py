@@ -115,6 +115,18 @@ def test_neighbours_in_a_crowd_and_among_copies(spark):
     assert np.mean([j in {n for n, _ in found[i].values()} for i, js in zip(ids[at].tolist(), true) for j in js]) >= 0.9
 
 
+def test_neighbours_recall_in_a_larger_table(spark):
+    vectors = np.random.default_rng(7).normal(size=(9000, 32))
+    rows = [(i, "m", v.tolist()) for i, v in enumerate(vectors)]
+    got = neighbours.similar_vectors(spark.createDataFrame(rows, "id bigint, model string, v array<double>"), "id", "model", "v").collect()
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    at = np.arange(0, 9000, 20)
+    cos = unit[at] @ unit.T
+    cos[np.arange(len(at)), at] = -2
+    found = {(r.id, r.neighbour) for r in got}
+    assert np.mean([(i, j) in found for i, js in zip(at.tolist(), np.argsort(-cos, axis=1)[:, :5].tolist()) for j in js]) >= 0.9
+
+
 def test_packing(spark):
     rng = random.Random(2)
     sizes = [rng.choice([50, 300, 900, 1500, 2500]) + rng.randint(0, 300) for _ in range(1500)] + [4096, 4097, 10000]
