@@ -93,6 +93,12 @@ def _search_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("terms", words)
 
 
+def _search_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``qid, terms`` like ``_search_terms``, in the index's own tokens and as often as they stand; only upper-case words are operators."""
+    rows = table(spark, sf_dir, "trace_records").where("query <> ''").select(F.col("query").alias("qid")).distinct()
+    return rows.withColumn("terms", T.search_tokens(F.regexp_replace("qid", r"(?<![\p{L}\p{M}\p{N}])(?:AND|OR|NOT)(?![\p{L}\p{M}\p{N}])", " ")))
+
+
 _BM25_CTES = f"""
 WITH asked AS (SELECT DISTINCT query AS qid, unnest(list_filter(list_distinct({SQL_WORDS.format("query")}), lambda x: x NOT IN ('and', 'or', 'not'))) AS term FROM trace_records WHERE query <> ''),
 tok AS (SELECT id, unnest({SQL_WORDS.format("title")}) AS term, 10.0::DOUBLE AS w FROM chunks UNION ALL SELECT id, unnest({SQL_WORDS.format("body")}), 1.0 FROM chunks
@@ -112,6 +118,13 @@ def ret1_lexical_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.ranked(scores.withColumn("score", F.round("score", 6)), "qid", "score", "id", 10).select("qid", "id", "rank")
 
 
+@query()
+def ret1_stemmed_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``ret1_lexical_top10``, by stems without accents and with digits."""
+    scores = retrieval.bm25(table(spark, sf_dir, "chunks"), "id", FIELD_WEIGHTS, _search_tokens(spark, sf_dir), "qid", "terms", stemmed=True)
+    return retrieval.ranked(scores.withColumn("score", F.round("score", 6)), "qid", "score", "id", 10).select("qid", "id", "rank")
+
+
 _KNOWN_SQL = f"term IN ({', '.join(map(repr, TOKENS))})"
 
 
@@ -132,6 +145,15 @@ def ret5_gated_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.fuse([retrieval.ranked(x, "qid", "score", "id", 10) for x in lists], "qid", "id").withColumn("fused", F.round("fused", 9))
 
 
+@query()
+def ret5_stemmed_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``ret5_gated_lexical``, by stems without accents and with digits."""
+    known = F.array(*map(F.lit, TOKENS))
+    asked = _search_tokens(spark, sf_dir).select("qid", F.array_intersect("terms", known).alias("langs"), F.filter("terms", lambda t: ~F.array_contains(known, t)).alias("words"))
+    lists = retrieval.gated_lexical(table(spark, sf_dir, "chunks"), "id", FIELD_WEIGHTS, "language_json", asked, "qid", "langs", "words", stemmed=True)
+    return retrieval.fuse([retrieval.ranked(x, "qid", "score", "id", 10) for x in lists], "qid", "id").withColumn("fused", F.round("fused", 9))
+
+
 @query(
     "SELECT query_id, vec_id, rank FROM (SELECT q.vec_id AS query_id, c.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), c.vec_id) AS rank "
     "FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0) WHERE rank <= 10"

@@ -1,10 +1,11 @@
 """English word stems (Porter 1980) for search terms."""
 
 import re
+import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Suffixes and what takes their place where the rest of the word has a vowel-consonant pair.
@@ -76,3 +77,19 @@ def stems(words: str | Column) -> Column:
         return lists.map(lambda ws: None if ws is None else [stem(w) if w is not None else None for w in ws])
 
     return each(words)
+
+
+def search_form(token: str) -> str:
+    """The stem of a token without its accents."""
+    return stem("".join(c for c in unicodedata.normalize("NFD", token) if not unicodedata.combining(c)))
+
+
+def in_search_form(df: DataFrame, token_col: str) -> DataFrame:
+    """``df`` with each token in its search form, found once for each distinct token; tokens of nothing but marks are gone."""
+
+    @F.pandas_udf("string")
+    def form(tokens: pd.Series) -> pd.Series:
+        return tokens.map(search_form)
+
+    known = df.select(token_col).distinct().withColumn("_form", form(token_col)).where("_form <> ''")
+    return df.join(known, token_col).withColumn(token_col, F.col("_form")).drop("_form")

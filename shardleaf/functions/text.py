@@ -14,6 +14,11 @@ def split_into_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}]+"), lambda w: w != "")
 
 
+def search_tokens(text: Column) -> Column:
+    """Lower-cased runs of letters, their marks, digits and private characters, in order; null for null."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}\p{Co}]+"), lambda w: w != "")
+
+
 def clean_terms(words: Column, stop_words=tuple(STOP_WORDS), least: int = 3) -> Column:
     """Words of at least ``least`` bytes that are neither hex-like nor stop words, each once, as first seen."""
     stop = F.array(*map(F.lit, stop_words))

@@ -5,30 +5,35 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shardleaf.functions.text import json_list, split_into_words
+from shardleaf.functions.stem import in_search_form
+from shardleaf.functions.text import json_list, search_tokens, split_into_words
 
 K1, B, RRF_K = 1.2, 0.75, 60
 
 
-def postings(df: DataFrame, id_col: str, weights: dict[str, float]) -> DataFrame:
-    """``id_col, term, hits`` (weighted), one row for each term of a row; a term of a column of weight 0 matches with 0 hits."""
+def postings(df: DataFrame, id_col: str, weights: dict[str, float], stemmed: bool = False) -> DataFrame:
+    """``id_col, term, hits`` (weighted), one row for each term of a row; a term of a column of weight 0 matches with 0 hits.
+
+    Terms are words of letters, or if ``stemmed`` tokens with their digits, without accents, as stems.
+    """
 
     def weighted(column, weight):
-        words = F.coalesce(split_into_words(F.col(column)), F.array().cast("array<string>"))
+        words = F.coalesce((search_tokens if stemmed else split_into_words)(F.col(column)), F.array().cast("array<string>"))
         return F.transform(words, lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
 
     fields = [weighted(c, w) for c, w in weights.items()]
     rows = df.select(id_col, F.explode(F.concat(*fields)).alias("_t"))
-    return rows.groupBy(id_col, F.col("_t.term").alias("term")).agg(F.sum("_t.w").alias("hits"), F.count(F.lit(1)).alias("n"))
+    posts = rows.groupBy(id_col, F.col("_t.term").alias("term")).agg(F.sum("_t.w").alias("hits"), F.count(F.lit(1)).alias("n"))
+    return in_search_form(posts, "term").groupBy(id_col, "term").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n")) if stemmed else posts
 
 
-def _parts(df: DataFrame, id_col: str, weights: dict[str, float], asked: DataFrame) -> DataFrame:
+def _parts(df: DataFrame, id_col: str, weights: dict[str, float], asked: DataFrame, stemmed: bool = False) -> DataFrame:
     """Rows of ``asked`` (a term and how many ``times``) with every row that holds the term and its ``part`` of the score.
 
     Terms of all queries meet postings in one equi-join, before which unused postings are gone. Length and frequency
     statistics come from the whole table.
     """
-    posts = postings(df, id_col, weights)
+    posts = postings(df, id_col, weights, stemmed)
     lengths = posts.groupBy(id_col).agg(F.sum("n").alias("length"))
     whole = df.agg(F.count(F.lit(1)).alias("rows_total"))
     mean = lengths.agg(F.sum("length").alias("length_total"))
@@ -42,16 +47,17 @@ def _parts(df: DataFrame, id_col: str, weights: dict[str, float], asked: DataFra
     return scored.select(*asked.columns, id_col, part.alias("part"))
 
 
-def bm25(df: DataFrame, id_col: str, weights: dict[str, float], queries: DataFrame, query_id: str, terms_col: str) -> DataFrame:
+def bm25(df: DataFrame, id_col: str, weights: dict[str, float], queries: DataFrame, query_id: str, terms_col: str, stemmed: bool = False) -> DataFrame:
     """``query_id, id_col, score`` of every row that holds any term of the query; higher is better.
 
-    A term that a query repeats counts as often. Scores add up per pair with partial sums before the shuffle.
+    A term that a query repeats counts as often; if ``stemmed``, terms are tokens that meet by their stems. Scores add up per pair with partial sums before the shuffle.
     """
-    asked = queries.select(query_id, F.explode(terms_col).alias("term")).groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("times"))
-    return _parts(df, id_col, weights, asked).groupBy(query_id, id_col).agg(F.sum("part").alias("score"))
+    asked = queries.select(query_id, F.explode(terms_col).alias("term"))
+    asked = (in_search_form(asked, "term") if stemmed else asked).groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("times"))
+    return _parts(df, id_col, weights, asked, stemmed).groupBy(query_id, id_col).agg(F.sum("part").alias("score"))
 
 
-def gated_lexical(df: DataFrame, id_col: str, weights: dict[str, float], declared_col: str, queries: DataFrame, query_id: str, languages_col: str, terms_col: str, digits: int = 6) -> tuple[DataFrame, DataFrame]:
+def gated_lexical(df: DataFrame, id_col: str, weights: dict[str, float], declared_col: str, queries: DataFrame, query_id: str, languages_col: str, terms_col: str, digits: int = 6, stemmed: bool = False) -> tuple[DataFrame, DataFrame]:
     """Two scored lists ``query_id, id_col, score`` that share no row: the fallback and the structural one.
 
     The fallback holds rows that declare no language and have any of the query's languages as a word (where it has
@@ -64,8 +70,9 @@ def gated_lexical(df: DataFrame, id_col: str, weights: dict[str, float], declare
         F.transform(F.coalesce(languages_col, none), lambda t: F.struct(t.alias("term"), F.lit(True).alias("spoken"))),
         F.transform(F.coalesce(terms_col, none), lambda t: F.struct(t.alias("term"), F.lit(False).alias("spoken"))),
     )
-    asked = queries.select(query_id, F.explode(roles).alias("_r")).groupBy(query_id, F.col("_r.term").alias("term"), F.col("_r.spoken").alias("spoken")).agg(F.count(F.lit(1)).alias("times"))
-    sums = _parts(df, id_col, weights, asked).groupBy(query_id, id_col).agg(F.sum("part").alias("whole"), F.sum(F.when(~F.col("spoken"), F.col("part"))).alias("by_terms"), F.bool_or("spoken").alias("has_language"), F.bool_or(~F.col("spoken")).alias("has_term"))
+    asked = queries.select(query_id, F.explode(roles).alias("_r")).select(query_id, "_r.term", "_r.spoken")
+    asked = (in_search_form(asked, "term") if stemmed else asked).groupBy(query_id, "term", "spoken").agg(F.count(F.lit(1)).alias("times"))
+    sums = _parts(df, id_col, weights, asked, stemmed).groupBy(query_id, id_col).agg(F.sum("part").alias("whole"), F.sum(F.when(~F.col("spoken"), F.col("part"))).alias("by_terms"), F.bool_or("spoken").alias("has_language"), F.bool_or(~F.col("spoken")).alias("has_term"))
     gates = df.select(id_col, F.col(declared_col).isNull().alias("undeclared"), json_list(F.col(declared_col)).alias("declared"))
     wanted = queries.select(query_id, F.coalesce(languages_col, none).alias("langs"), F.coalesce(terms_col, none).alias("words"))
     rows = sums.join(gates, id_col).join(wanted, query_id)

@@ -70,6 +70,51 @@ def test_bm25_and_fusion(spark):
     assert fused[1] == pytest.approx(1.0) and fused[2] == pytest.approx(61 / 62 / 2)
 
 
+def test_stemmed_search_against_brute_force(spark):
+    import re
+    import unicodedata
+
+    from shardleaf.functions.stem import stem
+
+    texts = {1: "Error v2 in the café", 2: "errors locks caching", 3: "v café\u0301 nothing", 4: "test v2 cache", 5: None, 6: "filler words stand here", 7: "more filler words", 8: "and yet more words"}
+    plain = lambda t: "".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c))
+    tokens = {i: [stem(w) for w in re.findall(r"[^\W_]+", plain((t or "").lower()))] for i, t in texts.items()}
+    asked = {"a": ["errors", "error"], "b": ["v2"], "c": ["cafe"], "d": ["testing", "cached"]}
+    mean, want = sum(map(len, tokens.values())) / len(texts), {}
+    for q, terms in asked.items():
+        for term in map(stem, terms):
+            df = sum(term in ws for ws in tokens.values())
+            for i, ws in tokens.items():
+                if term in ws:
+                    tf, idf = ws.count(term), max(math.log((len(texts) - df + 0.5) / (df + 0.5)), 1e-6)
+                    want[q, i] = want.get((q, i), 0) + idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / mean))
+    rows = spark.createDataFrame(list(texts.items()), "id int, t string").withColumn("l", F.lit(None).cast("string"))
+    queries = spark.createDataFrame([(q, [], t) for q, t in asked.items()], "q string, langs array<string>, terms array<string>")
+    got = {(r.q, r.id): r.score for r in retrieval.bm25(rows, "id", {"t": 1.0}, queries, "q", "terms", stemmed=True).collect()}
+    assert got == pytest.approx(want) and ("a", 2) in got and ("c", 3) in got and ("b", 3) not in got
+    fallback, _ = retrieval.gated_lexical(rows, "id", {"t": 1.0}, "l", queries, "q", "langs", "terms", stemmed=True)
+    assert {(r.q, r.id): r.score for r in fallback.collect()} == pytest.approx(want, abs=1e-6)
+
+
+def test_stemmed_queries_find_every_form(spark, sf_dir):
+    import re
+
+    import regex
+
+    from shardleaf.functions.stem import search_form
+
+    tokens = lambda t: {search_form(w) for w in regex.findall(r"[\p{L}\p{M}\p{N}\p{Co}]+", (t or "").lower())} - {""}
+    held = [tokens(" ".join(r[c] or "" for c in ("title", "body", "tags", "source_file"))) for r in spark.read.parquet(f"{sf_dir}/chunks.parquet").collect()]
+    queries = [r[0] for r in spark.read.parquet(f"{sf_dir}/trace_records.parquet").where("query <> ''").select("query").distinct().collect()]
+    want = {q: n for q in queries if (n := min(10, sum(not ws.isdisjoint(tokens(re.sub(r"\b(?:AND|OR|NOT)\b", " ", q))) for ws in held)))}
+    got = {}
+    for r in QUERIES["ret1_stemmed_top10"](spark, sf_dir).collect():
+        got[r.qid] = got.get(r.qid, 0) + 1
+    assert got == want
+    fused = QUERIES["ret5_stemmed_gated"](spark, sf_dir).collect()
+    assert fused and len({(r.qid, r.id) for r in fused}) == len(fused)
+
+
 def test_nearest_is_exact(spark):
     df = spark.createDataFrame([(i, [float(i * i % 17), float(i)]) for i in range(60)], "id bigint, v array<double>")
     got = retrieval.nearest(df, df.where("id % 7 = 0"), "id", "v", 3, block=4).collect()
