@@ -169,7 +169,7 @@ def candidates(text: str, given: frozenset[str]):
 
 
 class Classifier:
-    """Per kind a logistic model on the votes and on pairs of votes."""
+    """Per kind a logistic model on the votes alone; it sees neither the span nor its context."""
 
     def __init__(self, weights: dict[str, np.ndarray]):
         self.weights, self._known = weights, {}
