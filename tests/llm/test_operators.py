@@ -156,6 +156,29 @@ def test_leaks(spark):
     assert {(r.id, r["item"]) for r in got} == {(1, 3), (2, 5), (3, 7)}
 
 
+def test_leaks_of_short_and_unspaced_items(spark):
+    rng = random.Random(8)
+    hanzi = [chr(c) for c in range(0x4E00, 0x4E00 + 400)]
+    passage = "".join(rng.choice(hanzi) for _ in range(40))
+    items = [(1, "Quokka bandicoot"), (2, passage[:20] + "。" + passage[20:]), (3, "3.14159 26535"), (4, "!!"), (5, "of the")]
+    noise = "".join(rng.choice(hanzi) for _ in range(300))
+    docs = [(1, "a QUOKKA,\n> bandicoot sat"), (2, "the quokka and the bandicoot"), (3, noise + passage + noise), (4, noise + passage[:24] + noise), (5, noise + passage[:8] + noise), (6, "pi is 3.14159 26535 or so"), (7, "pi is 3.14159 26536"), (8, "some of the rest")]
+    got = leakage.find_leaks(spark.createDataFrame(docs, "id int, t string"), "id", "t", spark.createDataFrame(items, "item int, t string"), "item", "t").collect()
+    assert {(r.id, r["item"]) for r in got} == {(1, 1), (3, 2), (4, 2), (6, 3), (8, 5)}
+    assert leakage.find_leaks(spark.createDataFrame(docs, "id int, t string"), "id", "t", spark.createDataFrame(items, "item int, t string").where("false"), "item", "t").count() == 0
+
+
+def test_leaks_among_many_items_in_several_groups_and_long_texts(spark):
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(5000)]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(i, text(40)) for i in range(300)]
+    docs = [(i, text(50) + " " + items[i][1] + " " + text(50)) for i in range(0, 300, 3)] + [(1000, text(60_000) + " " + items[7][1] + " " + text(30_000) + " " + items[8][1])]
+    args = spark.createDataFrame(docs, "id int, t string"), "id", "t", spark.createDataFrame(items, "item int, t string"), "item", "t"
+    got = leakage.find_leaks(*args, block_items=50, group_words=5000).collect()
+    assert {(r.id, r["item"]) for r in got} == {(i, i) for i in range(0, 300, 3)} | {(1000, 7), (1000, 8)}
+
+
 def test_reading_levels_on_held_out_samples(spark, sf_dir):
     samples = spark.read.parquet(f"{sf_dir}/graded_samples.parquet")
     # The grade goes with the id modulo 4, so whole runs of four ids are held out.
