@@ -99,6 +99,13 @@ def _search_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("terms", T.search_tokens(F.regexp_replace("qid", r"(?<![\p{L}\p{M}\p{N}])(?:AND|OR|NOT)(?![\p{L}\p{M}\p{N}])", " ")))
 
 
+_NO_OR = r"regexp_replace(side, '\s+OR\s+', ' ', 'g')"
+
+
+def _lexical_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.build_index(table(spark, sf_dir, "chunks"), "id", FIELD_WEIGHTS, "language_json")
+
+
 _BM25_CTES = f"""
 WITH asked AS (SELECT DISTINCT query AS qid, unnest(list_filter(list_distinct({SQL_WORDS.format("query")}), lambda x: x NOT IN ('and', 'or', 'not'))) AS term FROM trace_records WHERE query <> ''),
 tok AS (SELECT id, unnest({SQL_WORDS.format("title")}) AS term, 10.0::DOUBLE AS w FROM chunks UNION ALL SELECT id, unnest({SQL_WORDS.format("body")}), 1.0 FROM chunks
@@ -113,23 +120,42 @@ SELECT qid, id, round(sum({_PART_SQL}), 6) AS score FROM asked JOIN post USING (
 
 @query(f"SELECT qid, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM ({_BM25_SQL})) WHERE rank <= 10")
 def ret1_lexical_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best ten chunks for every query that the traces hold, by weighted BM25."""
-    scores = retrieval.bm25(table(spark, sf_dir, "chunks"), "id", FIELD_WEIGHTS, _search_terms(spark, sf_dir), "qid", "terms")
-    return retrieval.ranked(scores.withColumn("score", F.round("score", 6)), "qid", "score", "id", 10).select("qid", "id", "rank")
+    """The best ten chunks that hold any word of a query, for every query that the traces hold, by weighted BM25."""
+    asked = _search_terms(spark, sf_dir).select("qid", F.array("terms").alias("groups"))
+    return retrieval.search(_lexical_index(spark, sf_dir), "id", asked, "qid", 10).select("qid", "id", "rank")
+
+
+def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "trace_records").where("query <> ''").select(F.col("query").alias("qid")).distinct()
+    return rows.withColumn("groups", retrieval.match_groups(F.col("qid")))
+
+
+@query(
+    rf"""{_BM25_CTES},
+g AS (SELECT DISTINCT qid, generate_subscripts(s, 1) AS g, unnest(s) AS side FROM (SELECT DISTINCT query AS qid, string_split_regex(query, '\s+AND\s+') AS s FROM trace_records WHERE query <> '')),
+a AS (SELECT qid, g, unnest({SQL_WORDS.format(_NO_OR)}) AS term FROM g),
+h AS (SELECT qid, id, g, sum({_PART_SQL}) AS part FROM a JOIN post USING (term) JOIN len USING (id) JOIN idf USING (term), st GROUP BY qid, id, g),
+m AS (SELECT qid, id, round(sum(part), 6) AS score FROM h JOIN (SELECT qid, count(DISTINCT g) AS n FROM a GROUP BY qid) USING (qid) GROUP BY qid, id, n HAVING count(*) = n)
+SELECT qid, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM m) WHERE rank <= 10"""
+)
+def ret1_match_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``ret1_lexical_top10``, of the chunks that the whole query matches: a word of every side of its ANDs."""
+    asked = _matches(spark, sf_dir).withColumn("groups", F.filter(F.transform("groups", lambda g: F.flatten(F.transform(g, T.split_into_words))), lambda g: F.size(g) > 0))
+    return retrieval.search(_lexical_index(spark, sf_dir), "id", asked, "qid", 10).select("qid", "id", "rank")
 
 
 @query()
 def ret1_stemmed_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``ret1_lexical_top10``, by stems without accents and with digits."""
-    scores = retrieval.bm25(table(spark, sf_dir, "chunks"), "id", FIELD_WEIGHTS, _search_tokens(spark, sf_dir), "qid", "terms", stemmed=True)
-    return retrieval.ranked(scores.withColumn("score", F.round("score", 6)), "qid", "score", "id", 10).select("qid", "id", "rank")
+    """As ``ret1_match_top10``, by stems without accents and with digits."""
+    index = retrieval.build_index(table(spark, sf_dir, "chunks"), "id", FIELD_WEIGHTS, stemmed=True)
+    return retrieval.search(index, "id", _matches(spark, sf_dir), "qid", 10, stemmed=True).select("qid", "id", "rank")
 
 
 _KNOWN_SQL = f"term IN ({', '.join(map(repr, TOKENS))})"
 
 
 @query(
-    f"""{_BM25_CTES},
+    rf"""{_BM25_CTES},
 s AS (SELECT qid, id, round(sum({_PART_SQL}), 6) AS whole, round(sum({_PART_SQL}) FILTER (NOT {_KNOWN_SQL}), 6) AS by_terms, bool_or({_KNOWN_SQL}) AS hl, bool_or(NOT {_KNOWN_SQL}) AS ht FROM asked JOIN post USING (term) JOIN len USING (id) JOIN idf USING (term), st GROUP BY qid, id),
 n AS (SELECT qid, list(term) FILTER ({_KNOWN_SQL}) AS langs, count(*) FILTER ({_KNOWN_SQL}) AS nl, count(*) FILTER (NOT {_KNOWN_SQL}) AS nt FROM asked GROUP BY qid),
 r AS (SELECT s.*, n.* EXCLUDE (qid), language_json FROM s JOIN n USING (qid) JOIN chunks USING (id)),
@@ -141,8 +167,12 @@ def ret5_gated_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fallback and structural lists of every query that the traces hold, ten of each, fused."""
     known = F.array(*map(F.lit, TOKENS))
     asked = _search_terms(spark, sf_dir).select("qid", F.array_intersect("terms", known).alias("langs"), F.array_except("terms", known).alias("words"))
-    lists = retrieval.gated_lexical(table(spark, sf_dir, "chunks"), "id", FIELD_WEIGHTS, "language_json", asked, "qid", "langs", "words")
-    return retrieval.fuse([retrieval.ranked(x, "qid", "score", "id", 10) for x in lists], "qid", "id").withColumn("fused", F.round("fused", 9))
+    return _fused_gates(_lexical_index(spark, sf_dir), asked)
+
+
+def _fused_gates(index: DataFrame, asked: DataFrame, **how) -> DataFrame:
+    lists = [retrieval.search(index, "id", q, "qid", 10, **how) for q in retrieval.gated(asked, "qid", "langs", "words")]
+    return retrieval.fuse(lists, "qid", "id").withColumn("fused", F.round("fused", 9))
 
 
 @query()
@@ -150,8 +180,8 @@ def ret5_stemmed_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As ``ret5_gated_lexical``, by stems without accents and with digits."""
     known = F.array(*map(F.lit, TOKENS))
     asked = _search_tokens(spark, sf_dir).select("qid", F.array_intersect("terms", known).alias("langs"), F.filter("terms", lambda t: ~F.array_contains(known, t)).alias("words"))
-    lists = retrieval.gated_lexical(table(spark, sf_dir, "chunks"), "id", FIELD_WEIGHTS, "language_json", asked, "qid", "langs", "words", stemmed=True)
-    return retrieval.fuse([retrieval.ranked(x, "qid", "score", "id", 10) for x in lists], "qid", "id").withColumn("fused", F.round("fused", 9))
+    index = retrieval.build_index(table(spark, sf_dir, "chunks"), "id", FIELD_WEIGHTS, "language_json", stemmed=True)
+    return _fused_gates(index, asked, stemmed=True)
 
 
 @query(

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 # Words that carry no meaning in a search query.
 STOP_WORDS = (
-    "the and for are but not you all any can had her was one our out has him his how its may new now old see way who did get let put say she too use with this that from have will your what when make"
+    "the and for with from into that this then when will has have was are not but can all its our use new let set get add run see how may per via yet also just some been "
+    "were what they each which their there about would could should these those other than them your does here"
 ).split()
 
 

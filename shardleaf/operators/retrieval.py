@@ -1,84 +1,217 @@
-"""Batch retrieval: BM25 over postings, exact nearest vectors in blocks, reciprocal-rank fusion, gates."""
+"""Batch retrieval: BM25 over an index that is built once, exact nearest vectors in blocks, rank fusion, gates."""
+
+import json
+from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from shardleaf.functions.stem import in_search_form
-from shardleaf.functions.text import json_list, search_tokens, split_into_words
+from shardleaf.functions.stem import search_form
+from shardleaf.functions.text import search_tokens, split_into_words
 
 K1, B, RRF_K = 1.2, 0.75, 60
 
 
-def postings(df: DataFrame, id_col: str, weights: dict[str, float], stemmed: bool = False) -> DataFrame:
-    """``id_col, term, hits`` (weighted), one row for each term of a row; a term of a column of weight 0 matches with 0 hits.
+def build_index(df: DataFrame, id_col: str, weights: dict[str, float], declared_col: str | None = None, stemmed: bool = False) -> DataFrame:
+    """``id_col, length, terms, hits, declared`` of each row: its terms with their weighted hits, as a table written once.
 
-    Terms are words of letters, or if ``stemmed`` tokens with their digits, without accents, as stems.
+    Terms are words of letters, or if ``stemmed`` tokens with their digits, without accents, as stems. A term of a column
+    of weight 0 matches with 0 hits. ``declared`` is the text of the declaring column. A map over rows without shuffle.
     """
+    words = search_tokens if stemmed else split_into_words
+    declared = F.lit(None).cast("string") if declared_col is None else F.col(declared_col)
+    given = df.select(F.col(id_col).alias("_id"), declared.alias("_declared"), *[F.coalesce(words(F.col(c)), F.array().cast("array<string>")).alias(f"_w{i}") for i, c in enumerate(weights)])
+    schema = T.StructType([T.StructField(id_col, given.schema["_id"].dataType), T.StructField("length", T.IntegerType()), T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("hits", T.ArrayType(T.DoubleType())), T.StructField("declared", T.StringType())])
 
-    def weighted(column, weight):
-        words = F.coalesce((search_tokens if stemmed else split_into_words)(F.col(column)), F.array().cast("array<string>"))
-        return F.transform(words, lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
+    def count(batches):
+        known: dict[str, str] = {}
+        for batch in batches:
+            fields = [batch.column(f"_w{i}").to_pylist() for i in range(len(weights))]
+            lengths, terms, hits = [], [], []
+            for row in zip(*fields):
+                found: dict[str, float] = {}
+                length = 0
+                for weight, tokens in zip(weights.values(), row):
+                    for token, n in Counter(tokens).items():
+                        if stemmed:
+                            if token not in known:
+                                if len(known) > 200_000:
+                                    known.clear()
+                                known[token] = search_form(token)
+                            token = known[token]
+                            if not token:
+                                continue
+                        found[token] = found.get(token, 0.0) + weight * n
+                        length += n
+                lengths.append(length)
+                terms.append(list(found))
+                hits.append(list(found.values()))
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(lengths, pa.int32()), pa.array(terms, pa.list_(pa.string())), pa.array(hits, pa.list_(pa.float64())), batch.column("_declared")], names=schema.names)
 
-    fields = [weighted(c, w) for c, w in weights.items()]
-    rows = df.select(id_col, F.explode(F.concat(*fields)).alias("_t"))
-    posts = rows.groupBy(id_col, F.col("_t.term").alias("term")).agg(F.sum("_t.w").alias("hits"), F.count(F.lit(1)).alias("n"))
-    return in_search_form(posts, "term").groupBy(id_col, "term").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n")) if stemmed else posts
+    return given.mapInArrow(count, schema).checkpoint()
 
 
-def _parts(df: DataFrame, id_col: str, weights: dict[str, float], asked: DataFrame, stemmed: bool = False) -> DataFrame:
-    """Rows of ``asked`` (a term and how many ``times``) with every row that holds the term and its ``part`` of the score.
+def parts(index: DataFrame, id_col: str, terms: DataFrame, most_broadcast: int = 200_000) -> DataFrame:
+    """``id_col, declared, term, part``: what each of the ``terms`` (a column of distinct ones) adds to the score of a row that holds it.
 
-    Terms of all queries meet postings in one equi-join, before which unused postings are gone. Length and frequency
-    statistics come from the whole table.
+    Length and frequency statistics come from the whole index. A small set of terms is broadcast after it is counted.
     """
-    posts = postings(df, id_col, weights, stemmed)
-    lengths = posts.groupBy(id_col).agg(F.sum("n").alias("length"))
-    whole = df.agg(F.count(F.lit(1)).alias("rows_total"))
-    mean = lengths.agg(F.sum("length").alias("length_total"))
-    used = posts.join(asked.select("term").distinct(), "term", "left_semi")
-    idf = used.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    one = F.broadcast(whole.join(mean))  # one row
-    idf = idf.join(one).select("term", F.greatest(F.log((F.col("rows_total") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6)).alias("idf"), (F.col("length_total") / F.col("rows_total")).alias("mean_length"))
-    tf, length = F.col("hits"), F.col("length") / F.col("mean_length")
-    part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length))
-    scored = used.join(lengths, id_col).join(idf, "term").select(id_col, "term", "hits", "length", "idf", "mean_length").join(asked, "term")
-    return scored.select(*asked.columns, id_col, part.alias("part"))
-
-
-def bm25(df: DataFrame, id_col: str, weights: dict[str, float], queries: DataFrame, query_id: str, terms_col: str, stemmed: bool = False) -> DataFrame:
-    """``query_id, id_col, score`` of every row that holds any term of the query; higher is better.
-
-    A term that a query repeats counts as often; if ``stemmed``, terms are tokens that meet by their stems. Scores add up per pair with partial sums before the shuffle.
+    whole = index.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total")).head()
+    mean = (whole.total or 0) / max(1, whole.n)
+    post = index.select(id_col, "length", "declared", F.explode(F.arrays_zip("terms", "hits")).alias("_t")).select(id_col, "length", "declared", F.col("_t.terms").alias("term"), F.col("_t.hits").alias("tf"))
+    asked = F.broadcast(terms) if terms.count() <= most_broadcast else terms
+    post = post.join(asked, "term").checkpoint()
+    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = df.select("term", F.greatest(F.log((F.lit(whole.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6)).alias("idf"))
+    idf = F.broadcast(idf) if asked is not terms else idf
+    tf = F.col("tf")
+    return post.join(idf, "term").select(id_col, "declared", "term", (F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(mean)))).alias("part"))
+
+
+class Shard:
+    """The parts of some rows: scores of a query for all of them at once."""
+
+    def __init__(self, rows: pd.DataFrame):
+        ids, at = np.unique(rows["id"].to_numpy(), return_inverse=True)
+        codes, names = pd.factorize(rows["term"])
+        order = np.argsort(codes, kind="stable")
+        self.ids, self.terms = ids, {t: k for k, t in enumerate(names)}
+        self.at, self.part = at[order], rows["part"].to_numpy()[order]
+        self.begin = np.searchsorted(codes[order], np.arange(len(names) + 1))
+        shown = rows["declared"].to_numpy()
+        first = np.unique(at, return_index=True)[1]
+        self.declared = shown[first]
+        self.undeclared = np.array([d is None for d in self.declared], bool)
+        self.speaks: dict[str, np.ndarray] = {}
+        for text in {d for d in self.declared if d is not None}:
+            try:
+                tokens = [t for t in json.loads(text) if isinstance(t, str)]
+            except (ValueError, TypeError):
+                tokens = []
+            for token in tokens:
+                self.speaks[token] = self.speaks.get(token, np.zeros(len(ids), bool)) | (self.declared == text)
+
+    def rows(self, term: str) -> tuple[np.ndarray, np.ndarray]:
+        k = self.terms.get(term)
+        a, b = (0, 0) if k is None else self.begin[k : k + 2]
+        return self.at[a:b], self.part[a:b]
+
+    def best(self, queries: list[tuple], k: int, digits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Places and scores of the k best rows for each (groups, without, gate) of a block of queries.
+
+        All scores of the block are one product of the queries' terms and the terms' parts.
+        """
+        used = sorted({t for groups, without, _ in queries for g in [*groups, without] for t in g if t in self.terms})
+        name, n = {t: i for i, t in enumerate(used)}, len(self.ids)
+        parts, there = np.zeros((len(used), n)), np.zeros((len(used) + 1, n), bool)
+        for t, i in name.items():
+            at, part = self.rows(t)
+            parts[i, at], there[i, at] = part, True
+        times, known = np.zeros((len(queries), len(used))), {}
+        held = np.ones((len(queries), n), bool)
+
+        def any_of(terms) -> np.ndarray:
+            key = frozenset(name.get(t, len(used)) for t in terms)
+            if key not in known:
+                known[key] = there[list(key)].any(axis=0)
+            return known[key]
+
+        for q, (groups, without, gate) in enumerate(queries):
+            if gate is not None:
+                held[q] = np.any([self.speaks.get(g, there[-1]) for g in gate], axis=0) if len(gate) else self.undeclared
+            for group in groups:
+                held[q] &= any_of(group)
+                for t in group:
+                    if t in name:
+                        times[q, name[t]] += 1
+            if len(without):
+                held[q] &= ~any_of(without)
+        scores = np.where(held, np.round(times @ parts, digits), -np.inf)
+        most = min(k, n)
+        if most < n:  # of equal scores the first rows count, so all that equal the last one are looked at
+            least = np.partition(scores, n - most, axis=1)[:, n - most]
+        else:
+            least = np.full(len(queries), -np.inf)
+        out = []
+        for q in range(len(queries)):
+            at = np.flatnonzero((scores[q] >= least[q]) & held[q])
+            at = at[np.argsort(-scores[q, at], kind="stable")[:k]]
+            out.append((at, scores[q, at]))
+        return out
+
+
+def search(index: DataFrame, id_col: str, queries: DataFrame, query_id: str, k: int, stemmed: bool = False, digits: int = 6, shard_rows: int = 4096, block_queries: int = 512) -> DataFrame:
+    """``query_id, id_col, score, rank``: the k best rows of each query by BM25, ties by id.
+
+    ``queries`` has ``groups`` (lists of terms: a row must hold a term of each; a repeated term counts again), and may
+    have ``without`` (terms that it must not hold) and ``gate``: null for none, an empty list for rows that declare
+    nothing, else languages of which the row must declare one. A query without groups finds nothing. If ``stemmed``,
+    terms meet by their search form. Scores are rounded so that sums in another order tie alike.
+
+    Shards of rows meet blocks of queries; each pair keeps k rows a query. So a frequent term is spread over the shards,
+    and what is shuffled is the parts of the asked terms and k rows a query and shard, never all matches.
     """
-    asked = queries.select(query_id, F.explode(terms_col).alias("term"))
-    asked = (in_search_form(asked, "term") if stemmed else asked).groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("times"))
-    return _parts(df, id_col, weights, asked, stemmed).groupBy(query_id, id_col).agg(F.sum("part").alias("score"))
+    for name, kind in (("without", "array<string>"), ("gate", "array<string>")):
+        if name not in queries.columns:
+            queries = queries.withColumn(name, F.lit(None).cast(kind))
+    asked = queries.select(F.col(query_id).alias("_q"), "groups", "without", "gate").where("size(groups) > 0")
+    if stemmed:
+
+        @F.pandas_udf("array<array<string>>")
+        def formed(lists: pd.Series) -> pd.Series:
+            return lists.map(lambda groups: [[f for t in g if (f := search_form(t))] for g in groups])
 
+        asked = asked.withColumn("_f", formed(F.array_append("groups", F.coalesce("without", F.array().cast("array<string>")))))
+        asked = asked.withColumns({"groups": F.filter(F.slice("_f", 1, F.size("_f") - 1), lambda g: F.size(g) > 0), "without": F.element_at("_f", -1)}).drop("_f").where("size(groups) > 0")
+    asked = asked.checkpoint()
+    vocabulary = asked.select(F.explode(F.concat(F.flatten("groups"), F.coalesce("without", F.array().cast("array<string>")))).alias("term")).distinct()
+    shards, blocks = max(1, -(-index.count() // shard_rows)), max(1, -(-asked.count() // block_queries))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = parts(index, id_col, vocabulary).select(F.col(id_col).alias("id"), "declared", "term", "part", F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int").alias("_s"), every.alias("_b"))
+    right = asked.select("*", F.pmod(F.xxhash64("_q"), F.lit(blocks)).cast("int").alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_s"))
+    schema = T.StructType([T.StructField("_q", asked.schema["_q"].dataType), T.StructField("id", left.schema["id"].dataType), T.StructField("score", T.DoubleType())])
 
-def gated_lexical(df: DataFrame, id_col: str, weights: dict[str, float], declared_col: str, queries: DataFrame, query_id: str, languages_col: str, terms_col: str, digits: int = 6, stemmed: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Two scored lists ``query_id, id_col, score`` that share no row: the fallback and the structural one.
+    def best(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        names, ids, values = [], [], []
+        if len(rows) and len(wanted):
+            shard = Shard(rows)
+            for low in range(0, len(wanted), 256):
+                part = wanted.iloc[low : low + 256]
+                asked = [(g, () if w is None else w, gate) for g, w, gate in zip(part["groups"], part["without"], part["gate"])]
+                for q, (at, scores) in zip(part["_q"], shard.best(asked, k, digits)):
+                    names += [q] * len(at)
+                    ids.append(shard.ids[at])
+                    values.append(scores)
+        found = {"_q": pd.Series(names, dtype=object), "id": pd.Series(np.concatenate(ids).tolist() if ids else [], dtype=object)}
+        return pd.DataFrame(found | {"score": np.concatenate(values) if values else np.empty(0)})
 
-    The fallback holds rows that declare no language and have any of the query's languages as a word (where it has
-    languages) and any of its terms (where it has terms). The structural list holds rows that declare a language of the
-    query and have any of its terms; a query without languages or without terms has none. ``declared_col`` is a JSON
-    list. Scores are rounded so that sums in another order tie alike. One pass over the postings serves both lists.
+    found = left.groupBy("_s", "_b").cogroup(right.groupBy("_s", "_b")).applyInPandas(best, schema)
+    return ranked(found, "_q", "score", "id", k).select(F.col("_q").alias(query_id), F.col("id").alias(id_col), "score", "rank")
+
+
+def gated(queries: DataFrame, query_id: str, languages_col: str, terms_col: str) -> tuple[DataFrame, DataFrame]:
+    """The fallback and the structural form of each query, for ``search``.
+
+    The fallback wants rows that declare no language, with any of the query's languages as a word (where it has
+    languages) and any of its terms (where it has terms). The structural one wants rows that declare a language of the
+    query and hold any of its terms; a query without languages or without terms has none.
     """
     none = F.array().cast("array<string>")
-    roles = F.concat(
-        F.transform(F.coalesce(languages_col, none), lambda t: F.struct(t.alias("term"), F.lit(True).alias("spoken"))),
-        F.transform(F.coalesce(terms_col, none), lambda t: F.struct(t.alias("term"), F.lit(False).alias("spoken"))),
-    )
-    asked = queries.select(query_id, F.explode(roles).alias("_r")).select(query_id, "_r.term", "_r.spoken")
-    asked = (in_search_form(asked, "term") if stemmed else asked).groupBy(query_id, "term", "spoken").agg(F.count(F.lit(1)).alias("times"))
-    sums = _parts(df, id_col, weights, asked, stemmed).groupBy(query_id, id_col).agg(F.sum("part").alias("whole"), F.sum(F.when(~F.col("spoken"), F.col("part"))).alias("by_terms"), F.bool_or("spoken").alias("has_language"), F.bool_or(~F.col("spoken")).alias("has_term"))
-    gates = df.select(id_col, F.col(declared_col).isNull().alias("undeclared"), json_list(F.col(declared_col)).alias("declared"))
-    wanted = queries.select(query_id, F.coalesce(languages_col, none).alias("langs"), F.coalesce(terms_col, none).alias("words"))
-    rows = sums.join(gates, id_col).join(wanted, query_id)
-    fallback = rows.where(F.col("undeclared") & ((F.size("langs") == 0) | F.col("has_language")) & ((F.size("words") == 0) | F.col("has_term")))
-    structural = rows.where(F.col("has_term") & F.coalesce(F.arrays_overlap("declared", "langs"), F.lit(False)))
-    return fallback.select(query_id, id_col, F.round("whole", digits).alias("score")), structural.select(query_id, id_col, F.round("by_terms", digits).alias("score"))
+    langs, words = F.coalesce(languages_col, none), F.coalesce(terms_col, none)
+    fallback = queries.select(query_id, F.filter(F.array(langs, words), lambda g: F.size(g) > 0).alias("groups"), none.alias("gate"))
+    structural = queries.select(query_id, F.array(words).alias("groups"), langs.alias("gate")).where((F.size("gate") > 0) & (F.size(F.element_at("groups", 1)) > 0))
+    return fallback, structural
+
+
+def match_groups(query: Column) -> Column:
+    """The groups of an inferred query: ``a AND (b OR c)`` wants a, and b or c."""
+    sides = F.transform(F.split(query, r"\s+AND\s+"), lambda side: F.regexp_replace(side, r"\s+OR\s+", " "))
+    return F.filter(F.transform(sides, search_tokens), lambda g: F.size(g) > 0)
 
 
 def ranked(df: DataFrame, query_id: str, score: str, id_col: str, limit: int, ascending: bool = False) -> DataFrame:
@@ -101,23 +234,29 @@ def nearest(corpus: DataFrame, queries: DataFrame, id_col: str, vector_col: str,
     Queries form blocks of at most about ``block`` vectors; each task multiplies its rows with one block and keeps k
     rows a query, so that what is shuffled is k rows for a query and task, never all pairs.
     """
-    blocks = queries.select(F.pmod(F.xxhash64(id_col), F.lit(max(1, queries.count() // block + 1))).alias("_b"), F.struct(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).alias("_q"))
-    blocks = blocks.groupBy("_b").agg(F.array_sort(F.collect_list("_q")).alias("_q"))
-    packs = corpus.select(id_col, vector_col).withColumn("_p", F.spark_partition_id()).groupBy("_p", F.pmod(F.xxhash64(id_col), F.lit(64)).alias("_s")).agg(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))).alias("_r"))
+    n_blocks = max(1, -(-queries.count() // block))
+    kind = corpus.schema[id_col].dataType
+    held = lambda df: F.struct(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    blocks = queries.select(F.pmod(F.xxhash64(id_col), F.lit(n_blocks)).alias("_b"), held(queries).alias("_q")).groupBy("_b").agg(F.array_sort(F.collect_list("_q")).alias("_q"))
+    packs = corpus.select(F.spark_partition_id().alias("_p"), F.pmod(F.xxhash64(id_col), F.lit(64)).alias("_s"), held(corpus).alias("_r")).groupBy("_p", "_s").agg(F.collect_list("_r").alias("_r"))
+    schema = T.StructType([T.StructField("query_id", kind), T.StructField(id_col, kind), T.StructField("distance", T.DoubleType())])
 
     def best(batches):
         for batch in batches:
             for qs, rs in zip(batch.column("_q").to_pylist(), batch.column("_r").to_pylist()):
                 q, r = np.array([x["v"] for x in qs], float), np.array([x["v"] for x in rs], float)
-                qi, ri = np.array([x["id"] for x in qs]), np.array([x["id"] for x in rs])
-                d = np.sqrt(np.maximum((q**2).sum(1)[:, None] + (r**2).sum(1)[None] - 2 * q @ r.T, 0))
-                d[qi[:, None] == ri[None]] = np.inf
-                at = np.argsort(d, axis=1, kind="stable")[:, :k]
-                near = np.take_along_axis(d, at, 1)
+                qi, ri = np.array([x["id"] for x in qs], object), np.array([x["id"] for x in rs], object)
+                rough = (q**2).sum(1)[:, None] + (r**2).sum(1)[None] - 2 * q @ r.T
+                rough[qi[:, None] == ri[None]] = np.inf
+                # The quick form loses the distance of vectors that are nearly equal, so more are kept and measured again.
+                at = np.argsort(rough, axis=1, kind="stable")[:, : 2 * k + 8]
+                near = np.array([np.sqrt(((q[i] - r[at[i]]) ** 2).sum(1)) for i in range(len(q))]).reshape(len(q), -1)
+                near[np.isinf(np.take_along_axis(rough, at, 1))] = np.inf
                 keep = np.isfinite(near)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, at.shape[1]).reshape(at.shape)[keep]), pa.array(ri[at][keep]), pa.array(near[keep])], names=["query_id", id_col, "distance"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, at.shape[1]).reshape(at.shape)[keep].tolist(), type=batch_type), pa.array(ri[at][keep].tolist(), type=batch_type), pa.array(near[keep])], names=schema.names)
 
-    pairs = packs.join(blocks).mapInArrow(best, f"query_id bigint, {id_col} bigint, distance double")
+    batch_type = to_arrow_type(kind)
+    pairs = packs.join(blocks).mapInArrow(best, schema)
     return ranked(pairs, "query_id", "distance", id_col, k, ascending=True)
 
 

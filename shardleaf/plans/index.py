@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from shardleaf.functions import languages
 from shardleaf.functions import text as T
-from shardleaf.functions.embedding import embed, hashed_vectors
 from shardleaf.functions.ignore import ignored
 from shardleaf.functions.stem import stems
 from shardleaf.operators import index
@@ -59,10 +58,25 @@ def ret12_embedding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "chunks").select("id", index.embedding_text(F.col("title"), F.col("tags"), F.col("body")).alias("embedded"))
 
 
-@query()
-def ret14_chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A vector for every chunk, by the backend for tests."""
-    return embed(ret12_embedding_texts(spark, sf_dir), "id", "embedded", hashed_vectors(64))
+_VECTORS_SQL = """SELECT chunk_id, model, response_id, v FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id, model ORDER BY received_at DESC, response_id DESC) AS n FROM
+(SELECT DISTINCT response_id, chunk_id, model, received_at, embeddings[1] AS v FROM embed_responses) WHERE len(v) > 0 AND list_max(list_transform(v, lambda x: abs(x))) > 0) WHERE n = 1"""
+
+
+def current_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``chunk_id, model, response_id, vector``: the newest usable answer for each chunk and model."""
+    rows = table(spark, sf_dir, "embed_responses").select("response_id", "chunk_id", "model", "received_at", F.get("embeddings", F.lit(0)).alias("vector"))
+    usable = rows.where((F.size("vector") > 0) & F.exists("vector", lambda x: x != 0)).dropDuplicates(["response_id"])
+    newest = usable.groupBy("chunk_id", "model").agg(F.max_by(F.struct("response_id", "vector"), F.struct("received_at", "response_id")).alias("a"))
+    return newest.select("chunk_id", "model", "a.response_id", "a.vector")
+
+
+@query(f"WITH m AS (SELECT DISTINCT model FROM ({_VECTORS_SQL})) SELECT c.id, m.model, v.response_id FROM chunks c CROSS JOIN m LEFT JOIN ({_VECTORS_SQL}) v ON v.chunk_id = c.id AND v.model = m.model")
+def jn2_chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vector that each chunk has in each model; null where it is still to be embedded."""
+    vectors = current_vectors(spark, sf_dir).select("chunk_id", "model", "response_id")
+    models = vectors.groupBy().agg(F.collect_set("model").alias("models"))  # one row: a table has few models
+    wanted = table(spark, sf_dir, "chunks").select("id").join(F.broadcast(models)).select("id", F.explode("models").alias("model"))
+    return wanted.join(vectors.withColumnRenamed("chunk_id", "id"), ["id", "model"], "left")
 
 
 @query()

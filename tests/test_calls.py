@@ -33,10 +33,10 @@ def test_conditions(spark):
 
 def test_languages_of_calls(spark):
     rows = [
-        ("Edit", "src/validate_email.rs", None, None, ["rust"]), ("Edit", "project/Cargo.toml", None, None, ["rust"]), ("Edit", "a/B.TSX", None, None, ["typescript"]), ("Bash", None, "just ci", None, []),
-        ("Bash", None, "bundle install", None, ["ruby"]), ("Bash", None, "env FOO=bar cargo build", None, ["rust"]), ("Bash", None, "npm test authentication", None, ["typescript", "javascript"]),
-        ("Edit", None, "cargo build", None, []), ("Bash", None, None, "Run cargo test", ["rust"]), ("Edit", "x/.venv/lib/readme", None, None, ["python"]), ("Edit", ".py", None, None, []), (None, None, None, None, []),
-        ("Bash", "a/x.py", "/usr/bin/python3 x.py && cargo run", "", ["python", "rust"]),
+        ("Edit", "lib/parse_dates.rs", None, None, ["rust"]), ("Edit", "tools/go.mod", None, None, ["golang"]), ("Edit", "a/B.TSX", None, None, ["typescript"]), ("Bash", None, "make all", None, []),
+        ("Bash", None, "bundler exec", None, []), ("Bash", None, "TRACE=1 ghc Main.hs", None, ["haskell"]), ("Bash", None, "yarn lint orders", None, ["typescript", "javascript"]),
+        ("Edit", None, "mix test", None, []), ("Bash", None, None, "Start dotnet watch", ["csharp"]), ("Edit", "x/.venv/lib/readme", None, None, ["python"]), ("Edit", ".py", None, None, []), (None, None, None, None, []),
+        ("Bash", "a/x.py", "/usr/bin/python3 x.py && zig build", "", ["python", "zig"]),
     ]
     df = spark.createDataFrame(rows, "tool string, path string, command string, description string, want array<string>")
     for r in df.withColumn("got", languages.infer_languages(*map(F.col, ("tool", "path", "command", "description")))).collect():
@@ -44,11 +44,14 @@ def test_languages_of_calls(spark):
 
 
 def test_terms_and_query_strings(spark):
-    assert answers(spark, ["a/validateEmail.rs", "UserProfile.tsx", "error_handling.py", "HTTPServer"], calls.filename_terms) == [["validate", "email"], ["user", "profile"], ["error", "handling"], ["h", "t", "t", "p", "server"]]
-    rows = [(["rust"], ["validate", "email"], "rust AND (validate OR email)"), (["a", "b"], ["c"], "(a OR b) AND (c)"), (["a"], [], "a"), ([], ["x", "y"], "x OR y"), ([], [], None)]
+    assert answers(spark, ["a/parseDates.rs", "OrderTable.tsx", "retry_limits.py", "XMLFeed"], calls.filename_terms) == [["parse", "dates"], ["order", "table"], ["retry", "limits"], ["x", "m", "l", "feed"]]
+    rows = [(["rust"], ["parse", "dates"], "rust AND (parse OR dates)"), (["a", "b"], ["c"], "(a OR b) AND (c)"), (["a"], [], "a"), ([], ["x", "y"], "x OR y"), ([], [], None)]
     df = spark.createDataFrame(rows, "l array<string>, t array<string>, want string")
     for r in df.withColumn("got", calls.query_string(F.col("l"), F.col("t"))).collect():
         assert r.got == r.want
+    words = "the a retry which limits retry cafebabe about ok their one how".split()
+    got = spark.createDataFrame([(words,)], "w array<string>").select(T.clean_terms(F.col("w")).alias("t")).head().t
+    assert got == ["retry", "limits", "one"] and len(T.STOP_WORDS) == len(set(T.STOP_WORDS)) == 57
 
 
 def test_small_text_functions(spark):

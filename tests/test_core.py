@@ -60,11 +60,14 @@ def test_chunks_by_heading(spark):
 
 def test_bm25_and_fusion(spark):
     df = spark.createDataFrame([(1, "alpha beta"), (2, "alpha alpha gamma"), (3, "delta"), (4, "epsilon"), (5, None)], "id int, t string")
-    asked = spark.createDataFrame([("q", ["alpha", "delta", "absent"]), ("none", [])], "q string, terms array<string>")
-    got = {r.id: r.score for r in retrieval.bm25(df, "id", {"t": 1.0}, asked, "q", "terms").collect()}
+    asked = spark.createDataFrame([("q", [["alpha", "delta", "absent"]]), ("none", []), ("both", [["alpha"], ["gamma", "beta"]])], "q string, groups array<array<string>>")
+    index = retrieval.build_index(df, "id", {"t": 1.0})
+    got = {(r.q, r.id): r.score for r in retrieval.search(index, "id", asked, "q", 10, digits=12, shard_rows=2, block_queries=1).collect()}
     idf, mean = math.log((5 - 2 + 0.5) / 2.5), 7 / 5
-    assert got[1] == pytest.approx(idf * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 2 / mean)))
-    assert set(got) == {1, 2, 3}
+    assert got["q", 1] == pytest.approx(idf * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 2 / mean)))
+    assert set(got) == {("q", 1), ("q", 2), ("q", 3), ("both", 1), ("both", 2)}
+    assert {(r.q, r.id) for r in retrieval.search(index, "id", asked.withColumn("without", F.array(F.lit("gamma"))), "q", 1).collect()} == {("q", 3), ("both", 1)}
+    assert retrieval.search(retrieval.build_index(df.where("false"), "id", {"t": 1.0}), "id", asked, "q", 10).count() == 0
     lists = [spark.createDataFrame([("q", 1, 1), ("q", 2, 2)], "q string, id int, rank int"), spark.createDataFrame([("q", 1, 1)], "q string, id int, rank int")]
     fused = {r.id: r.fused for r in retrieval.fuse(lists, "q", "id").collect()}
     assert fused[1] == pytest.approx(1.0) and fused[2] == pytest.approx(61 / 62 / 2)
@@ -90,10 +93,20 @@ def test_stemmed_search_against_brute_force(spark):
                     want[q, i] = want.get((q, i), 0) + idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(ws) / mean))
     rows = spark.createDataFrame(list(texts.items()), "id int, t string").withColumn("l", F.lit(None).cast("string"))
     queries = spark.createDataFrame([(q, [], t) for q, t in asked.items()], "q string, langs array<string>, terms array<string>")
-    got = {(r.q, r.id): r.score for r in retrieval.bm25(rows, "id", {"t": 1.0}, queries, "q", "terms", stemmed=True).collect()}
+    index = retrieval.build_index(rows, "id", {"t": 1.0}, "l", stemmed=True)
+    got = {(r.q, r.id): r.score for r in retrieval.search(index, "id", queries.withColumn("groups", F.array("terms")), "q", 10, stemmed=True, digits=12).collect()}
     assert got == pytest.approx(want) and ("a", 2) in got and ("c", 3) in got and ("b", 3) not in got
-    fallback, _ = retrieval.gated_lexical(rows, "id", {"t": 1.0}, "l", queries, "q", "langs", "terms", stemmed=True)
-    assert {(r.q, r.id): r.score for r in fallback.collect()} == pytest.approx(want, abs=1e-6)
+    fallback, structural = retrieval.gated(queries, "q", "langs", "terms")
+    assert {(r.q, r.id): r.score for r in retrieval.search(index, "id", fallback, "q", 10, stemmed=True).collect()} == pytest.approx(want, abs=1e-6)
+    assert structural.count() == 0
+
+
+def test_gated_lists(spark):
+    rows = spark.createDataFrame([(1, "rust locks", None), (2, "locks", '["rust"]'), (3, "locks", '["go", "rust"]'), (4, "locks", "[]"), (5, "locks", "not json"), (6, "rust", None), (7, "locks", None), (8, "none", '["rust"]')], "id int, t string, l string")
+    asked = spark.createDataFrame([("both", ["rust"], ["locks"]), ("words", [], ["locks"]), ("lang", ["rust"], [])], "q string, langs array<string>, terms array<string>")
+    index = retrieval.build_index(rows, "id", {"t": 1.0}, "l")
+    lists = [{(r.q, r.id) for r in retrieval.search(index, "id", x, "q", 10).collect()} for x in retrieval.gated(asked, "q", "langs", "terms")]
+    assert lists[0] == {("both", 1), ("words", 1), ("words", 7), ("lang", 1), ("lang", 6)} and lists[1] == {("both", 2), ("both", 3)}
 
 
 def test_stemmed_queries_find_every_form(spark, sf_dir):
@@ -106,7 +119,8 @@ def test_stemmed_queries_find_every_form(spark, sf_dir):
     tokens = lambda t: {search_form(w) for w in regex.findall(r"[\p{L}\p{M}\p{N}\p{Co}]+", (t or "").lower())} - {""}
     held = [tokens(" ".join(r[c] or "" for c in ("title", "body", "tags", "source_file"))) for r in spark.read.parquet(f"{sf_dir}/chunks.parquet").collect()]
     queries = [r[0] for r in spark.read.parquet(f"{sf_dir}/trace_records.parquet").where("query <> ''").select("query").distinct().collect()]
-    want = {q: n for q in queries if (n := min(10, sum(not ws.isdisjoint(tokens(re.sub(r"\b(?:AND|OR|NOT)\b", " ", q))) for ws in held)))}
+    sides = {q: [tokens(re.sub(r"\bOR\b", " ", side)) for side in re.split(r"\s+AND\s+", q)] for q in queries}
+    want = {q: n for q in queries if (n := min(10, sum(all(not ws.isdisjoint(side) for side in sides[q]) for ws in held)))}
     got = {}
     for r in QUERIES["ret1_stemmed_top10"](spark, sf_dir).collect():
         got[r.qid] = got.get(r.qid, 0) + 1
@@ -119,6 +133,8 @@ def test_nearest_is_exact(spark):
     df = spark.createDataFrame([(i, [float(i * i % 17), float(i)]) for i in range(60)], "id bigint, v array<double>")
     got = retrieval.nearest(df, df.where("id % 7 = 0"), "id", "v", 3, block=4).collect()
     points = {i: (float(i * i % 17), float(i)) for i in range(60)}
+    far = spark.createDataFrame([("a", [1e8, 0.0]), ("b", [1e8, 1e-3]), ("c", [1e8, 3e-3])], "id string, v array<double>")
+    assert [r.id for r in retrieval.nearest(far, far.where("id = 'a'"), "id", "v", 2).orderBy("rank").collect()] == ["b", "c"]
     for q in range(0, 60, 7):
         want = sorted((math.dist(points[q], points[i]), i) for i in points if i != q)[:3]
         assert [x for _, x in want] == [r.id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])]

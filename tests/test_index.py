@@ -56,8 +56,6 @@ def test_registered_queries_without_sql(spark, sf_dir):
     from shardleaf.functions.stem import stem
 
     chunks = spark.read.parquet(f"{sf_dir}/chunks.parquet").collect()
-    vectors = QUERIES["ret14_chunk_vectors"](spark, sf_dir).collect()
-    assert {r.id for r in vectors} == {r.id for r in chunks} and all(len(r.embedding) == 64 for r in vectors)
     want = {}
     for r in chunks:
         for s in {stem(w) for w in regex.findall(r"[\p{L}\p{M}]+", r.body.lower())}:

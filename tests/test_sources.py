@@ -3,7 +3,8 @@ import json
 
 from pyspark.sql import functions as F
 
-from shardleaf.functions.embedding import embed, hashed_vectors
+from shardleaf.functions.embedding import embed
+from tests.backends import hashed_vectors
 from shardleaf.functions.stem import stem, stems
 from shardleaf.sources import files
 from shardleaf.streaming import sessions
