@@ -1,62 +1,99 @@
-"""Personal data in free text: labelers vote on spans, expectation-maximisation weighs them, a classifier decides."""
+"""Personal data in free text: labelers vote on spans, expectation-maximisation weighs them, a span classifier decides."""
 
+import re
 import unicodedata
-from collections import Counter, defaultdict
+import zlib
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KINDS = ("email", "phone", "id_number", "address", "name")
+BUCKETS = 1 << 16  # of the hashed word statistics and of the classifier's hashed features
 
-# Given names that the gazetteer labeler knows where no other list is passed.
+# Common given names of several languages, for the gazetteer where no other list is passed.
 GIVEN_NAMES = (
-    "Ada Adam Alice Amadou Amina Amir Anna Anneke Antonio Bartek Ben Björn Carlos Carmen Caspian Chen Clara Daniel David Diego Elena Emma Erik Fatima "
-    "Felix Fiona Grace Hannah Hans Helen Henrike Hiroshi Ines Inês Ingrid Isabel Ivan Jack James Jan Jane Johannes John José Juan Julia Karl Kate Kenji "
-    "Laura Leontyne Lena Leon Liam Lucas Luis Maria Marisol Mark Marta Martin Mary Michael Miguel Mirek Mohamed Nadia Nina Noriko Odalys Olga Oliver Omar "
-    "Ottoline Pablo Paul Pedro Peter Priya Rachel Robert Rosa Rufus Saoirse Sara Sarah Sofia Sven Thandeka Thomas Tobias Victor Wei Yesenia Yuki Zéphyrine"
+    "James Mary Robert Patricia John Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Charles Karen Christopher Lisa Daniel Nancy "
+    "Matthew Betty Anthony Sandra Andrew Emily Joshua Michelle Kevin Laura Brian Rebecca Edward Deborah Jason Stephanie Peter Hannah Paul Olivia Emma Sophie Alice Oliver Harry "
+    "Hans Klaus Jürgen Wolfgang Stefan Andreas Monika Ursula Sabine Petra Anna Julia Lukas Felix Pierre Jean Marie Camille Luc Antoine Isabelle Claire José Juan Carlos Luis María Carmen "
+    "Ana Javier Pablo Lucía Marco Giulia Francesco Paolo Ivan Dmitri Sergei Olga Natalia Tatiana Svetlana Andrei Mohammed Ahmed Fatima Omar Aisha Hassan Wei Ling Hiroshi Yuki Kenji "
+    "Priya Raj Anil Sanjay Deepa Chen Min Jin Kwame Amara Chidi Ngozi Björn Lars Ingrid Astrid Erik Piotr Katarzyna Zofia Jan Pedro João Beatriz Sofia Elena Nikos Maria"
 ).split()
-# Words by which each context labeler knows its kind, or something else.
-MAIL_WORDS = r"mail|e-mail|mailto|from|cc|contact|write|bounce|notify|reply|author|user|why does|came from"
-REMOTE_WORDS = r"ssh|scp|sftp|rsync|git|clone|mosh|pull|push"
-LOGINS = {"git", "root", "deploy", "sync", "ubuntu", "hg", "svn", "admin"}
-PHONE_WORDS = r"call|call me on|tel|phone|fax|reach|text|number|mobile|cell|sms|dial|ring|on-call at|whatsapp"
-ID_WORDS = r"passport|ssn|social security|tax|national id|identity|personalausweis|ausweis|dni|nie|nif|ni number|licen[cs]e|id card|steuer|kyc|id"
-OTHER_WORDS = r"order|run|build|rows?|version|timeout|uuid|commit|ticket|port|shard|issue|release|ip|listen|kill|\w+_id|queue|chmod|seq|sed|show"
-PLACE_WORDS = r"moved to|lives? at|address|office|ship|disk to|says|street|geo\.py|deliver|visit|post to|send to"
-NAME_WORDS = r"my name is|author|reviewed|reported-by|signed-off-by|cc|hi|hello|dear|thanks|ask|by|as|who|subject|owner|assignee|rg|--|ping|regards"
-TITLES = r"Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Señora?|Mme|M"
-STARTERS = r"The|Personalausweis|Passport|As|If|Hi|Hello|Dear|Ask|Thanks|Cc|Each|Every|This|That|My|Your|Our|Why|Reach|When|While|Once|After|Before|Until|Unless|Any|Some|A|An|All|One|Call|Text|Tel|Ping|SSN|DNI|NI|EOF|ETA"
-TOOLS = r"packages?|scripts?|builds?|modules?|crates?|library|compiler|code|language|are headings"
-
-_L, _W = r"[\p{L}\p{M}]", r"[\p{L}\p{M}'’]+(?:-[\p{L}\p{M}'’]+)*"
-_CAP = rf"\p{{Lu}}(?:[\p{{L}}\p{{M}}'’]*\p{{L}}[\p{{M}}]*)(?:-\p{{Lu}}[\p{{L}}\p{{M}}]+)*"
-EMAIL = regex.compile(
-    r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+'-]*[\p{L}\p{N}](?:@|%40|\s?[\[(]\s?at\s?[\])]\s?)[\p{L}\p{N}-]+(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?)[\p{L}\p{N}-]+)+"
-    r"|\b[\p{L}\p{N}._+-]+ at [\p{L}\p{N}-]+(?: dot [\p{L}\p{N}-]+)+\b",
-    regex.I,
+# Words by which the context labelers know a kind, or something else.
+MAIL_WORDS = "(?:e-?)?mails?|to|mailto|mailed|contact|write|written|cc|bcc|from|sender|recipient|reply|notify|invite|address|author|user|account|signed up|reach"
+REMOTE_WORDS = "ssh|scp|sftp|rsync|git|clone|mosh|pull|push|remote|fetch|svn|hg"
+LOGINS = frozenset("git root deploy ubuntu admin hg svn ec2-user postgres www-data sync".split())
+PHONE_WORDS = "call|called|calls|calling|tel|telephone|phone|fax|reach|text|number|mobile|cell|sms|dial|ring|whatsapp|contact|hotline|handy|telefon|téléphone|teléfono|móvil"
+ID_WORDS = (
+    "passport|ssn|social security|social insurance|social|tax|national|identity|insurance|personalausweis|ausweis|steuer\\w*|reisepass|dni|nie|nif|cpf|cnpj|rg|curp|rfc|aadhaar|pan|sin|nino|ni|nhs|"
+    "personnummer|bsn|pesel|codice fiscale|driver'?s?|driving|licen[cs]es?|id|id-?card|identification|tin|itin|kyc|numéro fiscal|permis|passeport|pasaporte"
 )
-PHONE = regex.compile(r"(?<![\p{L}\p{N}_.@/:-])(?:\+|\()?\d(?:[ ().\-/]{0,3}\d){6,14}(?:\s?(?:ext\.?|x)\s?\d{1,5})?(?![\p{L}\p{N}_/:@]|[.-]\d)", regex.I)
-NUMBER = regex.compile(
-    r"(?<![\p{L}\p{N}_.@-])(?:\d{3}[- ]\d{2}[- ]\d{4}|\p{Lu}{2}[ -]?\d\d[ -]?\d\d[ -]?\d\d[ -]?\p{Lu}|\d{2,3}/\d{3,4}/\d{4,5}|\d{6}-\d{4}|\p{L}?-?\d{7,8}-?\p{Lu}"
-    r"|\p{Lu}[\p{L}\p{M}'’]{1,7}\d{6}[\p{L}\d]{2,4}|\p{Lu}{1,2}[ -]?\d(?:[ -]?\d){5,8})(?![\p{L}\p{N}_]|[-/.]\d)"
+OTHER_WORDS = (
+    "order|orders|run|runs|build|rows?|version|v|release|timeout|uuid|guid|commit|ticket|issue|pr|port|shard|ip|host|pid|process|line|lines|page|chapter|section|error|code|status|exit|size|offset|bytes?|"
+    "count|total|sum|batch|job|task|queue|seed|seq|epoch|step|sku|invoice|tracking|isbn|serial|model|part|price|amount|balance|date|time|timestamp|at|between|kill|chmod|sleep|listen|bind|revision|rev|tag|hash"
 )
-_STREET = r"(?:street|st|lane|ln|drive|dr|road|rd|avenue|ave|court|ct|close|way|square|terrace|crescent|boulevard|blvd|place)"
-ADDRESS = regex.compile(
-    rf"(?<![\p{{L}}\p{{N}}_.:/-])(?:\d{{1,5}}(?:[ -]?\p{{L}})?,? (?:{_L}[\p{{L}}\p{{M}}.'’-]*\s){{1,4}}?{_STREET}\b"
-    rf"|p\.? ?o\.? ?box \d+|\d{{1,4}}(?: ?bis| ?ter)?,? (?:rue|avenue|chemin|place|quai)\s(?:(?:de|du|des|la|le|l')\s?)*{_W}(?:\s{_W})?"
-    rf"|(?:calle|avenida|plaza|via|viale|piazza|rua|carrer)\s(?:(?:de|del|da|do|la|las|los)\s)*{_W},? \d+|{_L}+(?:stra(?:ß|ss)e|str\.|allee|weg|gasse|platz|damm|ufer)\s\d{{1,4}}\b)"
-    r"(?:(?:,\s?|\s)(?:apt|flat|unit|suite|2º|\dº)[ .]?[\w.º]*(?:\sizq\.?|\sder\.?)?)?",
-    regex.I,
+COUNT_WORDS = "runs|tries|attempts|cases|items|rows|requests|times|ms|milliseconds|seconds|secs?|s|minutes|min|hours|days|bytes|kb|mb|gb|passed|failed|percent|lines|files|events|records|users|tests|points|of the"
+PLACE_WORDS = "moved? to|lives?|living|address(?:ed)?|office|ship(?:ped|ping)?|deliver(?:ed|y)?|visit|post|send|sent|parcel|letter|mail|to|at|residing|located|reside|home|house|wohnt|habite|vive"
+NAME_WORDS = (
+    "my name is|name is|i am|i'm|named|author|authors|reviewer|reviewed|reviewed-by|reported-by|signed-off-by|co-authored-by|tested-by|cc|hi|hello|hey|dear|thanks|thank you|thx|regards|cheers|ask|asked|ping|by|from|with|"
+    "client|customer|colleague|manager|user|owner|assignee|assigned to|contact|patient|employee|candidate|subject|signed|sincerely|told|tell|met|meet|says|said|who|for|call|called|invite|attn"
 )
-_TOWN = regex.compile(rf"(?:[,\n]\s?(?:\d{{4,5}} )?{_CAP}(?: {_CAP})?)?(?:[,\n]\s?[A-Z]{{1,2}}\d{{0,2}}[A-Z]? ?\d[\dA-Z]{{2,4}})?")
-NAME = regex.compile(rf"(?<![\p{{L}}\p{{N}}_@#/.])(?!(?:{STARTERS})\b)(?:(?:{TITLES})\.? )?(?:\p{{Lu}}\. )?{_CAP}(?:,? (?!(?:{STARTERS})\b)(?:\p{{Lu}}\. )?(?:(?:van|von|de|der|den|da|di|la) )*{_CAP}){{0,2}}(?![\p{{L}}\p{{N}}_/=]|\.\w|@)")
+TITLES = "Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Herr|Frau|Señora|Señor|Sra|Sr|Mme|Mlle|Monsieur|Madame|Sir|Dame"
+AFTER_NAME = "said|says|wrote|writes|asked|asks|owns|reviewed|reported|signed|complained|called|joined|left|replied|thinks|wants|agreed|lives|works|will|has|is out|was|and i\\b|can"
+THINGS = (
+    "packages?|scripts?|builds?|modules?|crates?|librar(?:y|ies)|compilers?|code|languages?|frameworks?|servers?|services?|apis?|class(?:es)?|functions?|repos?|repositor(?:y|ies)|branch(?:es)?|plugins?|tools?|"
+    "files?|folders?|headings?|sections?|projects?|teams?|tests?|jobs?|pipelines?|tables?|queries|query|databases?|clusters?|nodes?|ports?|tags?|versions?|releases?|docs?|pages?|hooks?|workers?|keys?|labels?|are headings"
+)
+# Words that begin a sentence with a capital and are no part of a name.
+FUNCTION_WORDS = frozenset(
+    "the a an this that these those each every any some all both no one two another my your his her its our their it we you they he she i if when while as as_long once after before until unless although though whereas whenever since because "
+    "given even so but and or nor yet for in on at to from by with of into over under about between through during without within please note see ask hi hello hey dear thanks thank cc bcc re fwd regards cheers call text tel phone fax ping reach contact "
+    "who what which where why how is are was were be been do does did can could should would will may might must not never always then than there here now today tomorrow yesterday also just only still last next first second "
+    "monday tuesday wednesday thursday friday saturday sunday january february march april june july august september october november december ok todo fixme eof eta".split()
+)
+
+
+def _pair(template: str, flags: int = 0):
+    """A pattern for ASCII texts and one for all others: ``{U}`` is an upper-case letter, ``{L}`` any."""
+    return re.compile(template.replace("{U}", "A-Z").replace("{L}", "A-Za-z"), flags), regex.compile(template.replace("{U}", r"\p{Lu}").replace("{L}", r"\p{L}\p{M}"), flags)
 
 
-_COUNTED = regex.compile(r"\s(?:in \w+ (?:runs|tries|cases)|items|passed|ms|seconds|times|of the (?:schema|table))\b")
+EMAIL = _pair(
+    r"(?<![{L}0-9._%+-])[{L}0-9][{L}0-9._%+'-]*(?:@|%40|\s?[\[(]\s?at\s?[\])]\s?)[{L}0-9-]+(?:(?:\.|\s?[\[(]\s?dot\s?[\])]\s?)[{L}0-9-]+)+|\b[{L}0-9][{L}0-9._+-]* at [{L}0-9-]+(?: dot [{L}0-9-]+)+\b",
+    re.I,
+)
+PHONE = _pair(r"(?<![{L}0-9_.@/:#-])(?:\+|\()?\d(?:[ ().\-/]{0,3}\d){6,14}(?:\s?(?:ext\.?|x)\s?\d{1,5})?(?![{L}0-9_/:@]|[.-]\d)", re.I)
+# Forms of numbers of identity documents: groups of digits (social security, tax, health, identity), digits with check letters, passports and licences.
+NUMBER = _pair(
+    r"(?<![{L}0-9_.@/#+-])(?:\d{3}[- ]\d{2}[- ]\d{4}|\d{3}[- ]\d{3}[- ]\d{3}|\d{3}\.\d{3}\.\d{3}-\d{2}|\d{4} \d{4} \d{4}|\d{2,3}/\d{3,4}/\d{4,5}|\d{6}[-+]\d{4}|\d{2} \d{3} \d{3} \d{3}|[12] ?\d\d ?\d\d ?\d\d ?\d{3} ?\d{3}(?: ?\d\d)?"
+    r"|[{U}]{2}[ -]?\d\d[ -]?\d\d[ -]?\d\d[ -]?[{U}]|[{U}]?-?\d{7,8}-?[{U}]|[{U}]{6}\d\d[{U}]\d\d[{U}]\d{3}[{U}]|[{U}][{L}'’]{1,7}\d{6}[{L}\d]{2,5}|[{U}]\d{2}[{U}]\d{2}[{U}]\d{2}|[{U}]{1,2}[ -]?\d(?:[ -]?\d){5,8}|\d{9,12})(?![{L}0-9_]|[-/.]\d)"
+)
+OWN_FORM = _pair(r"\d{3}-\d\d-\d{4}|\d{3}\.\d{3}\.\d{3}-\d\d|[{U}]{2} ?\d\d ?\d\d ?\d\d ?[{U}]|\d{8}-?[{U}]|[{U}]-?\d{7}-?[{U}]|[{U}]{6}\d\d[{U}]\d\d[{U}]\d{3}[{U}]|\d{6}[-+]\d{4}|\d{2,3}/\d{3,4}/\d{5}")
+_STREET = "street|st|lane|ln|drive|dr|road|rd|avenue|ave|court|ct|close|way|square|sq|terrace|crescent|boulevard|blvd|place|row|hill|gardens|parkway|highway"
+ADDRESS = _pair(
+    rf"(?<![{{L}}0-9_.:/-])(?:\d{{1,5}}(?:[ -]?[{{L}}])?,? (?:[{{L}}][{{L}}.'’-]*\s){{1,4}}?(?:{_STREET})\b"
+    r"|p\.? ?o\.? ?box \d+|\d{1,4}(?: ?bis| ?ter)?,? (?:rue|avenue|chemin|place|quai|boulevard|allée)\s(?:(?:de|du|des|la|le|l')\s?)*[{L}'’-]+(?:\s[{L}'’-]+)?"
+    r"|(?:calle|avenida|plaza|paseo|via|viale|piazza|corso|rua|carrer|rue)\s(?:(?:de|del|da|do|dos|la|las|los)\s)*[{L}'’-]+(?:\s[{L}'’-]+)?,? \d+|[{L}]+(?:stra(?:ß|ss)e|str\.|allee|weg|gasse|platz|damm|ufer|straat|gatan)\s\d{1,4}\b)"
+    r"(?:(?:,\s?|\s)(?:apt|apartment|flat|unit|suite|floor|piso|2º|\dº)[ .]?[{L}0-9.º]*(?:\s(?:izq|der|dcha)\.?)?)?",
+    re.I,
+)
+CAP = r"[{U}][{L}'’]*[{L}](?:-[{U}][{L}]+)*"
+TOWN = _pair(rf"(?:[,\n]\s?(?:\d{{4,5}} )?{CAP}(?: {CAP})?)?(?:[,\n]?\s?[A-Z]{{1,2}}\d{{0,2}}[A-Z]? ?\d[\dA-Z]{{2,4}}\b)?")
+NAME = _pair(rf"(?<![{{L}}0-9_@#/.\-=])(?:(?:{TITLES})\.? )?(?:[{{U}}]\. )?{CAP}(?:,? (?:[{{U}}]\. )?(?:(?:van|von|de|der|den|da|di|la|del|el|bin|al|ten) )*{CAP}){{0,4}}(?![{{L}}0-9_/=(]|\.[{{L}}0-9]|@)")
+WORD = _pair(r"[{L}0-9'’-]+")
+CAPS = _pair(rf"(?:[{{U}}]\.|{CAP})")
+#: Where a given or family name stands, whatever the name: learning looks at these places.
+PLACES = _pair(
+    rf"(?:\b(?:my name is|signed-off-by:|reviewed-by:|reported-by:|co-authored-by:|tested-by:|authors?[:=]|cc:|hi|hello|hey|dear|thanks,?|regards,|cheers,|(?:{TITLES})\.?)) \"?({CAP})(?: ({CAP}))?"
+    .replace("my name is", "[Mm]y name is").replace("signed-off", "[Ss]igned-off").replace("reviewed-by", "[Rr]eviewed-by").replace("reported-by", "[Rr]eported-by").replace("co-auth", "[Cc]o-[Aa]uth")
+    .replace("|authors?", "|[Aa]uthors?").replace("cc:", "[Cc]c:").replace("|hi|hello|hey|dear|thanks,?|regards,|cheers,", "|[Hh]i|[Hh]ello|[Hh]ey|[Dd]ear|[Tt]hanks,?|[Rr]egards,|[Cc]heers,")
+    + rf"|({CAP}) ({CAP}) <[^<>@\s]+@"
+)
 
 
 def folded(text: str) -> str:
@@ -75,199 +112,384 @@ def folded(text: str) -> str:
     return "".join(out)
 
 
-@lru_cache(64)
-def _near(words: str) -> regex.Pattern:
+@lru_cache(100_000)
+def bucket(word: str) -> int:
+    plain = word.lower() if word.isascii() else "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c)).casefold()
+    return zlib.crc32(plain.encode()) % BUCKETS
+
+
+@lru_cache(256)
+def _near(words: str, gap: int = 18) -> re.Pattern:
     """One of the words, then at most a few characters that are no end of a sentence, up to the span."""
-    return regex.compile(rf"(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}])(?:no\. |(?![.!?]\s)[^\n]){{0,18}}\Z", regex.I)
+    return re.compile(rf"(?<![^\W_])(?:{words})(?!\w)(?:no\. |(?![.!?;]\s)[^\n]){{0,{gap}}}\Z", re.I)
+
+
+@lru_cache(256)
+def _next_to(words: str) -> re.Pattern:
+    return re.compile(rf"(?<!\w)(?:{words})(?!\w)[:=,]?\s?[\"'(<]{{0,2}}\Z", re.I)
+
+
+@lru_cache(256)
+def _after(words: str) -> re.Pattern:
+    return re.compile(rf"\s(?:{words})(?!\w)", re.I)
 
 
-def _before(text: str, at: int, words: str, reach: int = 44) -> bool:
-    return bool(_near(words).search(text[max(0, at - reach) : at]))
+_COUNTED = re.compile(rf"\s(?:in \w+ )?(?:{COUNT_WORDS})(?!\w)", re.I)
+_THING = re.compile(rf"\s(?:and (?:the )?[A-Z]\w+ )?(?:{THINGS})(?!\w)")
+_ORDINARY = re.compile(r"(?<![\w-])(?:and|of|the|in|is|are|a|to|for|that|this|was|has)(?!\w)", re.I)
+_POSTCODE = re.compile(r"\b\d{5}\b|\b[A-Z]{1,2}\d{1,2}[A-Z]? ?\d[A-Z]{2}\b|\b\d{4} ?[A-Z]{2}\b")
+_NORTH = re.compile(r"(?:\+?1[-. ]?)?\(?\d{3}\)?[-. ]\d{3}[-. ]\d{4}|\d{3}-\d{4}|\(?0\d{2,4}\)?[ -]\d{3,4}[ -]?\d{3,4}|0\d(?: \d\d){4}")
+_DATE = re.compile(r"(?:19|20)\d\d[-./]?\d\d[-./]?\d\d(?:[- ]\d+)?|\d{1,2}[./-]\d{1,2}[./-](?:19|20)?\d\d|\d{1,3}(?:\.\d{1,3}){3}|\d+(?:\.\d+){2,}")
+_SHAPE = str.maketrans({**{c: "9" for c in "0123456789"}, **{c: "a" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}})
 
 
-def _key(word: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c)).casefold()
+class WordStats:
+    """Hashed counts over a whole table: in how many texts a word stands in a name's place, and in lower case."""
 
+    def __init__(self, named: np.ndarray, lower: np.ndarray, given_names):
+        self.named, self.lower, self.given = named, lower, frozenset(map(bucket, given_names))
 
-def _spans(text: str, pattern: regex.Pattern, taken: list[tuple[int, int]]):
-    for m in pattern.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b in taken):
-            yield m
+    def known(self, word: str, least: int = 3) -> bool:
+        b = bucket(word)
+        return b in self.given or bool(self.named[b] >= least and self.named[b] > self.lower[b])
 
+    def ordinary(self, word: str) -> bool:
+        b = bucket(word)
+        return bool(self.lower[b] > 2 + 2 * self.named[b])
 
-def candidates(text: str, given: frozenset[str]):
-    """(kind, start, end, votes) of every span that any pattern proposes; votes are 1, 0 or -1 of each labeler of the kind."""
-    text, found = folded(text), []
 
-    mails = []
-    for m in EMAIL.finditer(text):
+def learn_words(texts: DataFrame, given_names=tuple(GIVEN_NAMES)) -> WordStats:
+    """The statistics of all texts of a table's first column: two counts for each of ``BUCKETS`` hashed words reach the driver, whatever the table."""
+    column = texts.columns[0]
+
+    def count(batches):
+        named, lower = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        small = re.compile(r"(?<![\w@#/.+-])[a-z]{3,}\b(?![@＠%(\[]|[.+-]\w| at )")
+        for batch in batches:
+            seen: dict[str, int] = {}
+            for text in batch.column(0).to_pylist():
+                if not text:
+                    continue
+                for word in set(small.findall(text)):
+                    seen[word] = seen.get(word, 0) + 1
+                if not any(c in text for c in CUES):
+                    continue
+                places = PLACES[not text.isascii()]
+                for b in {bucket(w) for m in places.finditer(folded(text)) for w in m.groups() if w and w.lower() not in FUNCTION_WORDS}:
+                    named[b] += 1
+            for word, n in seen.items():
+                lower[bucket(word)] += n
+        at = np.flatnonzero(named | lower)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(named[at]), pa.array(lower[at])], names=["b", "named", "lower"])
+
+    found = texts.select(column).mapInArrow(count, "b bigint, named bigint, lower bigint").groupBy("b").agg(F.sum("named").alias("named"), F.sum("lower").alias("lower")).toPandas()
+    named, lower = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    named[found["b"].to_numpy(np.int64)], lower[found["b"].to_numpy(np.int64)] = found["named"], found["lower"]
+    return WordStats(named, lower, given_names)
+
+
+def _mails(text, n):
+    for m in EMAIL[n].finditer(text):
         a, b = m.span()
-        local, tail = m[0].split("@")[0].casefold(), regex.findall(r"[\p{L}\p{N}-]+", m[0])[-1]
-        command = regex.split(r"[|;&\n]|(?<=[.!?]) ", text[max(0, a - 60) : a])[-1]
-        remote = bool(regex.search(rf"(?<![\p{{L}}-])(?:{REMOTE_WORDS})\s(?!send-email|.*author|.*config|.*commit)", command, regex.I)) or bool(regex.match(r":[\w/~.]", text[b : b + 2]))
-        votes = (
-            0 if tail.isalpha() and len(tail) > 1 else -1,
-            -1 if remote else 0,
-            -1 if local in LOGINS or not tail.isalpha() else 1,
-            1 if _before(text, a, MAIL_WORDS) or text[a - 1 : a] in ("<", ":") else 0,
-            -1 if regex.search(r"(?:@|%40)\d", m[0]) or not regex.search(r"\p{L}{2,}$", m[0].rstrip(")] ")) else 0,
-            1 if "@" not in m[0] or regex.search(r"[._+\d]", local) else 0,
+        local, tail = re.split("@|%40|[\\[( ]", m[0])[0].lower(), re.findall(r"[\w-]+", m[0])[-1]
+        good = tail.isalpha() and len(tail) > 1
+        command = re.split(r"[|;&\n]|(?<=[.!?]) ", text[max(0, a - 60) : a])[-1]
+        remote = bool(re.search(rf"(?<![\w-])(?:{REMOTE_WORDS})\s(?!send-email|.*author|.*config|.*commit|.*format-patch)", command, re.I)) or bool(re.match(r":[\w/~.]", text[b : b + 2]))
+        yield a, b, (
+            1 if good else -1,
+            -1 if remote else 1 if good else 0,
+            -1 if local in LOGINS else 0,
+            1 if _near(MAIL_WORDS).search(text[max(0, a - 44) : a]) or text[a - 1 : a] in ("<", ":", "=") else 0,
+            -1 if re.search(r"(?:@|%40)\d", m[0]) else 0,
+            1 if re.search(r"[._+\d-]", local) or len(local) > 6 else 0,
         )
-        mails.append((a, b))
-        found.append(("email", a, b, votes))
-    taken = list(mails)
-    for m in _spans(text, ADDRESS, taken):
+
+
+def _addresses(text, n):
+    for m in ADDRESS[n].finditer(text):
         a, b = m.span()
-        rest = _TOWN.match(text, b)
+        rest = TOWN[n].match(text, b)
         end = rest.end() if rest else b
-        head = regex.search(r"(?:flat|apt|unit|suite)\s\w+,\s$", text[max(0, a - 14) : a], regex.I)
+        head = re.search(r"(?:flat|apt|unit|suite)\s\w+,\s$", text[max(0, a - 14) : a], re.I)
         a -= len(head[0]) if head else 0
-        after = text[b : b + 40]
-        votes = (
-            1 if _before(text, a, PLACE_WORDS) else 0,
-            1 if regex.match(rf"[,\n]\s?(?:\d|{_L})", after) else -1,
-            1 if regex.search(r"\bp\.? ?o\.? ?box|bis |º|\bapt|\bflat", text[a:b], regex.I) or head else 0,
-            1 if regex.search(r"\b\d{5}\b|\b[A-Z]{1,2}\d{1,2} \d[A-Z]{2}\b", after) else 0,
-            -1 if regex.search(r"\b(?:and|of|the|in|is|are|a|to|for)\b", m[0], regex.I) else 1,
+        after, words = text[b : b + 40], re.findall(r"[^\W\d_]+", m[0])
+        yield a, end, (
+            1 if _near(PLACE_WORDS).search(text[max(0, a - 44) : a]) else 0,
+            1 if re.match(r"[,\n]\s?(?:\d|[^\W\d_])", after) else -1,
+            1 if re.search(r"\bp\.? ?o\.? ?box|bis |º|\bapt|\bflat|\bunit", text[a:b], re.I) or head else 0,
+            1 if _POSTCODE.search(after) else 0,
+            -1 if _ORDINARY.search(m[0]) else 1,
+            1 if words and sum(w[0].isupper() for w in words) * 2 >= len(words) else -1,
         )
-        taken.append((a, end))
-        found.append(("address", a, end, votes))
-    for m in _spans(text, NUMBER, taken):
-        a, b = m.span()
-        other = bool(_COUNTED.match(text, b)) or _before(text, a, OTHER_WORDS, 22) and not _before(text, a, rf"row \d+ shows|{ID_WORDS}")
-        named = bool(regex.search(rf"(?<![\p{{L}}_])(?:{ID_WORDS})(?![\p{{L}}_])[^!?]{{0,14}}$", text[max(0, a - 34) : a], regex.I))
-        form = regex.fullmatch(r"\d{3}-\d\d-\d{4}|[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-Z]|\d{8}-?[A-Z]|[A-Z]-?\d{7}-?[A-Z]", m[0])
-        number = not named and bool(PHONE.fullmatch(m[0])) and _before(text, a, PHONE_WORDS)
-        votes = (1 if named else -1, 1 if form else 0, -1 if other else 0, -1 if number else 0, -1 if regex.search(r"(?:=|[\p{Lu}]{2}-\d)", text[a - 1 : a] + m[0]) and not named else 0)
-        found.append(("id_number", a, b, votes))
-        if not number:
-            taken.append((a, b))
-    for m in _spans(text, PHONE, taken):
+
+
+def _numbers(text, n):
+    for m in NUMBER[n].finditer(text):
         a, b = m.span()
-        groups = regex.split(r"\s?(?:ext\.?|x)", m[0], flags=regex.I)[0]
-        north = regex.fullmatch(r"(?:\+?1[-. ]?)?\(?\d{3}\)?[-. ]\d{3}[-. ]\d{4}|\d{3}-\d{4}|0\d{2,4} \d{3,4} ?\d{3,4}", groups)
-        world = regex.match(r"\+\d|00[1-9]\d", groups)
-        date = regex.fullmatch(r"(?:19|20)\d\d[-./]?\d\d[-./]?\d\d(?:[- ]\d+)?|\d{1,3}(?:\.\d{1,3}){3}", groups)
-        other = bool(_COUNTED.match(text, b)) or _before(text, a, OTHER_WORDS, 20)
-        votes = (1 if world else 0, 1 if north else -1 if not world else 0, 1 if _before(text, a, PHONE_WORDS) and not _before(text, a, "social security number|ni number") else 0, -1 if other or date else 1, 1 if groups != m[0] or "(" in m[0] else 0)
-        found.append(("phone", a, b, votes))
-        taken.append((a, b))
-    for m in _spans(text, NAME, taken):
+        before = text[max(0, a - 34) : a]
+        named = bool(re.search(rf"(?<![\w])(?:{ID_WORDS})(?![\w])[^!?]{{0,18}}\Z", before, re.I))
+        other = bool(_COUNTED.match(text, b)) or bool(_near(OTHER_WORDS, 8).search(text[max(0, a - 22) : a]))
+        form = OWN_FORM[n].fullmatch(m[0])
+        yield a, b, (
+            1 if named else -1,
+            1 if form else 0,
+            -1 if other and not named else 0,
+            -1 if not named and _near(PHONE_WORDS).search(text[max(0, a - 24) : a]) else 0,
+            -1 if not named and (text[a - 1 : a] == "=" or re.match(r"[A-Z]{2,3}-\d", m[0])) else 0,
+            -1 if not named and (_NORTH.fullmatch(m[0]) or _DATE.fullmatch(m[0]) or m[0].isdigit()) else 0,
+        )
+
+
+def _phones(text, n):
+    for m in PHONE[n].finditer(text):
         a, b = m.span()
-        parts = [_key(w) for w in regex.findall(_CAP, m[0])]
-        titled = bool(regex.match(rf"(?:{TITLES})\.?\s", m[0]))
-        first = a == 0 or bool(regex.search(r"(?:[.!?]\s+|\n\s*|[\p{L}\d] )$", text[max(0, a - 3) : a])) and not regex.search(r"\p{Ll}+ $", text[max(0, a - 10) : a])
-        known = sum(p in given for p in parts) if not titled else 1
-        cue = bool(regex.search(rf"(?<![\p{{L}}])(?:{NAME_WORDS})(?![\p{{L}}])[:=,]?\s?[\"'(<]{{0,2}}$", text[max(0, a - 22) : a], regex.I))
-        follows = bool(regex.match(r"\s(?:said|owns|wrote|asked|will sign|reviewed)\b|\s<", text[b : b + 14]))
-        tool = bool(regex.match(rf"\s(?:and (?:the )?{_CAP} )?(?:{TOOLS})\b", text[b : b + 40]))
-        initial = bool(regex.search(r"(?:^|\s)\p{Lu}\.", m[0]))
-        votes = (1 if known and not tool else -1, 1 if titled or initial else 0, 1 if cue or follows else 0, -1 if tool else 0, 1 if len(parts) - titled > 1 else 0, -1 if first and not (known or titled or cue or follows) else 0)
-        if (known or titled or cue or follows or len(parts) > 1) and not regex.fullmatch(r"\p{Lu}{2,4}", m[0]):
-            found.append(("name", a, b, votes))
-    return found
+        groups = re.split(r"\s?(?:ext\.?|x)", m[0], flags=re.I)[0]
+        north, world, date = _NORTH.fullmatch(groups), re.match(r"\+\d|00[1-9]\d", groups), _DATE.fullmatch(groups)
+        before = text[max(0, a - 34) : a]
+        other = bool(_COUNTED.match(text, b)) or bool(_near(OTHER_WORDS, 8).search(text[max(0, a - 20) : a]))
+        named = bool(re.search(rf"(?<![\w])(?:{ID_WORDS})(?![\w])[^!?]{{0,18}}\Z", before, re.I))
+        cue = bool(_near(PHONE_WORDS).search(text[max(0, a - 44) : a]))
+        yield a, b, (1 if world else 0, 0 if world or (north and "." in groups and not cue) else 1 if north else -1, 1 if cue and not named else 0, -1 if (other and not cue) or date else 1, 1 if groups != m[0] or "(" in m[0] else 0, -1 if named and not world else 0)
+
+
+def _names(text, n, words: WordStats):
+    for m in NAME[n].finditer(text):
+        found, at = m[0], m.start()
+        title = re.match(rf"(?:{TITLES})\.? ", found)
+        runs, run = [], []
+        for w in CAPS[n].finditer(found, title.end() if title else 0):
+            if w[0].lower() in FUNCTION_WORDS:
+                runs.append(run)
+                run = []
+            else:
+                run.append((w.start(), w.end(), w[0]))
+        for run in (*runs, run):
+            if not run:
+                continue
+            a, b = at + run[0][0], at + run[-1][1]
+            parts = [w for _, _, w in run if not w.endswith(".")]
+            if not parts or all(len(p) < 5 and p.isupper() for p in parts):
+                continue
+            titled = bool(title) and run[0][0] == title.end()
+            before, after = text[max(0, a - 26) : a], text[b : b + 24]
+            shown = before.rstrip(" \"'(*_>")
+            first = a == 0 or not shown or shown[-1] in ".!?\n" or before.endswith("\n")
+            known = [words.known(p) for p in parts]
+            cue = bool(_next_to(NAME_WORDS).search(before)) or after.startswith(" <")
+            follows, thing = bool(_after(AFTER_NAME).match(after)), bool(_THING.match(after))
+            if len(parts) == 1 and first and not (titled or known[0] or (cue and not words.ordinary(parts[0]))):
+                continue
+            a = at if titled else a
+            yield a, b, (
+                1 if (titled or any(known)) and not thing else 0,
+                1 if titled or any(w.endswith(".") for _, _, w in run) else 0,
+                1 if cue else 0,
+                1 if follows else 0,
+                -1 if thing else 0,
+                1 if len(parts) > 1 and any(known) else 0,
+                -1 if any(map(words.ordinary, parts)) else 0,
+                -1 if first and not cue else 0,
+                1 if len(parts) > 1 and not first and not any(map(words.ordinary, parts)) else 0,
+                -1 if (not any(known) and any(map(str.isupper, parts))) or any(re.search(r"[a-z][A-Z]", p) for p in parts) else 0,
+            )
+
+
+# What a text must hold for the costlier patterns to be tried at all; each of their matches holds one of these.
+_DIGIT, _DIGITS = re.compile(r"[0-9]"), re.compile(r"[0-9](?:[^\n]{0,3}[0-9]){4}")
+STREETS = (*(f" {w}" for w in _STREET.split("|")), "box", "rue", "chemin", "quai", "allée", "boulevard", "calle", "avenida", "plaza", "paseo", "via", "piazza", "corso", "rua", "carrer", "stra", "str.", "allee", "weg", "gasse", "platz", "damm", "ufer", "gatan")
+CUES = ("y name is", "-by:", "uthor", "c: ", "Hi ", " hi ", "ello ", "Hey ", " hey ", "Dear", "dear ", "hanks", "egards,", "heers,", "> ", "@", *(f"{t.rstrip('?')}" for t in TITLES.split("|")))
+
+
+def candidates(text: str, words: WordStats):
+    """(kind, start, end, votes) of every span that any pattern proposes, overlapping ones too; a vote is 1, 0 or -1."""
+    text = folded(text)
+    n = not text.isascii()
+    out = []
+    if "@" in text or "%40" in text or "(at" in text or "[at" in text or (" at " in text and " dot " in text) or "at )" in text:
+        out += [("email", *c) for c in _mails(text, n)]
+    if _DIGIT.search(text):
+        low = text.lower()
+        if any(w in low for w in STREETS):
+            out += [("address", *c) for c in _addresses(text, n)]
+        if _DIGITS.search(text):
+            out += [("id_number", *c) for c in _numbers(text, n)] + [("phone", *c) for c in _phones(text, n)]
+    mails = [(a, b) for kind, a, b, _ in out if kind == "email"]
+    return out + [("name", a, b, votes) for a, b, votes in _names(text, n, words) if not any(c < b and a < d for c, d in mails)]
+
+
+def features(text: str, kind: str, start: int, end: int) -> list[int]:
+    """Hashed features of a span and its context: its shape, its words, the words and characters around it."""
+    n = not text.isascii()
+    span, left, right = text[start:end], WORD[n].findall(text[max(0, start - 50) : start])[-4:], WORD[n].findall(text[end : end + 40])[:3]
+    shape = span.translate(_SHAPE)
+    left, right = [w.lower() for w in left], [w.lower() for w in right]
+    line = start == 0 or text[start - 1] == "\n"
+    found = [f"c:{text[start - 1 : start]}", f"d:{text[end : end + 1]}", f"line:{line}", *(f"l:{w}" for w in left), *(f"r:{w}" for w in right), *(f"l{i}:{w}" for i, w in enumerate(left[::-1][:2])), *(f"r{i}:{w}" for i, w in enumerate(right[:2]))]
+    if kind in ("phone", "id_number"):
+        found += [f"s:{shape}", f"s:{re.sub('9+', '9', shape)}"]
+    elif kind == "name":
+        found += [f"s:{re.sub('(?<=A)a+', 'a', shape)}"]
+    elif kind == "address":
+        found += [f"w:{w.lower()}" for w in WORD[n].findall(span)[-3:]]
+    return [zlib.crc32(f"{kind}|{x}".encode()) % BUCKETS for x in found]
+
+
+SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("votes", T.ArrayType(T.ByteType())), T.StructField("features", T.ArrayType(T.IntegerType()))]))
+
+
+def propose(df: DataFrame, text_col: str, words: WordStats, spans: str = "_spans") -> DataFrame:
+    """``df`` with the candidate spans of each text, their votes and features: found once, for learning and for deciding."""
+    broadcast = df.sparkSession.sparkContext.broadcast(words)
+    schema = T.StructType([*[f for f in df.schema if f.name != spans], T.StructField(spans, SPANS)])
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("votes", pa.list_(pa.int8())), ("features", pa.list_(pa.int32()))]))
+
+    def find(batches):
+        stats = broadcast.value
+        for batch in batches:
+            rows = []
+            for text in batch.column(text_col).to_pylist():
+                plain = folded(text or "")
+                rows.append([{"kind": k, "start": a, "end": b, "votes": list(v), "features": features(plain, k, a, b)} for k, a, b, v in candidates(plain, stats)] if plain else [])
+            kept = [c for c in batch.schema.names if c != spans]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(rows, kind)], names=[*kept, spans])
+
+    return df.mapInArrow(find, schema)
+
+
+def weigh(patterns: dict[tuple[int, ...], int], rounds: int = 100, strength: float = 1.0) -> np.ndarray:
+    """Expectation-maximisation (Dawid and Skene's model) over vote patterns and their counts.
+
+    Gives the log odds that each vote adds (a row for each labeler: of -1, 0 and 1), and in the last row those before
+    any vote. It starts from the majority of votes. The prior on a labeler's reliability has the weight of ``strength``
+    times the spans, so the result does not depend on their number; with less of it, tables of a few hundred spans
+    settle on other classes.
+    """
+    votes, n = np.array(list(patterns)), np.array(list(patterns.values()), float)
+    likely, weight = 1 / (1 + np.exp(-1.6 * votes.sum(1))), strength * n.sum()
+    odds = np.zeros((votes.shape[1] + 1, 3))
+    for _ in range(rounds):
+        for y, share in ((1, likely), (0, 1 - likely)):
+            mass, sign = n * share, 1 if y else -1
+            log = np.zeros_like(odds)
+            log[-1] = np.log((mass.sum() + 0.05 * n.sum()) / (1.1 * n.sum()))
+            for j in range(votes.shape[1]):
+                for v in (-1, 0, 1):
+                    prior = 0.4 if v == 0 else 0.5 if (v == 1) == bool(y) else 0.1
+                    log[j, v + 1] = np.log((mass[votes[:, j] == v].sum() + prior * weight) / (mass.sum() + weight))
+            odds = sign * log if y else odds + sign * log
+        likely = 1 / (1 + np.exp(-np.clip(_odds(odds, votes), -50, 50)))
+    return odds
+
+
+def _odds(odds: np.ndarray, votes: np.ndarray) -> np.ndarray:
+    return odds[np.arange(len(odds) - 1)[None], votes + 1].sum(axis=1) + odds[-1, 0]
 
 
 class Classifier:
-    """Per kind a logistic model on the votes alone; it sees neither the span nor its context."""
+    """Per kind the log odds of a span: those of its votes, and those that its shape, words and context add.
 
-    def __init__(self, weights: dict[str, np.ndarray]):
-        self.weights, self._known = weights, {}
+    A span that no labeler votes for starts from ``UNVOTED`` at most, so that only a telling context makes it count.
+    """
 
-    @staticmethod
-    def features(votes) -> np.ndarray:
-        v = np.asarray(votes, float)
-        return np.concatenate(([1.0], v == 1, v == -1))
+    UNVOTED, MIX, MOST = -1.5, 0.5, 4.0
 
-    def sure(self, kind: str, votes: tuple[int, ...]) -> bool:
+    def __init__(self, odds: dict[str, np.ndarray], hashed: np.ndarray):
+        self.odds, self.hashed, self._known = odds, hashed, {}
+
+    def of_votes(self, kind: str, votes: tuple[int, ...]) -> float:
         if (kind, votes) not in self._known:
-            self._known[kind, votes] = bool(self.features(votes) @ self.weights[kind] > 0) if kind in self.weights else sum(votes) > 0
+            value = float(_odds(self.odds[kind], np.array([votes]))[0]) if kind in self.odds else float(sum(votes))
+            self._known[kind, votes] = value if max(votes) > 0 else min(value, self.UNVOTED)
         return self._known[kind, votes]
 
-    def spans(self, text: str, given: frozenset[str]) -> list[tuple[int, int, str]]:
-        """Chosen spans in order, without overlaps: an earlier start, then the longer one, wins."""
-        chosen = sorted((a, -b, kind) for kind, a, b, votes in candidates(text, given) if self.sure(kind, votes))
+    def score(self, kind: str, votes, found) -> float:
+        context = float(self.hashed[np.asarray(found, np.int64)].sum())
+        return self.of_votes(kind, tuple(int(v) for v in votes)) + self.MIX * max(-self.MOST, min(self.MOST, context))
+
+    def chosen(self, spans) -> list[tuple[int, int, str]]:
+        """Accepted spans in order, without overlaps: an earlier start, then the longer one, then the surer one wins."""
+        scored = [(s["start"], -s["end"], -self.score(s["kind"], s["votes"], s["features"]), s["kind"]) for s in spans]
         out, end = [], 0
-        for a, b, kind in chosen:
+        for a, b, score, kind in sorted(x for x in scored if x[2] < 0):
             if a >= end:
                 out.append((a, -b, kind))
                 end = -b
         return out
 
 
-def weigh(patterns: dict[tuple[int, ...], int], rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """Expectation-maximisation (Dawid and Skene's model): the probability of each vote pattern to be personal data, and its count.
-
-    The prior on a labeler's reliability is a fixed share of the spans, so the result does not depend on their number.
-    """
-    votes, n = np.array(list(patterns)), np.array(list(patterns.values()), float)
-    likely = 1 / (1 + np.exp(-1.6 * votes.sum(1)))
-    for _ in range(rounds):
-        log = np.zeros((len(n), 2))
-        for y, share in ((1, likely), (0, 1 - likely)):
-            mass = n * share
-            log[:, y] = np.log((mass.sum() + 0.05 * n.sum()) / (1.1 * n.sum()))
-            for j in range(votes.shape[1]):
-                for v in (-1, 0, 1):
-                    at = votes[:, j] == v
-                    prior = {0: 0.4, 1: 0.5 if y else 0.1, -1: 0.1 if y else 0.5}[v]
-                    log[at, y] += np.log((mass[at].sum() + prior * 0.5 * n.sum()) / (mass.sum() + 0.5 * n.sum()))
-        likely = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50)))
-    return likely, n
-
-
-def fit(texts: DataFrame, given_names=tuple(GIVEN_NAMES)) -> Classifier:
-    """The span classifier, from the votes on all texts of the table's first column.
+def fit(proposed: DataFrame, spans: str = "_spans", max_samples: int = 20_000, rounds: int = 150, restraint: float = 20.0) -> Classifier:
+    """The span classifier, from the votes on all candidate spans.
 
-    Only counts of vote patterns reach the driver: at most 3 to the number of labelers for each kind, whatever the
-    number of texts. A kind that no span is proposed for is decided by the majority of votes. Null texts have no spans.
+    Counts of vote patterns over all texts go to the driver (3 to the number of labelers for each kind at most); there
+    expectation-maximisation weighs the labelers. With the resulting probabilities as labels a logistic model on hashed
+    features of span and context (no votes) is trained on at most ``max_samples`` spans of each kind, those first by a
+    hash of their place and words. A kind that no span is proposed for is decided by the majority of votes.
     """
-    column, given = texts.columns[0], frozenset(map(_key, given_names))
-
-    def count(batches):
-        seen: Counter = Counter()
-        for pdf in batches:
-            for text in pdf[column].dropna():
-                seen.update((kind, ",".join(map(str, votes))) for kind, _, _, votes in candidates(text, given))
-        yield pd.DataFrame([(k, v, n) for (k, v), n in seen.items()], columns=["kind", "votes", "n"])
-
-    patterns: dict[str, dict[tuple[int, ...], int]] = defaultdict(dict)
-    for r in texts.mapInPandas(count, "kind string, votes string, n bigint").groupBy("kind", "votes").agg(F.sum("n").alias("n")).collect():
-        patterns[r.kind][tuple(map(int, r.votes.split(",")))] = r.n
-    weights = {}
-    for kind, found in sorted(patterns.items()):
-        found = dict(sorted(found.items()))
-        likely, n = weigh(found)
-        x = np.array([Classifier.features(v) for v in found])
-        w, share = np.zeros(x.shape[1]), n / n.sum()
-        for _ in range(40):  # Newton's steps with a small ridge
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            slope = x.T @ (share * (p - likely)) + 1e-3 * w
-            w -= np.linalg.solve((x.T * (share * p * (1 - p) + 1e-9)) @ x + 1e-3 * np.eye(len(w)), slope)
-        weights[kind] = w
-    return Classifier(weights)
-
-
-def redact(df: DataFrame, text_col: str, classifier: Classifier, given_names=tuple(GIVEN_NAMES), redacted: str = "redacted", kinds: str = "kinds") -> DataFrame:
-    """``df`` with its text where each piece of personal data is ``[KIND]``, and the sorted array of the kinds found.
+    each = proposed.select(F.explode(spans).alias("s")).select("s.*")
+    counts = each.groupBy("kind", F.array_join(F.col("votes").cast("array<string>"), ",").alias("v")).agg(F.count(F.lit(1)).alias("n")).collect()
+    patterns: dict[str, dict[tuple[int, ...], int]] = {}
+    for r in sorted(counts, key=lambda r: (r.kind, r.v)):
+        patterns.setdefault(r.kind, {})[tuple(map(int, r.v.split(",")))] = r.n
+    # What no labeler votes for is held to be nothing, and left to the context.
+    voted = {kind: {v: n for v, n in found.items() if max(v) > 0} for kind, found in patterns.items()}
+    model = Classifier({kind: weigh(found) for kind, found in voted.items() if found}, np.zeros(BUCKETS))
+    order, share = F.xxhash64("features", "start"), F.lit(0.0)
+    for kind, found in patterns.items():
+        share = F.when(F.col("kind") == kind, min(1.0, 1.2 * max_samples / sum(found.values()))).otherwise(share)
+    sample = each.where(F.pmod(order, F.lit(1 << 20)) <= share * (1 << 20)).withColumn("_n", F.row_number().over(Window.partitionBy("kind").orderBy(order, "start", "features"))).where(F.col("_n") <= max_samples)
+    rows = sample.select("kind", "votes", "features", "start").collect()
+    for kind in patterns:
+        part = sorted((r for r in rows if r.kind == kind), key=lambda r: (r.features, r.start, r.votes))
+        y = np.array([1 / (1 + np.exp(-max(-30.0, min(30.0, model.of_votes(kind, tuple(r.votes)))))) for r in part])
+        place = np.repeat(np.arange(len(part)), [len(r.features) for r in part])
+        used, at = np.unique(np.concatenate([np.asarray(r.features, np.int64) for r in part]), return_inverse=True)
+        seen, h = np.bincount(at, minlength=len(used)), np.zeros(len(used))
+        base = np.log((y.mean() + 0.01) / (1.01 - y.mean()))
+        for _ in range(rounds):  # rare words are held near zero by the restraint
+            p = 1 / (1 + np.exp(-np.clip(base + np.bincount(place, h[at], minlength=len(y)), -30, 30)))
+            h -= 0.5 * (np.bincount(at, (p - y)[place], minlength=len(used)) + restraint * h) / (2.5 * seen + restraint)
+        model.hashed[used] += h
+    return model
+
+
+def redact(proposed: DataFrame, text_col: str, classifier: Classifier, redacted: str = "redacted", kinds: str = "kinds", spans: str = "_spans") -> DataFrame:
+    """Texts with ``[KIND]`` in place of each piece of personal data, and the sorted array of the kinds found.
 
     All else stays character for character. A null text gives null and no kinds, an empty one stays empty. Repeated rows
-    stay. A column of ``df`` named like a result column is replaced. A map over rows without shuffle.
+    stay. A column named like a result column is replaced. A map over rows without shuffle.
     """
-    given = frozenset(map(_key, given_names))
+    shared = proposed.sparkSession.sparkContext.broadcast(classifier)
 
     @F.pandas_udf("redacted string, kinds array<string>")
-    def mask(texts: pd.Series) -> pd.DataFrame:
-        out, sorts = [], []
-        for text in texts:
-            spans = classifier.spans(text, given) if text else []
+    def mask(texts: pd.Series, found: pd.Series) -> pd.DataFrame:
+        model, out, sorts = shared.value, [], []
+        for text, each in zip(texts, found):
+            chosen = model.chosen(each) if each is not None and len(each) else []
             parts, at = [], 0
-            for a, b, kind in spans:
+            for a, b, kind in chosen:
                 parts += [text[at:a], f"[{kind.upper()}]"]
                 at = b
             out.append(None if text is None else "".join(parts) + text[at:])
-            sorts.append(sorted({k for _, _, k in spans}))
+            sorts.append(sorted({k for _, _, k in chosen}))
         return pd.DataFrame({"redacted": out, "kinds": sorts})
 
-    masked = df.withColumn("_masked", mask(F.col(text_col).cast("string")))
-    return masked.withColumns({redacted: F.col("_masked.redacted"), kinds: F.col("_masked.kinds")}).drop("_masked")
+    masked = proposed.withColumn("_masked", mask(F.col(text_col), F.col(spans)))
+    return masked.withColumns({redacted: F.col("_masked.redacted"), kinds: F.col("_masked.kinds")}).drop("_masked", spans)
+
+
+def fit_on(df: DataFrame, text_col: str, given_names=tuple(GIVEN_NAMES)) -> tuple[WordStats, Classifier]:
+    """Statistics and classifier of a table, for ``redact_with`` on others."""
+    words = learn_words(df.select(text_col), given_names)
+    return words, fit(propose(df.select(text_col), text_col, words).checkpoint())
+
+
+def redact_with(df: DataFrame, text_col: str, words: WordStats, classifier: Classifier, redacted: str = "redacted", kinds: str = "kinds") -> DataFrame:
+    return redact(propose(df, text_col, words), text_col, classifier, redacted, kinds)
+
+
+def redact_texts(df: DataFrame, text_col: str, given_names=tuple(GIVEN_NAMES), redacted: str = "redacted", kinds: str = "kinds") -> DataFrame:
+    """``redact`` with statistics, candidates and classifier of the table itself. Candidates are written once and read for learning and for deciding."""
+    given = df.withColumn(text_col, F.col(text_col).cast("string"))
+    words = learn_words(given.select(text_col), given_names)
+    proposed = propose(given, text_col, words).checkpoint()
+    return redact(proposed, text_col, fit(proposed), redacted, kinds)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shardleaf.llm import leakage, lookalikes, neighbours, packing, privacy, quantiles, queries, readability, splitting
+from shardleaf.llm import leakage, lookalikes, neighbours, packing, quantiles, queries, readability, splitting
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
@@ -38,32 +38,6 @@ def test_lookalikes(spark):
     assert form[None] is None and form[""] == ""
 
 
-def test_personal_data(spark):
-    cases = [
-        ("mail me at jane.doe@mail.example please", {"email"}), ("git clone git@code.example:core/x.git", set()), ("npm install @a/loader@9.1.2", set()),
-        ("call me on (943) 555-0153 if it breaks", {"phone"}), ("Listen on 316.5.3.7:1193", set()), ("Version 1.206.555.0142 of the schema.", set()),
-        ("row 14 shows passport Q75861949 in clear", {"id_number"}), ("Timeout was 755 39 5411 in three runs.", set()),
-        ("I moved to 1432 Old Tannery Lane, Saint-Orlac last month", {"address"}), ("Lane 4, court 2 and road 7 are test labels.", set()),
-        ("cc: Ingrid Umberleigh", {"name"}), ("The Julia package and the Ruby script both fail.", set()), ("", set()), (None, set()),
-    ]
-    df = spark.createDataFrame([(i, t, "x") for i, (t, _) in enumerate(cases * 3)], "id int, t string, kinds string")
-    model = privacy.fit(df.select("t"))
-    for r in privacy.redact(df, "t", model).collect():
-        text, kinds = cases[r.id % len(cases)]
-        assert set(r.kinds) == kinds, text
-        assert (r.redacted == text) == (not kinds)
-    empty = privacy.fit(df.where("false").select("t"))
-    assert privacy.redact(df.where("false"), "t", empty).count() == 0
-
-
-def test_placeholders_keep_the_rest():
-    model = privacy.Classifier({})
-    given = frozenset(map(privacy._key, privacy.GIVEN_NAMES))
-    text = "why does bartek_35@post.invalid get two copies"
-    (a, b, kind), = model.spans(text, given)
-    assert (text[a:b], kind) == ("bartek_35@post.invalid", "email")
-
-
 def test_percentiles_within_error_and_mergeable(spark):
     rng = np.random.default_rng(3)
     rows = [(f"d{i % 4}", "a" if i % 3 else None, float(v)) for i, v in enumerate(rng.lognormal(3, 2, 12000))] + [("d0", "a", None), ("d0", "a", float("nan"))]
