@@ -1,5 +1,6 @@
 """The k most similar vectors of every vector, from neighbouring keys in several shifted Hilbert orderings."""
 
+from dataclasses import dataclass
 from math import isqrt
 
 import numpy as np
@@ -28,37 +29,61 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(np.stack([(row >> level) & 1 for level in range(bits - 1, -1, -1) for row in x], axis=1).astype(np.uint8), axis=1)
 
 
-def _ordering(number: int, dims: int, axes: int) -> tuple[np.ndarray, np.ndarray]:
-    """The projection and the shift of an ordering; they depend on no data, so all tasks and days agree."""
-    rng = np.random.default_rng([number, dims])
-    basis, _ = np.linalg.qr(rng.standard_normal((dims, dims)))
-    return basis[:, :axes] * np.sqrt(dims) / 3, rng.uniform(-0.5, 0.5, axes)
+@dataclass(frozen=True)
+class Axes:
+    """The directions along which the vectors of one width spread most, their middle and their spread."""
 
+    middle: np.ndarray
+    directions: np.ndarray
+    spread: float
 
-def _near(vectors: np.ndarray, ids: np.ndarray, first: int, last: int, window: int, k: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """For rows first to last: the places and cosines of the k most similar rows, ties by id; infinity where there are fewer.
 
-    Rows are compared in blocks, each with all rows of its block and at least ``window`` rows on either side. Sums of
-    products of halves are exact in double precision, so a pair has the same cosine wherever it is met.
+def fit_axes(vectors: np.ndarray, most: int) -> Axes:
+    """Principal axes of a sample; with few vectors the axes of the space stand in."""
+    dims = vectors.shape[1]
+    middle = vectors.mean(axis=0)
+    if len(vectors) < 4 * most:
+        return Axes(middle * 0, np.eye(dims)[:, :most], dims**-0.5)
+    _, _, axes = np.linalg.svd(vectors - middle, full_matrices=False)
+    return Axes(middle, axes[:most].T, max(1e-6, float(((vectors - middle) @ axes[:most].T).std(axis=0).mean())))
+
+
+def _ordering(number: int, fitted: Axes, axes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The turned projection and the shift of an ordering; they follow from its number and the axes, so all tasks agree."""
+    rng = np.random.default_rng([number, *fitted.directions.shape])
+    turn, _ = np.linalg.qr(rng.standard_normal((fitted.directions.shape[1],) * 2))
+    return fitted.directions @ turn[:, :axes] / (6 * fitted.spread), rng.uniform(-1 / 12, 1 / 12, min(axes, turn.shape[1]))
+
+
+def _near(vectors: np.ndarray, ids: np.ndarray, first: int, last: int, window: int, k: int, block: int = 512, spare: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """For rows first to last: the places and cosines of the k most similar rows, ties by id; minus infinity where there are fewer.
+
+    Rows are compared in blocks, each with all rows of its block and at least ``window`` rows on either side, in single
+    precision; the best and a few to spare are then measured in double precision, in which sums of products of halves
+    are exact, so a pair has the same cosine wherever it is met.
     """
-    n, norms, by_id = len(vectors), np.sqrt((vectors**2).sum(1)), np.empty(len(vectors))
+    n = len(vectors)
+    exact = vectors.astype(np.float64)
+    exact /= np.sqrt((exact**2).sum(1))[:, None]
+    quick, by_id = exact.astype(np.float32), np.empty(n)
     by_id[np.argsort(ids, kind="stable")] = np.arange(n)
     places, cosines = np.zeros((last - first, k), int), np.full((last - first, k), -np.inf)
     for at in range(first, last, block):
         end = min(last, at + block)
         a, b = max(0, at - window), min(n, end + window)
-        loss = -np.rint(vectors[at:end] @ vectors[a:b].T / np.outer(norms[at:end], norms[a:b]) * 1e6)
-        order = loss * n + by_id[a:b]
-        order[np.arange(end - at), np.arange(at, end) - a] = np.inf
-        most = min(k, b - a)
-        best = np.argpartition(order, most - 1, axis=1)[:, :most]
-        best = np.take_along_axis(best, np.argsort(np.take_along_axis(order, best, 1), axis=1), 1)
-        places[at - first : end - first, :most] = best + a
-        cosines[at - first : end - first, :most] = np.where(np.isfinite(np.take_along_axis(order, best, 1)), -np.take_along_axis(loss, best, 1) / 1e6, -np.inf)
+        rough = quick[at:end] @ quick[a:b].T
+        rough[np.arange(end - at), np.arange(at, end) - a] = -np.inf
+        held, most = min(k + spare, b - a), min(k, b - a)
+        best = np.argpartition(rough, b - a - held, axis=1)[:, b - a - held :] + a
+        loss = -np.rint(np.einsum("id,ijd->ij", exact[at:end], exact[best]) * 1e6)
+        loss[best == np.arange(at, end)[:, None]] = np.inf
+        best, loss = (np.take_along_axis(x, np.lexsort((by_id[best], loss), axis=1)[:, :most], 1) for x in (best, loss))
+        places[at - first : end - first, :most] = best
+        cosines[at - first : end - first, :most] = -loss / 1e6
     return places, cosines
 
 
-def similar_vectors(df: DataFrame, id_col: str, group_col: str, vector_col: str, k: int = 5, orderings: int = 20, window: int = 256, axes: int = 12, bits: int = 15, task_rows: int = 20_000) -> DataFrame:
+def similar_vectors(df: DataFrame, id_col: str, group_col: str, vector_col: str, k: int = 5, orderings: int = 8, window: int = 1024, axes: int = 8, spread_axes: int = 16, bits: int = 15, sample: int = 4096, task_rows: int = 20_000) -> DataFrame:
     """``id_col, neighbour, similarity, rank``: the k vectors of the same group most similar (cosine) to each vector.
 
     Vectors are usable if they are not null, hold no null, NaN or infinity, and are not all zeros; others have no row
@@ -68,11 +93,12 @@ def similar_vectors(df: DataFrame, id_col: str, group_col: str, vector_col: str,
 
     Vectors travel in half precision, so cosines are right to about 0.0005; those equal in it are one vector: the
     smallest id stands for its copies in all orderings, and the copies come back, by id, before neighbours are chosen.
-    Every such vector is projected on ``axes`` random directions, shifted and given its place on a Hilbert curve of so
+    Of each width, ``spread_axes`` principal axes are fitted on at most ``sample`` vectors, those first by a hash. Every
+    vector is projected on ``axes`` random directions among them, shifted and given its place on a Hilbert curve of so
     many ``bits`` that a crowd of very similar vectors is still spread along it, once per ordering. Each ordering is
     range-partitioned and sorted by place; a vector is compared with at least ``window`` rows before and after it, in
-    large tables with the square root of their vectors. The results of all orderings merge. What is lost: neighbours
-    that no ordering brings within the window, or that a border between tasks parts in each of them.
+    large tables with four times the square root of their vectors. The results of all orderings merge. What is lost:
+    neighbours that no ordering brings within the window, or that a border between tasks parts in each of them.
     """
     value = F.col(vector_col).cast("array<float>")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
@@ -92,27 +118,38 @@ def similar_vectors(df: DataFrame, id_col: str, group_col: str, vector_col: str,
                 yield pd.DataFrame({"id": part["id"], "grp": part["grp"], "dims": dims, "vec": [r.tobytes() for r in half]})
 
     def place(batches):
+        fitted = shared.value
         for pdf in batches:
             for dims, part in pdf.groupby("dims", sort=False):
                 x = np.frombuffer(b"".join(part["vec"]), np.float16).reshape(-1, dims).astype(np.float64)
                 keys = []
                 for number in range(orderings):
-                    projection, shift = _ordering(number, dims, min(axes, dims))
-                    unit = np.clip((x @ projection + shift + 1.5) / 3, 0, 1 - 1e-9)
+                    projection, shift = _ordering(number, fitted[dims], axes)
+                    unit = np.clip((x - fitted[dims].middle) @ projection + shift + 0.5, 0, 1 - 1e-9)
                     keys.append([r.tobytes() for r in hilbert_keys((unit * (1 << bits)).astype(np.int64), bits)])
                 yield part.assign(keys=list(zip(*keys)))
 
     rows = given.mapInPandas(halve, T.StructType(half_fields)).distinct().checkpoint()
     alike = rows.groupBy("grp", "dims", "vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).select("id", "grp", "dims", "vec", "n")
+    sizes = {r.dims: r.n for r in alike.groupBy("dims").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each width
+    share = F.lit(0.0)
+    for dims, n in sizes.items():
+        share = F.when(F.col("dims") == dims, min(1.0, 1.2 * sample / n)).otherwise(share)
+    few = alike.select("dims", "vec", F.xxhash64("vec").alias("hash")).where(F.pmod("hash", F.lit(1 << 20)) <= share * (1 << 20))
+    few = few.withColumn("at", F.row_number().over(Window.partitionBy("dims").orderBy("hash", "vec"))).where(F.col("at") <= sample)
+    drawn: dict[int, list] = {}
+    for r in few.select("dims", "vec").collect():
+        drawn.setdefault(r.dims, []).append(np.frombuffer(r.vec, np.float16).astype(np.float64))
+    shared = df.sparkSession.sparkContext.broadcast({dims: fit_axes(np.stack(x), min(spread_axes, dims)) for dims, x in drawn.items()})
     # Written once: the range partitioning looks at the keys before it moves them.
     keyed = alike.mapInPandas(place, keyed_schema).checkpoint()
     vectors = keyed.count()
-    window = max(window, isqrt(vectors))
+    window = max(window, 4 * isqrt(vectors))
     tasks = max(1, -(-vectors * orderings // max(task_rows, 40 * window)))
     line = keyed.select("id", "grp", "dims", "vec", F.posexplode("keys").alias("ordering", "key"))
     order = ["ordering", "grp", "dims", "key", "id"]
     line = line.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
-    near_schema = T.StructType([T.StructField("id", kind), T.StructField("near", T.ArrayType(T.StructType([T.StructField("loss", T.DoubleType()), T.StructField("id", kind)])))])
+    near_schema = T.StructType([T.StructField("id", kind), T.StructField("losses", T.ArrayType(T.FloatType())), T.StructField("near", T.ArrayType(kind))])
 
     def compare(batches):
         held, begun = None, 0  # rows kept back, and how many of them are already answered
@@ -130,7 +167,8 @@ def similar_vectors(df: DataFrame, id_col: str, group_col: str, vector_col: str,
                 held, begun = held.iloc[drop:].reset_index(drop=True), ready - drop
 
     found = line.mapInPandas(compare, near_schema)
-    merged = found.groupBy("id").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
+    near = F.transform(F.arrays_zip("losses", "near"), lambda x: F.struct(x["losses"].cast("double").alias("loss"), x["near"].alias("id")))
+    merged = found.groupBy("id").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list(near)))), 1, k).alias("near"))
 
     # Copies come back: k of them and one more, as a row is none of its own neighbours.
     many = keyed.where("n > 1").select(F.col("id").alias("one"), F.col("grp").alias("_g"), F.col("dims").alias("_d"), F.col("vec").alias("_v"))
@@ -143,7 +181,7 @@ def similar_vectors(df: DataFrame, id_col: str, group_col: str, vector_col: str,
     best = pairs.union(own).groupBy("from").agg(F.slice(F.sort_array(F.collect_list(F.struct("loss", "id"))), 1, k + 1).alias("near"))
     every = copies.union(keyed.where("n = 1").select("id", "id")).toDF("from", "id").join(best, "from")
     out = every.select("id", F.posexplode(F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k)).alias("at", "x"))
-    return out.select(F.col("id").alias(id_col), F.col("x.id").alias("neighbour"), (-F.col("x.loss")).alias("similarity"), (F.col("at") + 1).alias("rank"))
+    return out.select(F.col("id").alias(id_col), F.col("x.id").alias("neighbour"), F.round(-F.col("x.loss"), 6).alias("similarity"), (F.col("at") + 1).alias("rank"))
 
 
 def _runs(batches):
@@ -164,8 +202,8 @@ def _runs(batches):
 
 def _answers(held: pd.DataFrame, first: int, last: int, window: int, k: int) -> pd.DataFrame:
     dims = int(held["dims"].iloc[0])
-    vectors = np.frombuffer(b"".join(held["vec"]), np.float16).reshape(-1, dims).astype(np.float64)
+    vectors = np.frombuffer(b"".join(held["vec"]), np.float16).reshape(-1, dims)
     ids = held["id"].to_list()
     at, cosines = _near(vectors, held["id"].to_numpy(), first, last, window, k)
-    near = [[{"loss": -c, "id": ids[p]} for p, c in zip(row, cos) if np.isfinite(c)] for row, cos in zip(at, cosines)]
-    return pd.DataFrame({"id": ids[first:last], "near": near})
+    kept = np.isfinite(cosines)
+    return pd.DataFrame({"id": ids[first:last], "losses": [-c[h] for c, h in zip(cosines.astype(np.float32), kept)], "near": [[ids[p] for p in row[h]] for row, h in zip(at, kept)]})
