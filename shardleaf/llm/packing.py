@@ -11,8 +11,16 @@ from pyspark.sql import functions as F
 STATE = "shard int, island int, rows array<bigint>, sizes array<int>, pop array<array<int>>"
 
 
-def _best_fit(bins: list[list[int]], items: list[int], sizes: list[int], capacity: int) -> None:
-    """Put each of ``items``, in the given order, into the bin that it fills best, or into a new one."""
+class Packing:
+    """Bins of item numbers and their loads."""
+
+    def __init__(self, bins: list[list[int]], sizes: list[int], capacity: int):
+        self.bins, self.loads = bins, [sum(sizes[i] for i in b) for b in bins]
+        self.fitness = sum((load / capacity) ** 2 for load in self.loads) / max(1, len(bins))  # few full bins beat many half full ones
+
+
+def _best_fit(bins: list[list[int]], items: list[int], sizes: list[int], capacity: int) -> list[list[int]]:
+    """Each of ``items``, in the given order, put into the bin that it fills best, or into a new one."""
     room = sorted((capacity - sum(sizes[i] for i in b), k) for k, b in enumerate(bins))
     for i in items:
         at = bisect_left(room, (sizes[i], -1))
@@ -23,30 +31,64 @@ def _best_fit(bins: list[list[int]], items: list[int], sizes: list[int], capacit
             bins.append([])
         bins[k].append(i)
         insort(room, (free - sizes[i], k))
+    return bins
 
 
-def _fitness(bins: list[list[int]], sizes: list[int], capacity: int) -> float:
-    """Mean square of the bins' filling: few full bins beat many half full ones."""
-    return sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins) / max(1, len(bins))
-
+def _exchange(bins: list[list[int]], free: list[int], sizes: list[int], capacity: int, rng: Random) -> list[int]:
+    """Displaced items against those in bins, wherever a bin is filled better: up to two of a bin against one or two.
 
-def _cross(a: list[list[int]], b: list[list[int]], sizes: list[int], capacity: int, rng: Random) -> list[list[int]]:
-    """Well-filled bins of b go whole into a; a's bins that share items with them dissolve, with its emptiest one.
-
-    The displaced items, large ones first, go where they fit best.
+    Gives back what is displaced afterwards, large ones first; a bin never gets emptier.
     """
-    filled = sorted(b, key=lambda x: -sum(sizes[i] for i in x))
-    good = filled[: max(1, len(filled) // 2)]
-    at, n = rng.randrange(len(good)), max(1, len(good) // 3)
-    taken = (good + good)[at : at + min(n, len(good))]
+    pool = sorted((sizes[i], i) for i in free)
+    for k in rng.sample(range(len(bins)), len(bins)):
+        b = bins[k]
+        gap = capacity - sum(sizes[i] for i in b)
+        if gap <= 0 or not pool:
+            continue
+        few = b[:6]
+        outs = [(0, ()), *((sizes[i], (i,)) for i in b), *((sizes[i] + sizes[j], (i, j)) for x, i in enumerate(few) for j in few[:x])]
+        most, move = 0, None
+        for size, out in outs:
+            low, high = 0, bisect_left(pool, (size + gap + 1, -1)) - 1
+            if high >= 0 and pool[high][0] - size > most:
+                most, move = pool[high][0] - size, (out, (high,))
+            while low < high and most < gap:
+                both = pool[low][0] + pool[high][0] - size
+                if both > gap:
+                    high -= 1
+                    continue
+                if both > most:
+                    most, move = both, (out, (high, low))
+                low += 1
+            if most == gap:
+                break
+        if move:
+            out, places = move
+            new = [pool.pop(at)[1] for at in places]  # the later place first
+            for i in out:
+                b.remove(i)
+                insort(pool, (sizes[i], i))
+            b.extend(new)
+    return [i for _, i in reversed(pool)]
+
+
+def _settle(kept: list[list[int]], free: list[int], sizes: list[int], capacity: int, rng: Random, poor: int) -> Packing:
+    """Bins and displaced items as a whole packing: the poorest bins and a few of the poorer half dissolve as well, then items are exchanged, and what is left goes where it fits best."""
+    order = sorted(range(len(kept)), key=lambda k: sum(sizes[i] for i in kept[k]))
+    gone = {*order[:poor], *rng.sample(order[: len(order) // 2], min(poor, len(order) // 2))}
+    bins = [list(b) for k, b in enumerate(kept) if k not in gone]
+    left = _exchange(bins, free + [i for k in sorted(gone) for i in kept[k]], sizes, capacity, rng)
+    return Packing(_best_fit(bins, left, sizes, capacity), sizes, capacity)
+
+
+def _cross(a: Packing, b: Packing, sizes: list[int], capacity: int, rng: Random, poor: int) -> Packing:
+    """Well-filled bins of b go whole into a; a's bins that share items with them dissolve, and their other items are displaced."""
+    part = rng.sample(range(len(b.bins)), max(1, len(b.bins) // 6))
+    taken = [b.bins[k] for k in sorted(part, key=lambda k: -b.loads[k])[: max(1, len(part) // 2)]]
     inside = {i for x in taken for i in x}
-    kept = [x for x in a if inside.isdisjoint(x)]
-    if kept:
-        kept.remove(min(kept, key=lambda x: sum(sizes[i] for i in x)))
-    child = [list(x) for x in (*taken, *kept)]
-    there = {i for x in child for i in x}
-    _best_fit(child, sorted((i for x in a for i in x if i not in there), key=lambda i: -sizes[i]), sizes, capacity)
-    return child
+    kept = [x for x in a.bins if inside.isdisjoint(x)]
+    free = [i for x in a.bins if not inside.isdisjoint(x) for i in x if i not in inside]
+    return _settle([*taken, *kept], free, sizes, capacity, rng, poor)
 
 
 def _encode(bins: list[list[int]], n: int) -> list[int]:
@@ -64,25 +106,26 @@ def _decode(bin_of) -> list[list[int]]:
     return [b for b in bins if b]
 
 
-def evolve(sizes: list[int], pop: list[list[list[int]]], capacity: int, population: int, generations: int, rng: Random) -> list[list[list[int]]]:
-    """The population after so many generations, best first. A short one is filled up with noisy best-fit packings."""
+def evolve(sizes: list[int], pop: list[list[list[int]]], capacity: int, population: int, generations: int, rng: Random, poor: int = 3) -> list[Packing]:
+    """The population after so many generations, best first. A short one is filled up with noisy best-fit packings.
+
+    Every other generation is a mutation: the poorest bins of one packing dissolve and are settled anew.
+    """
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     least = -(-sum(sizes) // capacity)
-    pop = list(pop)
-    while len(pop) < population:
-        noise = capacity // 8 if pop else 0  # the first is plain best fit, large ones first
-        bins: list[list[int]] = []
-        _best_fit(bins, sorted(order, key=lambda i: -sizes[i] + rng.uniform(-noise, noise)), sizes, capacity)
-        pop.append(bins)
-    scored = sorted(((_fitness(x, sizes, capacity), k, x) for k, x in enumerate(pop)), key=lambda x: (-x[0], x[1]))
+    found = [Packing(x, sizes, capacity) for x in pop]
+    while len(found) < population:
+        noise = capacity // (4 << len(found) % 3) if found else 0  # the first is plain best fit, large ones first
+        found.append(Packing(_best_fit([], sorted(order, key=lambda i: -sizes[i] + rng.uniform(-noise, noise)), sizes, capacity), sizes, capacity))
+    found.sort(key=lambda x: -x.fitness)
     for g in range(generations):
-        if len(scored[0][2]) <= least:
+        if len(found[0].bins) <= least:
             break
-        a, b = sorted(rng.sample(range(len(scored)), 2))
-        child = _cross(scored[a][2], scored[b][2], sizes, capacity, rng)
-        scored.append((_fitness(child, sizes, capacity), len(pop) + g, child))
-        scored = sorted(scored, key=lambda x: (-x[0], x[1]))[:population]
-    return [x for _, _, x in scored]
+        a, b = rng.sample(range(len(found)), 2)
+        found.append(_settle(found[a].bins, [], sizes, capacity, rng, poor + 1) if g % 2 else _cross(found[a], found[b], sizes, capacity, rng, poor))
+        found.sort(key=lambda x: -x.fitness)
+        found = found[:population]
+    return found
 
 
 def _pack(items: DataFrame, capacity: int, shard_items: int, islands: int, population: int, generations: int, epochs: int) -> DataFrame:
@@ -103,7 +146,7 @@ def _pack(items: DataFrame, capacity: int, shard_items: int, islands: int, popul
                 for r in pdf.itertuples(index=False):
                     sizes = [int(s) for s in r.sizes]
                     pop = evolve(sizes, [_decode(x) for x in r.pop], capacity, population, generations, Random(f"{r.shard}/{r.island}/{number}"))
-                    codes = [_encode(x, len(sizes)) for x in pop]
+                    codes = [_encode(x.bins, len(sizes)) for x in pop]
                     out.append((r.shard, r.island, r.rows, r.sizes, codes))
                     if islands > 1:
                         out.append((r.shard, (r.island + 1) % islands, r.rows[:0], r.sizes[:0], codes[:1]))
@@ -120,15 +163,15 @@ def _pack(items: DataFrame, capacity: int, shard_items: int, islands: int, popul
             out = []
             for r in pdf.itertuples(index=False):
                 sizes = [int(s) for s in r.sizes]
-                fit, bins = max(((_fitness(x, sizes, capacity), x) for x in map(_decode, r.pop)), key=lambda x: x[0])
-                out.append((r.shard, r.island, r.rows, r.sizes, _encode(bins, len(sizes)), fit))
+                best = max((Packing(_decode(x), sizes, capacity) for x in r.pop), key=lambda x: x.fitness)
+                out.append((r.shard, r.island, r.rows, r.sizes, _encode(best.bins, len(sizes)), best.fitness))
             yield pd.DataFrame(out, columns=["shard", "island", "rows", "sizes", "bins", "fit"])
 
     found = state.mapInPandas(best, "shard int, island int, rows array<bigint>, sizes array<int>, bins array<int>, fit double")
     return found.groupBy("shard").agg(F.max_by(F.struct("rows", "sizes", "bins"), F.struct("fit", "island")).alias("b")).select("shard", "b.*")
 
 
-def pack(df: DataFrame, id_col: str, size: "F.Column", capacity: int = 4096, shard_items: int = 1000, islands: int = 2, population: int = 6, generations: int = 12, epochs: int = 2, repack_below: float = 0.95) -> DataFrame:
+def pack(df: DataFrame, id_col: str, size: "F.Column", capacity: int = 4096, shard_items: int = 1000, islands: int = 2, population: int = 4, generations: int = 20, epochs: int = 2, repack_below: float = 0.99) -> DataFrame:
     """Every row of ``df`` assigned to containers of ``capacity``: ``id_col, piece_no, n_pieces, start, length, container``.
 
     ``size`` is a column expression, a count of 1 at least (null or less counts as 1). Only a row larger than the

@@ -75,7 +75,9 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p6_containers(spark, sf_dir).where("n_pieces > 1 AND piece_no = 1").select("doc_id")
+    """Documents that lie in more than one container: counted over the whole assignment, the packed remainders too."""
+    held = p6_containers(spark, sf_dir).groupBy("doc_id").agg(F.count_distinct("container").alias("containers"))
+    return held.where("containers > 1").select("doc_id")
 
 
 def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

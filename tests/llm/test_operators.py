@@ -116,6 +116,22 @@ def test_packing(spark):
     assert packing.pack(df.where("false"), "id", F.col("n")).count() == 0
 
 
+def test_generations_lower_the_count():
+    rng = random.Random(12)
+    fewer = 0
+    for seed in range(4):
+        sizes = [min(4096, max(40, int(rng.lognormvariate(7.4, 0.5)))) for _ in range(500)]
+        start = packing.evolve(sizes, [], 4096, 4, 0, random.Random(seed))
+        end = packing.evolve(sizes, [], 4096, 4, 60, random.Random(seed))
+        for x in (*start, *end):
+            assert sorted(i for b in x.bins for i in b) == list(range(500)) and max(x.loads) <= 4096
+            assert x.loads == [sum(sizes[i] for i in b) for b in x.bins]
+        plain = len(packing._best_fit([], sorted(range(500), key=lambda i: -sizes[i]), sizes, 4096))
+        assert len(end[0].bins) <= min(plain, len(start[0].bins)) and end[0].fitness > start[0].fitness
+        fewer += plain - len(end[0].bins)
+    assert fewer >= 3
+
+
 def test_leaks(spark):
     rng = random.Random(4)
     vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(800)]
