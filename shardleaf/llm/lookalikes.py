@@ -21,7 +21,10 @@ IGNORABLE = re.compile("[\u034f\u115f\u1160\u17b4\u17b5\u180b-\u180f\u3164\uffa0
 BLANK = re.compile(r"[\s\u2800]+")
 
 CLASS = {c: k for k, cs in enumerate(LOOK_ALIKE) for c in cs}
-OPEN, NO_SCORE = "^", math.log(1e-4)
+# What looks much alike in many fonts, though not the same; there the context decides.
+NEARLY = {"l": "I1", "I": "l1", "1": "lI", "0": "O", "O": "0"}
+MERGED = {"rn": "m", "vv": "w", "cl": "d"}
+OPEN = "^"
 
 
 @lru_cache(4096)
@@ -39,66 +42,97 @@ def plain(text: str) -> str:
 
 
 def _symbol(char: str) -> str:
-    """A character of the table stands for itself, any other letter for its script: so there is a fixed number of symbols."""
-    return char if char in CLASS else script(char) or "."
+    """A character of the tables or of ASCII stands for itself, any other letter for its script: so there is a fixed number of symbols."""
+    return char if char in CLASS or (char.isascii() and char.isalnum()) else script(char) or "."
 
 
-def count_pairs(texts) -> Counter:
-    """Pairs of neighbouring symbols in words of one script."""
+def words(text: str) -> list[str]:
+    return re.findall(r"[^\W_]+", re.sub(r"[\u0300-\u036f]", "", text))
+
+
+def count_runs(texts) -> Counter:
+    """Runs of three symbols in words whose letters are of one script."""
     found: Counter = Counter()
     for text in texts:
-        for word in re.findall(r"[^\W\d_]+", re.sub(r"[\u0300-\u036f]", "", plain(text))):
-            if len({script(c) for c in word}) == 1:
-                marks = [OPEN, *map(_symbol, word)]
-                found.update(zip(marks, marks[1:]))
+        for word in words(plain(text)):
+            if len({script(c) for c in word} - {""}) == 1:
+                marks = [OPEN, OPEN, *map(_symbol, word), OPEN]
+                found.update(zip(marks, marks[1:], marks[2:]))
     return found
 
 
 class Model:
-    """Log-probabilities of the next symbol; moving between scripts costs extra."""
-
-    def __init__(self, pairs: dict[tuple[str, str], int], penalty: float = 12.0):
-        totals: Counter = Counter()
-        for (a, _), n in pairs.items():
-            totals[a] += n
-        self.scores = {p: math.log((n + 0.1) / (totals[p[0]] + 10)) for p, n in pairs.items()}
-        self.penalty, self._known = penalty, {}
-
-    def score(self, a: str, b: str) -> float:
-        change = self.penalty if a != OPEN and script(a) != script(b) else 0.0
-        return self.scores.get((_symbol(a) if a != OPEN else a, _symbol(b)), NO_SCORE) - change
-
-    def word(self, word: str) -> str:
-        """The best path (Viterbi) through the look-alikes of each letter of a word, whose spelling does not matter itself."""
-        # The lattice depends on classes alone: all spellings that look the same have the same one.
+    """Log-probabilities of the next symbol after two others; moving between scripts, and reading a character as one that only nearly looks like it, costs extra."""
+
+    def __init__(self, runs: dict[tuple[str, str, str], int], penalty: float = 12.0, nearly: float = 6.0, beam: int = 8):
+        self.three, self.two, self.one, total = dict(runs), Counter(), Counter(), 0
+        self.after_two, self.after_one = Counter(), Counter()
+        for (a, b, c), n in runs.items():
+            self.two[b, c] += n
+            self.one[c] += n
+            self.after_two[a, b] += n
+            self.after_one[b] += n
+            total += n
+        self.total, self.penalty, self.nearly, self.beam = total, penalty, nearly, beam
+        self._scores: dict[tuple[str, str, str], float] = {}
+        self._known: dict[str, str] = {}
+
+    def score(self, a: str, b: str, c: str) -> float:
+        if (a, b, c) not in self._scores:
+            x, y, z = (s if s == OPEN else _symbol(s) for s in (a, b, c))
+            three = self.three.get((x, y, z), 0) / max(1, self.after_two[x, y])
+            two, one = self.two[y, z] / max(1, self.after_one[y]), self.one[z] / max(1, self.total)
+            change = OPEN not in (b, c) and script(b) != script(c) and "" not in (script(b), script(c))
+            self._scores[a, b, c] = math.log(0.7 * three + 0.25 * two + 0.049 * one + 1e-6) - self.penalty * change
+        return self._scores[a, b, c]
+
+    def _options(self, look: str, at: int):
+        """(what stands there, characters that it takes, cost) for each reading of the place."""
+        c = look[at]
+        yield from ((o, 1, 0.0) for o in (LOOK_ALIKE[CLASS[c]] if c in CLASS else c))
+        yield from ((o, 1, self.nearly) for o in NEARLY.get(c, ""))
+        if look[at : at + 2] in MERGED:
+            yield MERGED[look[at : at + 2]], 2, self.nearly
+
+    def word(self, word: str) -> list[tuple[str, int]]:
+        """The best path (Viterbi) through the readings of a word: characters, and how many of the word each stands for.
+
+        Of characters that look the same, the spelling does not matter itself: their readings are the same.
+        """
         look = "".join(LOOK_ALIKE[CLASS[c]][0] if c in CLASS else c for c in word)
         if look not in self._known:
             if len(self._known) > 200_000:
                 self._known.clear()
-            states: list[tuple[float, str]] = [(0.0, OPEN)]
-            paths = [""]
-            for c in look:
-                options = LOOK_ALIKE[CLASS[c]] if c in CLASS else c
-                steps = []
-                for o in options:
-                    best = max(range(len(states)), key=lambda k: (states[k][0] + self.score(states[k][1], o), -k))
-                    steps.append((states[best][0] + self.score(states[best][1], o), o, paths[best] + o))
-                states, paths = [(s, o) for s, o, _ in steps], [p for _, _, p in steps]
-            self._known[look] = paths[max(range(len(states)), key=lambda k: (states[k][0], -k))]
+            ends: list[dict] = [{} for _ in range(len(look) + 1)]
+            ends[0][OPEN, OPEN] = (0.0, ())
+            for at in range(len(look)):
+                for (a, b), (score, path) in sorted(ends[at].items(), key=lambda x: (-x[1][0], x[0]))[: self.beam]:
+                    for o, n, cost in self._options(look, at):
+                        reached = score + self.score(a, b, o) - cost
+                        held = ends[at + n].get((b, o))
+                        if held is None or reached > held[0]:
+                            ends[at + n][b, o] = (reached, (*path, (o, n)))
+            self._known[look] = list(max(((s + self.score(a, b, OPEN), path) for (a, b), (s, path) in sorted(ends[-1].items())), key=lambda x: x[0])[1])
         return self._known[look]
 
     def form(self, text: str) -> str:
         out, marks = [], []
 
         def close():
-            if out_word := "".join(c for c, _ in marks):
-                out.extend(a + m for a, (_, m) in zip(self.word(out_word), marks))
-                marks.clear()
+            letters = "".join(c for c, _ in marks)
+            if not any(map(str.isalpha, letters)):
+                out.extend(c + m for c, m in marks)
+            else:
+                at = 0
+                for c, n in self.word(letters):
+                    out.append(c + "".join(m for _, m in marks[at : at + n]))
+                    at += n
+            marks.clear()
 
         for c in plain(text):
             if unicodedata.combining(c) and marks:
                 marks[-1] = (marks[-1][0], marks[-1][1] + c)
-            elif c.isalpha():
+            elif c.isalnum():
                 marks.append((c, ""))
             else:
                 close()
@@ -110,19 +144,20 @@ class Model:
 def learn(texts: DataFrame) -> Model:
     """The model of a table's first column, over all its distinct texts.
 
-    Only pair counts over the fixed symbols reach the driver: at most (symbols of the table + scripts)² of them.
+    Only counts of runs of three fixed symbols reach the driver: at most (symbols of the tables + scripts)³ of them, and
+    no more than stand in words.
     Null and empty texts count for nothing; an empty table gives a model that only keeps words to one script.
     """
     column = texts.columns[0]
 
-    def pairs(batches):
+    def runs(batches):
         found: Counter = Counter()
         for pdf in batches:
-            found.update(count_pairs(pdf[column].dropna()))
-        yield pd.DataFrame([(a, b, n) for (a, b), n in found.items()], columns=["a", "b", "n"])
+            found.update(count_runs(pdf[column].dropna()))
+        yield pd.DataFrame([(a, b, c, n) for (a, b, c), n in found.items()], columns=["a", "b", "c", "n"])
 
-    rows = texts.select(column).distinct().mapInPandas(pairs, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
-    return Model({(r.a, r.b): r.n for r in rows})
+    rows = texts.select(column).distinct().mapInPandas(runs, "a string, b string, c string, n bigint").groupBy("a", "b", "c").agg(F.sum("n").alias("n")).collect()
+    return Model({(r.a, r.b, r.c): r.n for r in sorted(rows)})
 
 
 def visual_form(column: str | Column, model: Model) -> Column:

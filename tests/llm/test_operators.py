@@ -38,6 +38,17 @@ def test_lookalikes(spark):
     assert form[None] is None and form[""] == ""
 
 
+def test_context_decides_what_nearly_looks_alike():
+    said = "modern modem module modules model models limit limits line lines lock locks list lists close closed cloud document dump image Index Import Inport Item v1 v2 sha1 base64 h1 l10n turn turned corner".split()
+    model = lookalikes.Model(lookalikes.count_runs(said * 5))
+    same = [("rnodule", "module"), ("1imits", "limits"), ("Iock", "lock"), ("lnport", "Inport"), ("c1oud", "cloud")]
+    for a, b in same:
+        assert model.form(a) == model.form(b) == b
+    for word in ("modern", "modem", "turn", "corner", "v1", "sha1", "base64", "h1", "1", "10", "000110", "close", "Item", "l10n"):
+        assert model.form(word) == word  # a table that always reads rn as m, or 1 as l, would change some of these
+    assert len({model.form(w) for w in ("modern", "modem", "model", "module")}) == 4
+
+
 def test_percentiles_within_error_and_mergeable(spark):
     rng = np.random.default_rng(3)
     rows = [(f"d{i % 4}", "a" if i % 3 else None, float(v)) for i, v in enumerate(rng.lognormal(3, 2, 12000))] + [("d0", "a", None), ("d0", "a", float("nan"))]
