@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 from shardleaf.functions import text as T
 from shardleaf.functions.languages import TOKENS
 from shardleaf.operators import documents, retrieval
-from shardleaf.plans import calls, index, traces  # noqa: F401  (they register their queries)
+from shardleaf.plans import calls, index, search, traces  # noqa: F401  (they register their queries)
 from shardleaf.registry import ORACLE_SQL, QUERIES, SQL_WORDS, query  # noqa: F401
 from shardleaf.sources.tables import change_set, table
 from shardleaf.streaming import sessions
 
-FIELD_WEIGHTS = {"title": 10.0, "body": 1.0, "tags": 5.0, "source_file": 0.0}
+FIELD_WEIGHTS = search.FIELD_WEIGHTS
 
 @query("SELECT source_file, title, tags, is_universal, applies_when_json IS NOT NULL AS has_predicate FROM patterns")
 def fil1_list_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,18 +102,8 @@ def _search_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NO_OR = r"regexp_replace(side, '\s+OR\s+', ' ', 'g')"
 
 
-def _lexical_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.build_index(table(spark, sf_dir, "chunks"), "id", FIELD_WEIGHTS, "language_json")
-
-
-_BM25_CTES = f"""
-WITH asked AS (SELECT DISTINCT query AS qid, unnest(list_filter(list_distinct({SQL_WORDS.format("query")}), lambda x: x NOT IN ('and', 'or', 'not'))) AS term FROM trace_records WHERE query <> ''),
-tok AS (SELECT id, unnest({SQL_WORDS.format("title")}) AS term, 10.0::DOUBLE AS w FROM chunks UNION ALL SELECT id, unnest({SQL_WORDS.format("body")}), 1.0 FROM chunks
-  UNION ALL SELECT id, unnest({SQL_WORDS.format("tags")}), 5.0 FROM chunks UNION ALL SELECT id, unnest({SQL_WORDS.format("source_file")}), 0.0 FROM chunks),
-post AS (SELECT id, term, sum(w) AS hits FROM tok GROUP BY ALL), len AS (SELECT id, count(*) AS d FROM tok GROUP BY id),
-st AS (SELECT (SELECT count(*) FROM chunks) AS n, (SELECT count(*) FROM tok) / (SELECT count(*) FROM chunks) AS av),
-idf AS (SELECT term, greatest(ln((st.n - count(*) + 0.5) / (count(*) + 0.5)), 1e-6) AS v FROM post, st GROUP BY term, st.n)"""
-_PART_SQL = "v * hits * 2.2 / (hits + 1.2 * (0.25 + 0.75 * d / st.av))"
+_BM25_CTES = "WITH" + search.bm25_ctes(f"SELECT DISTINCT query AS qid, unnest(list_filter(list_distinct({SQL_WORDS.format('query')}), lambda x: x NOT IN ('and', 'or', 'not'))) AS term FROM trace_records WHERE query <> ''")
+_PART_SQL, _KNOWN_SQL = search.PART_SQL, search.KNOWN_SQL
 _BM25_SQL = f"""{_BM25_CTES}
 SELECT qid, id, round(sum({_PART_SQL}), 6) AS score FROM asked JOIN post USING (term) JOIN len USING (id) JOIN idf USING (term), st GROUP BY qid, id"""
 
@@ -122,7 +112,7 @@ SELECT qid, id, round(sum({_PART_SQL}), 6) AS score FROM asked JOIN post USING (
 def ret1_lexical_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best ten chunks that hold any word of a query, for every query that the traces hold, by weighted BM25."""
     asked = _search_terms(spark, sf_dir).select("qid", F.array("terms").alias("groups"))
-    return retrieval.search(_lexical_index(spark, sf_dir), "id", asked, "qid", 10).select("qid", "id", "rank")
+    return retrieval.search(search.lexical_index(spark, sf_dir), "id", asked, "qid", 10).select("qid", "id", "rank")
 
 
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +131,7 @@ SELECT qid, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER B
 def ret1_match_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As ``ret1_lexical_top10``, of the chunks that the whole query matches: a word of every side of its ANDs."""
     asked = _matches(spark, sf_dir).withColumn("groups", F.filter(F.transform("groups", lambda g: F.flatten(F.transform(g, T.split_into_words))), lambda g: F.size(g) > 0))
-    return retrieval.search(_lexical_index(spark, sf_dir), "id", asked, "qid", 10).select("qid", "id", "rank")
+    return retrieval.search(search.lexical_index(spark, sf_dir), "id", asked, "qid", 10).select("qid", "id", "rank")
 
 
 @query()
@@ -151,9 +141,6 @@ def ret1_stemmed_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.search(index, "id", _matches(spark, sf_dir), "qid", 10, stemmed=True).select("qid", "id", "rank")
 
 
-_KNOWN_SQL = f"term IN ({', '.join(map(repr, TOKENS))})"
-
-
 @query(
     rf"""{_BM25_CTES},
 s AS (SELECT qid, id, round(sum({_PART_SQL}), 6) AS whole, round(sum({_PART_SQL}) FILTER (NOT {_KNOWN_SQL}), 6) AS by_terms, bool_or({_KNOWN_SQL}) AS hl, bool_or(NOT {_KNOWN_SQL}) AS ht FROM asked JOIN post USING (term) JOIN len USING (id) JOIN idf USING (term), st GROUP BY qid, id),
@@ -167,7 +154,7 @@ def ret5_gated_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fallback and structural lists of every query that the traces hold, ten of each, fused."""
     known = F.array(*map(F.lit, TOKENS))
     asked = _search_terms(spark, sf_dir).select("qid", F.array_intersect("terms", known).alias("langs"), F.array_except("terms", known).alias("words"))
-    return _fused_gates(_lexical_index(spark, sf_dir), asked)
+    return _fused_gates(search.lexical_index(spark, sf_dir), asked)
 
 
 def _fused_gates(index: DataFrame, asked: DataFrame, **how) -> DataFrame:

@@ -220,12 +220,17 @@ def ranked(df: DataFrame, query_id: str, score: str, id_col: str, limit: int, as
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(order, id_col))).where(F.col("rank") <= limit)
 
 
-def fuse(lists: list[DataFrame], query_id: str, id_col: str) -> DataFrame:
-    """Reciprocal-rank fusion of ranked lists into ``query_id, id_col, fused`` from 0 to 1."""
-    every = lists[0].select(query_id, id_col, "rank")
-    for one in lists[1:]:
-        every = every.unionAll(one.select(query_id, id_col, "rank"))
-    return every.groupBy(query_id, id_col).agg((F.sum(1 / (RRF_K + F.col("rank"))) / (len(lists) / (RRF_K + 1))).alias("fused"))
+def fuse(lists: list[DataFrame], query_id: str, id_col: str, scores: dict[str, tuple[int, str]] | None = None) -> DataFrame:
+    """Reciprocal-rank fusion of ranked lists into ``query_id, id_col, fused`` from 0 to 1.
+
+    ``scores`` names further columns: the score of a row in one of the lists (its number and column), null where the list lacks the row.
+    """
+    scores = scores or {}
+    own = [[F.col(column).cast("double").alias(name) if at == n else F.lit(None).cast("double").alias(name) for name, (n, column) in scores.items()] for at in range(len(lists))]
+    every = lists[0].select(query_id, id_col, "rank", *own[0])
+    for one, kept in zip(lists[1:], own[1:]):
+        every = every.unionAll(one.select(query_id, id_col, "rank", *kept))
+    return every.groupBy(query_id, id_col).agg((F.sum(1 / (RRF_K + F.col("rank"))) / (len(lists) / (RRF_K + 1))).alias("fused"), *[F.max(n).alias(n) for n in scores])
 
 
 def nearest(corpus: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int, block: int = 2048) -> DataFrame:

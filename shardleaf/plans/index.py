@@ -58,7 +58,7 @@ def ret12_embedding_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "chunks").select("id", index.embedding_text(F.col("title"), F.col("tags"), F.col("body")).alias("embedded"))
 
 
-_VECTORS_SQL = """SELECT chunk_id, model, response_id, v FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id, model ORDER BY received_at DESC, response_id DESC) AS n FROM
+VECTORS_SQL = """SELECT chunk_id, model, response_id, v FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id, model ORDER BY received_at DESC, response_id DESC) AS n FROM
 (SELECT DISTINCT response_id, chunk_id, model, received_at, embeddings[1] AS v FROM embed_responses) WHERE len(v) > 0 AND list_max(list_transform(v, lambda x: abs(x))) > 0) WHERE n = 1"""
 
 
@@ -70,7 +70,7 @@ def current_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest.select("chunk_id", "model", "a.response_id", "a.vector")
 
 
-@query(f"WITH m AS (SELECT DISTINCT model FROM ({_VECTORS_SQL})) SELECT c.id, m.model, v.response_id FROM chunks c CROSS JOIN m LEFT JOIN ({_VECTORS_SQL}) v ON v.chunk_id = c.id AND v.model = m.model")
+@query(f"WITH m AS (SELECT DISTINCT model FROM ({VECTORS_SQL})) SELECT c.id, m.model, v.response_id FROM chunks c CROSS JOIN m LEFT JOIN ({VECTORS_SQL}) v ON v.chunk_id = c.id AND v.model = m.model")
 def jn2_chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vector that each chunk has in each model; null where it is still to be embedded."""
     vectors = current_vectors(spark, sf_dir).select("chunk_id", "model", "response_id")
