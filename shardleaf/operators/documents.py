@@ -1,7 +1,17 @@
 """Markdown documents into heading-level chunks."""
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from shardleaf.functions.text import file_stem
+
+_LINES = re.compile(r"\r\n|\r|\n")
+_HEADING = re.compile(r"\s*(#{1,6})(?!#)\s*(.*?)\s*\Z")
+_FRONT = re.compile(r"\A---\r?\n.*?\n---\n*", re.S)
 
 
 def headings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -12,36 +22,56 @@ def headings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return found.where("level > 0 AND heading <> ''")
 
 
+def sections(text: str) -> list[tuple[str, str, str]]:
+    """(heading path, title, body) of each section of a text, in order; the first one has neither path nor title."""
+    out, stack, begun = [], [], 0
+    lines = _LINES.split(_FRONT.sub("", text))
+    path = title = ""
+    for at, line in enumerate(lines):
+        mark = _HEADING.match(line) if "#" in line[:64] or line.lstrip().startswith("#") else None
+        if mark and mark[2]:
+            out.append((path, title, "\n".join(lines[begun:at]).strip()))
+            while stack and stack[-1][0] >= len(mark[1]):
+                stack.pop()
+            stack.append((len(mark[1]), mark[2]))
+            path, title, begun = " > ".join(name for _, name in stack), mark[2], at
+    return [*out, (path, title, "\n".join(lines[begun:]).strip())]
+
+
 def chunk_by_heading(df: DataFrame, id_col: str, text_col: str, least_bytes: int = 10) -> DataFrame:
-    """``id_col, chunk_no, heading_path, title, body`` of every section whose trimmed body has ``least_bytes``.
+    """``id_col, chunk_no, chunk_id, heading_path, title, body`` of every section whose trimmed body has ``least_bytes``.
 
     The body holds its own heading line. The path has the titles of the enclosing headings, outermost first; what
-    stands before the first heading has an empty path. Null and empty texts have no chunk, repeated rows their own.
-    All steps are expressions on one document's lines: no shuffle, and work in proportion to the lines (a fold runs
-    over headings only).
+    stands before the first heading has an empty path and the name of the document as title. ``chunk_id`` is the
+    document's id and the path (``root`` for an empty one), and from the second chunk of the same path on its ordinal
+    among the chunks that are kept. A document that has no chunk but ``least_bytes`` in all is one chunk, named by its
+    id. Null and empty texts have no chunk, repeated rows their own. Batches of documents are mapped over: no shuffle,
+    and work in proportion to the lines.
     """
-    mark = r"^\s*(#{1,6})(?!#)\s*(.*?)\s*$"
-    text = F.regexp_replace(F.col(text_col), r"\A---\r?\n(?s:.*?)\n---\n*", "")
-    rows = df.select(F.col(id_col).alias("_id"), F.split(text, r"\r\n|\r|\n").alias("_lines"))
-    hashed = F.filter(F.transform("_lines", lambda x, i: F.struct(i.alias("at"), x.alias("line"))), lambda x: F.ltrim(x["line"]).startswith("#") | x["line"].rlike(r"^\s+#"))
-    marked = F.transform(hashed, lambda x: F.struct(x["at"].alias("at"), F.length(F.regexp_extract(x["line"], mark, 1)).alias("level"), F.regexp_extract(x["line"], mark, 2).alias("name")))
-    rows = rows.withColumn("_heads", F.filter(marked, lambda h: (h["level"] > 0) & (h["name"] != "")))
-
-    def step(acc, head):
-        stack = F.array_append(F.filter(acc["stack"], lambda h: h["level"] < head["level"]), head)
-        path = F.array_join(F.transform(stack, lambda h: h["name"]), " > ")
-        return F.struct(stack.alias("stack"), F.array_append(acc["out"], F.struct(head["at"].alias("at"), path.alias("path"), head["name"].alias("name"))).alias("out"))
-
-    zero = F.struct(F.expr("cast(array() as array<struct<at:int,level:int,name:string>>)").alias("stack"), F.expr("array(struct(0 as at, '' as path, '' as name))").alias("out"))
-    rows = rows.withColumn("_parts", F.aggregate("_heads", zero, step)["out"])
-
-    def section(part, i):
-        end = F.coalesce(F.get(F.col("_parts"), i + 1)["at"], F.size("_lines"))
-        body = F.array_join(F.slice(F.col("_lines"), part["at"] + 1, end - part["at"]), "\n")
-        return F.struct(i.alias("chunk_no"), part["path"].alias("heading_path"), part["name"].alias("title"), F.regexp_replace(body, r"\A\s+|\s+\z", "").alias("body"))
-
-    cut = rows.select("_id", F.explode(F.transform("_parts", section)).alias("_c")).where(F.octet_length("_c.body") >= least_bytes)
-    return cut.select(F.col("_id").alias(id_col), "_c.*")
+    given = df.select(F.col(id_col).alias("_id"), F.col(id_col).cast("string").alias("_name"), file_stem(F.col(id_col).cast("string")).alias("_stem"), F.col(text_col).cast("string").alias("_text")).where("_text <> ''")
+    schema = T.StructType([T.StructField(id_col, given.schema["_id"].dataType), T.StructField("chunk_no", T.IntegerType()), *[T.StructField(c, T.StringType()) for c in ("chunk_id", "heading_path", "title", "body")]])
+
+    def cut(batches):
+        for batch in batches:
+            at, columns = [], [[] for _ in range(5)]
+            for row, (name, stem, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_name", "_stem", "_text")))):
+                seen: dict[str, int] = {}
+                kept = [(n, *s) for n, s in enumerate(sections(text)) if len(s[2].encode()) >= least_bytes]
+                for n, path, title, body in kept:
+                    key = f"{name}:{path or 'root'}"
+                    seen[key] = seen.get(key, 0) + 1
+                    at.append(row)
+                    for column, value in zip(columns, (n, key if seen[key] == 1 else f"{key}:{seen[key]}", path, title or stem, body)):
+                        column.append(value)
+                whole = _FRONT.sub("", text).strip() if not kept else ""
+                if len(whole.encode()) >= least_bytes:
+                    at.append(row)
+                    for column, value in zip(columns, (0, name, "", stem, whole)):
+                        column.append(value)
+            kinds = (pa.int32(), *[pa.string()] * 4)
+            yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=schema.names)
+
+    return given.mapInArrow(cut, schema)
 
 
 def with_running_bytes(df: DataFrame, order_col: str, text_col: str, budget: int) -> DataFrame:

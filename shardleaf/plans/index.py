@@ -12,7 +12,7 @@ from shardleaf.registry import query
 from shardleaf.sources.tables import table
 
 IGNORE = ["# working notes", "core/", "*-00001?.md", "!core/*-limits-*"]
-_IGNORED_SQL = r"CASE WHEN regexp_matches(source_file, '^core/[^/]*-limits-[^/]*$') THEN false WHEN regexp_matches(source_file, '(^|/)[^/]*-00001[^/]\.md$') THEN true ELSE regexp_matches(source_file, '^(.*/)?core/') END"
+IGNORED_SQL = r"CASE WHEN regexp_matches(source_file, '^core/[^/]*-limits-[^/]*$') THEN false WHEN regexp_matches(source_file, '(^|/)[^/]*-00001[^/]\.md$') THEN true ELSE regexp_matches(source_file, '^(.*/)?core/') END"
 
 _PATTERN_SQL = r"""SELECT source_file, CASE WHEN t <> '' THEN t ELSE regexp_replace(regexp_extract(source_file, '[^/]*$'), '(.)\.[^.]*$', '\1') END AS title, md5(text) AS content_hash
 FROM (SELECT *, trim(regexp_extract(regexp_replace(text, '\r\n?', chr(10), 'g'), '(?m)^# (.*)$', 1)) AS t FROM documents)"""
@@ -30,14 +30,14 @@ def snk2_upserted_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.upsert(old, doc12_pattern_rows(spark, sf_dir), "source_file")
 
 
-@query(f"SELECT id, source_file FROM chunks WHERE NOT ({_IGNORED_SQL})")
+@query(f"SELECT id, source_file FROM chunks WHERE NOT ({IGNORED_SQL})")
 def snk4_without_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that stay once the sources that are now ignored are deleted."""
     gone = table(spark, sf_dir, "patterns").where(ignored(F.col("source_file"), IGNORE))
     return index.delete_sources(table(spark, sf_dir, "chunks").select("id", "source_file"), gone, "source_file")
 
 
-@query(f"SELECT source_file, {_IGNORED_SQL} AS ignored FROM patterns")
+@query(f"SELECT source_file, {IGNORED_SQL} AS ignored FROM patterns")
 def ign1_ignored_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "patterns").select("source_file", ignored(F.col("source_file"), IGNORE).alias("ignored"))
 
