@@ -31,9 +31,18 @@ MARKERS = {
 # Folder names, as written.
 FOLDERS = {"typescript": "node_modules", "javascript": "node_modules", "python": "__pycache__ .venv", "objectivec": "Pods", "swift": "Pods", "terraform": ".terraform"}
 
+# Names that differ from the token with a capital.
+NAMES = {"typescript": "TypeScript", "javascript": "JavaScript", "yaml": "YAML", "golang": "Go", "bash": "Shell", "clang": "C", "cpp": "C++", "csharp": "C#", "objectivec": "Objective-C", "php": "PHP"}
+
 TOKENS = tuple(EXTENSIONS)
 
 
+def display_name(token: Column) -> Column:
+    """How a language is written; an unknown token as it is."""
+    names = {t: NAMES.get(t, t.capitalize()) for t in TOKENS}
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), token), token)
+
+
 def signals(names: dict[str, str]) -> list[tuple[str, str]]:
     """(name, language) pairs of a table."""
     return [(name, token) for token, listed in names.items() for name in listed.split()]

@@ -83,3 +83,24 @@ def with_running_bytes(df: DataFrame, order_col: str, text_col: str, budget: int
     df = df.orderBy(order_col).limit(budget)
     w = Window.orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("running_bytes", F.sum(F.octet_length(text_col) + 1).over(w)).where(F.col("running_bytes") <= budget)
+
+
+def rendered(title, tags, languages, body):
+    """The text of a note: front matter where it has tags or languages, its title, its body and a line end."""
+    listed = lambda name, values: F.when(F.size(values) > 0, F.concat(F.lit(f"{name}: ["), F.array_join(values, ", "), F.lit("]\n"))).otherwise("")
+    front = F.concat(listed("tags", tags), listed("language", languages))
+    return F.concat(F.when(front != "", F.concat(F.lit("---\n"), front, F.lit("---\n\n"))).otherwise(""), F.lit("# "), title, F.lit("\n\n"), body, F.lit("\n"))
+
+
+def appended(text, heading, body):
+    """A note with one more section at its end."""
+    return F.concat(text, F.lit("\n## "), heading, F.lit("\n\n"), body, F.lit("\n"))
+
+
+def updated(text, title, body, tags=None, languages=None):
+    """A note written anew: absent tags and languages stay as they are, empty ones go, given ones take their place."""
+    from shardleaf.functions import front as front_matter
+    from shardleaf.functions import text as T
+
+    old = T.front_matter(text)
+    return rendered(title, F.coalesce(tags, T.tag_list(old)) if tags is not None else T.tag_list(old), F.coalesce(languages, front_matter.language_list(old)) if languages is not None else front_matter.language_list(old), body)

@@ -62,10 +62,10 @@ def qry1_call_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("query", calls.query_string(F.col("languages"), F.col("terms"))).where("query IS NOT NULL")
 
 
-_HEAD_SQL = r"""regexp_extract(regexp_replace(regexp_replace(command, '^\s*sudo(\s+(-u\s+\S+|-E|-H))*\s+', ''), '^\s*(env(\s+(-i|-u\s+\S+|[A-Z_][A-Z0-9_]*=\S*))*\s+)+', ''), '^\s*(\S+)', 1)"""
+HEAD_SQL = r"""regexp_extract(regexp_replace(regexp_replace(command, '^\s*sudo(\s+(-u\s+\S+|-E|-H))*\s+', ''), '^\s*(env(\s+(-i|-u\s+\S+|[A-Z_][A-Z0-9_]*=\S*))*\s+)+', ''), '^\s*(\S+)', 1)"""
 
 
-@query(f"SELECT head, count(*) AS calls FROM (SELECT call_id, any_value({_HEAD_SQL}) AS head FROM call_contexts WHERE command IS NOT NULL GROUP BY call_id) WHERE head <> '' GROUP BY head")
+@query(f"SELECT head, count(*) AS calls FROM (SELECT call_id, any_value({HEAD_SQL}) AS head FROM call_contexts WHERE command IS NOT NULL GROUP BY call_id) WHERE head <> '' GROUP BY head")
 def fn20_command_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls for each command that they really run."""
     heads = _calls(spark, sf_dir).select(calls.effective_head(F.col("command")).alias("head")).where("head IS NOT NULL")
@@ -73,7 +73,7 @@ def fn20_command_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT result_id FROM search_results JOIN (SELECT call_id, any_value(tool_name) AS tool, any_value(CASE WHEN command IS NOT NULL THEN {_HEAD_SQL} END) AS head FROM call_contexts GROUP BY call_id) USING (call_id)
+    f"""SELECT result_id FROM search_results JOIN (SELECT call_id, any_value(tool_name) AS tool, any_value(CASE WHEN command IS NOT NULL THEN {HEAD_SQL} END) AS head FROM call_contexts GROUP BY call_id) USING (call_id)
     WHERE NOT is_universal OR applies_when_json IS NULL OR NOT json_valid(applies_when_json) OR
     ((json_extract(applies_when_json, '$.tools') IS NULL OR coalesce(list_contains(json_extract(applies_when_json, '$.tools')::VARCHAR[], tool), false)) AND
     (json_extract(applies_when_json, '$.bash_command_starts_with') IS NULL OR coalesce(tool = 'Bash' AND list_contains(json_extract(applies_when_json, '$.bash_command_starts_with')::VARCHAR[], head), false)))"""

@@ -47,11 +47,11 @@ def str1_records_by_event(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "SELECT result_id, call_id, is_universal FROM (SELECT *, row_number() OVER (PARTITION BY call_id, is_universal ORDER BY score DESC, result_id) AS n FROM search_results "
-    "WHERE score >= CASE WHEN is_universal THEN 0.3 ELSE 0.3 END) WHERE is_universal OR n <= 3"
+    "WHERE score >= CASE WHEN is_universal THEN 0.2 ELSE 0.45 END) WHERE is_universal OR n <= 3"
 )
 def ret8_capped_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results above their threshold: all pinned ones, the best three others of each call."""
-    rows = table(spark, sf_dir, "search_results").select("result_id", "call_id", "is_universal", "score").where(retrieval.passes_threshold(F.col("score"), F.col("is_universal"), 0.3, 0.3))
+    rows = table(spark, sf_dir, "search_results").select("result_id", "call_id", "is_universal", "score").where(retrieval.passes_threshold(F.col("score"), F.col("is_universal"), 0.45, 0.2))
     place = F.row_number().over(Window.partitionBy("call_id", "is_universal").orderBy(F.desc("score"), "result_id"))
     return rows.withColumn("n", place).where("is_universal OR n <= 3").select("result_id", "call_id", "is_universal")
 
