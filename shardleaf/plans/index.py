@@ -73,13 +73,13 @@ def current_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest.select("chunk_id", "model", "a.response_id", "a.vector")
 
 
-@query(f"WITH m AS (SELECT DISTINCT model FROM ({VECTORS_SQL})) SELECT c.id, m.model, v.response_id FROM chunks c CROSS JOIN m LEFT JOIN ({VECTORS_SQL}) v ON v.chunk_id = c.id AND v.model = m.model")
+@query(f"WITH m AS (SELECT DISTINCT model FROM ({VECTORS_SQL})) SELECT c.id, m.model, coalesce(v.response_id, 0) AS response_id FROM chunks c CROSS JOIN m LEFT JOIN ({VECTORS_SQL}) v ON v.chunk_id = c.id AND v.model = m.model")
 def jn2_chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vector that each chunk has in each model; null where it is still to be embedded."""
+    """The answer that holds the current vector of each chunk in each model; 0 where it is still to be embedded."""
     vectors = current_vectors(spark, sf_dir).select("chunk_id", "model", "response_id")
     models = vectors.groupBy().agg(F.collect_set("model").alias("models"))  # one row: a table has few models
     wanted = table(spark, sf_dir, "chunks").select("id").join(F.broadcast(models)).select("id", F.explode("models").alias("model"))
-    return wanted.join(vectors.withColumnRenamed("chunk_id", "id"), ["id", "model"], "left")
+    return wanted.join(vectors.withColumnRenamed("chunk_id", "id"), ["id", "model"], "left").select("id", "model", F.coalesce("response_id", F.lit(0)).alias("response_id"))
 
 
 @query()
