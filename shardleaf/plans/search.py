@@ -134,3 +134,16 @@ def ret5_gated_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     gated = passed.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("rank"))).where(F.col("rank") <= 2 * LIMIT)
     fused = retrieval.fuse([*lists, gated], "qid", "id").withColumn("fused", F.round("fused", 9))
     return retrieval.ranked(fused, "qid", "fused", "id", LIMIT)
+
+
+@query(
+    f"""WITH {bm25_ctes(f"SELECT DISTINCT description AS qid, unnest({SQL_WORDS.format('description')}) AS term FROM call_contexts WHERE description <> ''")},
+h AS (SELECT qid, id, round(sum({PART_SQL}), 6) AS score, count(*) AS met FROM asked JOIN post USING (term) JOIN len USING (id) JOIN idf USING (term), st GROUP BY qid, id),
+m AS (SELECT h.* FROM h JOIN (SELECT qid, count(*) AS n FROM asked GROUP BY qid) USING (qid) WHERE met = n)
+SELECT qid, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM m) WHERE rank <= {LIMIT}"""
+)
+def ret9_text_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best ten chunks that hold every word of a description, for each description of a call."""
+    asked = table(spark, sf_dir, "call_contexts").where("description <> ''").select(F.col("description").alias("qid")).distinct()
+    groups = F.transform(F.array_distinct(T.split_into_words(F.col("qid"))), lambda w: F.array(w))
+    return retrieval.search(lexical_index(spark, sf_dir), "id", asked.withColumn("groups", groups), "qid", LIMIT).select("qid", "id", "rank")

@@ -66,3 +66,35 @@ def ret4c_gated_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = retrieval.nearest(rows, rows.where("vec_id % 50 = 0"), "vec_id", "embedding", 30)
     own = near.join(rows.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql")), "query_id").join(rows.select("vec_id", "label"), "vec_id").where("label = ql")
     return own.withColumn("gated_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where("gated_rank <= 10").select("query_id", "vec_id", "gated_rank")
+
+
+@query(
+    """WITH t AS (SELECT DISTINCT trace_id, session_id, written_at, event, injected, candidates FROM trace_records),
+    e AS (SELECT *, sum(CASE WHEN event IN ('SessionStart', 'PostCompact') THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY written_at, trace_id) AS epoch FROM t),
+    c AS (SELECT session_id, epoch, trace_id, written_at, unnest(candidates) AS c FROM e),
+    s AS (SELECT DISTINCT session_id, CAST(epoch AS BIGINT) AS epoch, trace_id, written_at, c.chunk_id AS chunk_id, c.is_universal AS pinned FROM c WHERE coalesce(c.predicate_outcome, '') NOT IN ('suppressed', 'rejected') AND c.above_threshold)
+    SELECT session_id, epoch, chunk_id, trace_id FROM (SELECT *, row_number() OVER (PARTITION BY session_id, epoch, chunk_id ORDER BY written_at, trace_id) AS n FROM s) WHERE n = 1 OR pinned"""
+)
+def str2_shown_with_bypass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that are shown: once since the session's reset, pinned ones always. What a condition suppresses is taken out before, so it never counts as seen."""
+    rows = table(spark, sf_dir, "trace_records").select("trace_id", "session_id", "written_at", "event", "candidates").dropDuplicates(["trace_id"])
+    placed = sessions.with_epochs(rows, "session_id", "written_at", ["written_at", "trace_id"], F.col("event").isin("SessionStart", "PostCompact"))
+    each = placed.select("session_id", "epoch", "trace_id", "written_at", F.explode("candidates").alias("c"))
+    passed = each.where(~F.coalesce(F.col("c.predicate_outcome"), F.lit("")).isin("suppressed", "rejected") & F.col("c.above_threshold"))
+    shown = passed.select("session_id", "epoch", "trace_id", "written_at", "c.chunk_id", F.col("c.is_universal").alias("pinned")).distinct()
+    kept = sessions.first_in_session(shown, ["session_id", "epoch"], "chunk_id", ["written_at", "trace_id"], always=F.col("pinned"))
+    return kept.select("session_id", "epoch", "chunk_id", "trace_id")
+
+
+@query(
+    """WITH t AS (SELECT DISTINCT ON (trace_id) trace_id, lower(trim(agent)) AS agent, CASE WHEN config.hybrid AND NOT coalesce(ollama.embedding_succeeded, false) THEN 'degraded' WHEN len(injected) > 0 THEN 'surfaced' ELSE 'not_present' END AS state FROM trace_records WHERE event = 'PreToolUse')
+    SELECT agent, count(*) FILTER (state = 'surfaced') AS surfaced, count(*) FILTER (state = 'not_present') AS not_present, count(*) FILTER (state = 'degraded') AS degraded,
+    CASE WHEN count(*) FILTER (state = 'degraded') = 0 THEN round(count(*) FILTER (state = 'surfaced') / count(*), 6) ELSE -1 END AS ratio FROM t GROUP BY agent"""
+)
+def agg13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often calls of each agent surfaced anything; there is no ratio (-1) where any of them ran without the vectors it should have had."""
+    rows = table(spark, sf_dir, "trace_records").where("event = 'PreToolUse'").dropDuplicates(["trace_id"])
+    degraded = F.coalesce(F.col("config.hybrid"), F.lit(False)) & ~F.coalesce(F.col("ollama.embedding_succeeded"), F.lit(False))
+    state = F.when(degraded, "degraded").when(F.size("injected") > 0, "surfaced").otherwise("not_present")
+    counts = rows.groupBy(F.lower(F.trim("agent")).alias("agent")).agg(*[F.count_if(state == s).alias(s) for s in ("surfaced", "not_present", "degraded")], F.count(F.lit(1)).alias("n"))
+    return counts.select("agent", "surfaced", "not_present", "degraded", F.when(F.col("degraded") == 0, F.round(F.col("surfaced") / F.col("n"), 6)).otherwise(-1.0).alias("ratio"))

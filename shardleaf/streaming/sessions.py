@@ -6,20 +6,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def first_in_session(df: DataFrame, session: str | list[str], key: str, order: list[str]) -> DataFrame:
-    """Rows whose key appears for the first time in their session.
+def first_in_session(df: DataFrame, session: str | list[str], key: str, order: list[str], always: Column | None = None) -> DataFrame:
+    """Rows whose key appears for the first time in their session, and all that are to be shown ``always``; those count as seen too.
 
     A window over (session, key): a hot session is spread by its keys.
     """
     w = Window.partitionBy(*([session] if isinstance(session, str) else session), key).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    shown = F.col("_n") == 1 if always is None else (F.col("_n") == 1) | F.coalesce(always, F.lit(False))
+    return df.withColumn("_n", F.row_number().over(w)).where(shown).drop("_n")
 
 
 def with_epochs(df: DataFrame, session: str, at: str, order: list[str], reset: Column, slot: str = "hour") -> DataFrame:
     """Rows with ``epoch``: the resets of their session up to and including the row.
 
     Resets are counted by slot of time first; a second sum runs over a session's slots, not its rows, and a third over
-    the rows of one slot. So the rows of a hot session never meet in one task. A null session is one of its own.
+    the rows of one slot. So of a hot session only the rows of one slot meet in one task; a busier log takes a finer
+    ``slot``. A null session is one of its own.
     """
     rows = df.withColumn("_slot", F.date_trunc(slot, at)).withColumn("_reset", F.coalesce(reset, F.lit(False)).cast("long"))
     slots = rows.groupBy(F.col(session).alias("_s"), F.col("_slot").alias("_t")).agg(F.sum("_reset").alias("_here"))
