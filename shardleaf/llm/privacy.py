@@ -255,6 +255,8 @@ def _phones(text, n):
 def _names(text, n, words: WordStats):
     for m in NAME[n].finditer(text):
         found, at = m[0], m.start()
+        if " " not in found and (at == 0 or text[at - 1] == "\n" or text[at - 2 : at] in (". ", "! ", "? ")) and not words.known(found):
+            continue  # the first word of a sentence that is no name elsewhere
         title = re.match(rf"(?:{TITLES})\.? ", found)
         runs, run = [], []
         for w in CAPS[n].finditer(found, title.end() if title else 0):
@@ -417,7 +419,7 @@ class Classifier:
         return out
 
 
-def fit(proposed: DataFrame, spans: str = "_spans", max_samples: int = 20_000, rounds: int = 150, restraint: float = 20.0) -> Classifier:
+def fit(proposed: DataFrame, spans: str = "_spans", max_samples: int = 8_000, rounds: int = 80, restraint: float = 20.0) -> Classifier:
     """The span classifier, from the votes on all candidate spans.
 
     Counts of vote patterns over all texts go to the driver (3 to the number of labelers for each kind at most); there
@@ -473,8 +475,10 @@ def redact(proposed: DataFrame, text_col: str, classifier: Classifier, redacted:
             sorts.append(sorted({k for _, _, k in chosen}))
         return pd.DataFrame({"redacted": out, "kinds": sorts})
 
-    masked = proposed.withColumn("_masked", mask(F.col(text_col), F.col(spans)))
-    return masked.withColumns({redacted: F.col("_masked.redacted"), kinds: F.col("_masked.kinds")}).drop("_masked", spans)
+    # Texts without candidates stay in the JVM.
+    has = F.size(spans) > 0
+    masked = proposed.withColumn("_masked", mask(F.when(has, F.col(text_col)), F.when(has, F.col(spans))))
+    return masked.withColumns({redacted: F.when(has, F.col("_masked.redacted")).otherwise(F.col(text_col)), kinds: F.col("_masked.kinds")}).drop("_masked", spans)
 
 
 def fit_on(df: DataFrame, text_col: str, given_names=tuple(GIVEN_NAMES)) -> tuple[WordStats, Classifier]:
