@@ -2,7 +2,7 @@
 
 import re
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,6 +52,17 @@ def _cut(text: bytes, lo: int, hi: int) -> int:
     return _char_start(text, mid, lo)
 
 
+def _without_slivers(cores: list[tuple[int, int]], room: int) -> list[tuple[int, int]]:
+    """The spans with those of less than an eighth of the room joined to a neighbour, where both fit together."""
+    out: list[tuple[int, int]] = []
+    for lo, hi in cores:
+        if out and hi - out[-1][0] <= room and min(hi - lo, lo - out[-1][0]) < room // 8:
+            out[-1] = (out[-1][0], hi)
+        else:
+            out.append((lo, hi))
+    return out
+
+
 def bisect(text: bytes, max_bytes: int, overlap_bytes: int) -> list[tuple[int, int, int]]:
     """(start with overlap, start, end) of each piece, as byte offsets; one piece if text is within max_bytes.
 
@@ -69,7 +80,7 @@ def bisect(text: bytes, max_bytes: int, overlap_bytes: int) -> list[tuple[int, i
         at = _cut(text, lo, hi)
         stack += [(at, hi), (lo, at)]
     pieces, before = [], None
-    for lo, hi in cores:
+    for lo, hi in _without_slivers(cores, room):
         start = lo
         if before is not None and overlap_bytes:
             first = max(before, lo - overlap_bytes)
@@ -94,29 +105,22 @@ def split_oversized(df: DataFrame, id_col: str, text_col: str, carry: tuple[str,
     """
     if overlap_bytes < 0 or max_bytes - overlap_bytes < max(8, overlap_bytes):
         raise ValueError("the limit must leave room of at least the overlap and 8 bytes beside it")
-    given = df.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], F.col(text_col).cast("string").alias("_text"))
-    kept = [f for f in given.schema if f.name != "_text"]
-    added = [T.StructField("piece_no", T.IntegerType()), T.StructField("n_pieces", T.IntegerType()), T.StructField("start_byte", T.LongType()), T.StructField("end_byte", T.LongType()), T.StructField("overlap_bytes", T.IntegerType()), T.StructField("piece", T.StringType())]
-    schema = T.StructType([*kept, *added])
-
-    def cut(batches):
-        for batch in batches:
-            at, out = [], {f.name: [] for f in added}
-            for i, value in enumerate(batch.column("_text")):
-                text = value.as_py().encode()
-                pieces = bisect(text, max_bytes, overlap_bytes)
-                for k, (start, core, end) in enumerate(pieces, 1):
-                    at.append(i)
-                    for name, x in zip(out, (k, len(pieces), start, end, core - start, text[start:end].decode())):
-                        out[name].append(x)
-            whole = batch.select([f.name for f in kept]).take(pa.array(at, pa.int64()))
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string())
-            yield pa.RecordBatch.from_arrays([*whole.columns, *(pa.array(v, t) for v, t in zip(out.values(), kinds))], names=[f.name for f in schema])
+    given = df.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], F.col(text_col).cast("string").alias("_text")).where("_text <> ''")
+    fields = [("piece_no", T.IntegerType()), ("n_pieces", T.IntegerType()), ("start_byte", T.LongType()), ("end_byte", T.LongType()), ("overlap_bytes", T.IntegerType()), ("piece", T.StringType())]
+
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField(*f) for f in fields])))
+    def cut(texts: pd.Series) -> pd.Series:
+        out = []
+        for value in texts:
+            if value is None:
+                out.append(None)
+                continue
+            text = value.encode()
+            pieces = bisect(text, max_bytes, overlap_bytes)
+            out.append([{"piece_no": k, "n_pieces": len(pieces), "start_byte": start, "end_byte": end, "overlap_bytes": core - start, "piece": text[start:end].decode()} for k, (start, core, end) in enumerate(pieces, 1)])
+        return pd.Series(out, dtype=object)
 
     size = F.octet_length("_text")
-    large = given.where(size > max_bytes).mapInArrow(cut, schema)
-    small = given.where((size > 0) & (size <= max_bytes)).select(
-        *[f.name for f in kept], F.lit(1).alias("piece_no"), F.lit(1).alias("n_pieces"), F.lit(0).cast("long").alias("start_byte"), size.cast("long").alias("end_byte"), F.lit(0).alias("overlap_bytes"), F.col("_text").alias("piece")
-    )
-    names = {"_id": id_col} | {f"_c{i}": c for i, c in enumerate(carry)}
-    return large.unionByName(small).withColumnsRenamed(names)
+    whole = F.array(F.struct(F.lit(1).alias("piece_no"), F.lit(1).alias("n_pieces"), F.lit(0).cast("long").alias("start_byte"), size.cast("long").alias("end_byte"), F.lit(0).alias("overlap_bytes"), F.col("_text").alias("piece")))
+    pieces = given.withColumn("_cut", cut(F.when(size > max_bytes, F.col("_text")))).withColumn("_p", F.explode(F.coalesce("_cut", whole)))
+    return pieces.select(F.col("_id").alias(id_col), *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], *[F.col(f"_p.{name}").alias(name) for name, _ in fields])
