@@ -86,16 +86,16 @@ def _key_schema(df: DataFrame, keys: list[str]) -> str:
     return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
 
-def build_sketches(df: DataFrame, keys: list[str], value_col: str, k: int = 64, hold: int = 1 << 20) -> DataFrame:
+def build_sketches(df: DataFrame, keys: list[str], value_col: str, k: int = 64, hold: int = 1 << 20, fan_in: int = 256) -> DataFrame:
     """One sketch (columns ``n, items, sizes, states``) of ``value_col`` per group of ``keys``.
 
     Null and NaN values are left out; a group without values has no sketch; null keys form a group of their own; ties
     and repeated rows count as often as they stand there; columns other than the keys and the value are ignored.
     Each task first sketches what it holds (at most ``hold`` values at a time, so many keys only make more partial
-    sketches), then partial sketches merge in two steps: a hot group never meets in one task as values.
+    sketches), then partial sketches merge in a tree: a hot group never meets in one task as values.
     """
     given = df.select(*keys, F.col(value_col).cast("double").alias("_value")).where(F.col("_value").isNotNull() & ~F.isnan("_value"))
-    schema = f"{_key_schema(given, keys)}, {SKETCH}, _part int"
+    schema = f"{_key_schema(given, keys)}, {SKETCH}, _part bigint"
 
     def partial(batches):
         held, count, part = {}, 0, 0
@@ -118,8 +118,12 @@ def build_sketches(df: DataFrame, keys: list[str], value_col: str, k: int = 64,
         if held:
             yield flush()
 
-    parts = given.mapInPandas(partial, schema).withColumn("_part", (F.spark_partition_id() + F.col("_part")) % 32)
-    return merge_sketches(merge_sketches(parts, [*keys, "_part"], k), keys, k)
+    parts = given.mapInPandas(partial, schema).withColumn("_part", F.xxhash64(F.spark_partition_id(), "_part")).checkpoint()
+    groups = parts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).head().n
+    while groups > fan_in:  # a tree: one merge sees about fan_in sketches of a key, however many tasks there were
+        groups = -(-groups // fan_in)
+        parts = merge_sketches(parts.withColumn("_part", F.pmod(F.xxhash64("_part"), F.lit(groups))), [*keys, "_part"], k)
+    return merge_sketches(parts, keys, k)
 
 
 def merge_sketches(df: DataFrame, keys: list[str], k: int = 64) -> DataFrame:
