@@ -118,13 +118,19 @@ def fit(samples: DataFrame, text_col: str, grade_col: str, max_samples: int = 50
     x, y = x[order], y[order]
     spread = np.where(x.std(0) > 0, x.std(0), 1)
     z = (x - x.mean(0)) / spread
-    above = (y[:, None] > y[None]).astype(float)
+    pairs = sum(float((y[:, None] > y[None, at : at + 256]).sum()) for at in range(0, len(y), 256))
     w = np.zeros(len(names))
     for _ in range(rounds):
         s = z @ w
         # The gradient over pairs (i above j) needs no list of differences: each sample counts by its pairs' residues.
-        residue = above / (1 + np.exp(np.clip(s[:, None] - s[None], -30, 30)))
-        gradient = z.T @ (residue.sum(1) - residue.sum(0)) / above.sum() - decay * w
+        # They are taken in blocks, so memory grows with the samples alone.
+        pull = np.zeros(len(y))
+        for at in range(0, len(y), 256):
+            part = slice(at, at + 256)
+            residue = (y[:, None] > y[None, part]) / (1 + np.exp(np.clip(s[:, None] - s[None, part], -30, 30)))
+            pull += residue.sum(1)
+            pull[part] -= residue.sum(0)
+        gradient = z.T @ pull / pairs - decay * w
         w += 2.0 * gradient
     weights = w / spread
     scores, levels = isotonic(x @ weights, y)
