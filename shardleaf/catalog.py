@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from shardleaf.functions import text as T
 from shardleaf.functions.languages import TOKENS
 from shardleaf.operators import documents, retrieval
-from shardleaf.plans import calls, events, index, ingest, search, traces  # noqa: F401  (they register their queries)
+from shardleaf.plans import calls, chain, events, index, ingest, search, traces  # noqa: F401  (they register their queries)
 from shardleaf.registry import ORACLE_SQL, QUERIES, SQL_WORDS, query  # noqa: F401
 from shardleaf.sources.tables import change_set, table
 from shardleaf.streaming import sessions

@@ -104,15 +104,19 @@ class Shard:
     def best(self, queries: list[tuple], k: int, digits: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Places and scores of the k best rows for each (groups, without, gate) of a block of queries.
 
-        All scores of the block are one product of the queries' terms and the terms' parts.
+        All scores of a block of few terms are one product of the queries' terms and the terms' parts; with many terms
+        each query adds up the parts of its own.
         """
         used = sorted({t for groups, without, _ in queries for g in [*groups, without] for t in g if t in self.terms})
         name, n = {t: i for i, t in enumerate(used)}, len(self.ids)
-        parts, there = np.zeros((len(used), n)), np.zeros((len(used) + 1, n), bool)
+        dense = len(used) <= 256
+        parts, there = np.zeros((len(used) if dense else 0, n)), np.zeros((len(used) + 1, n), bool)
         for t, i in name.items():
             at, part = self.rows(t)
-            parts[i, at], there[i, at] = part, True
-        times, known = np.zeros((len(queries), len(used))), {}
+            there[i, at] = True
+            if dense:
+                parts[i, at] = part
+        times, scores, known = np.zeros((len(queries), len(used))), np.zeros((len(queries), n)), {}
         held = np.ones((len(queries), n), bool)
 
         def any_of(terms) -> np.ndarray:
@@ -127,11 +131,14 @@ class Shard:
             for group in groups:
                 held[q] &= any_of(group)
                 for t in group:
-                    if t in name:
+                    if t in name and dense:
                         times[q, name[t]] += 1
+                    elif t in name:
+                        at, part = self.rows(t)
+                        scores[q, at] += part
             if len(without):
                 held[q] &= ~any_of(without)
-        scores = np.where(held, np.round(times @ parts, digits), -np.inf)
+        scores = np.where(held, np.round(times @ parts if dense else scores, digits), -np.inf)
         most = min(k, n)
         if most < n:  # of equal scores the first rows count, so all that equal the last one are looked at
             least = np.partition(scores, n - most, axis=1)[:, n - most]

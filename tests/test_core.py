@@ -159,3 +159,30 @@ def test_dedup_stream(spark, tmp_path):
     run = sessions.dedup_stream(stream, "s", "k", "at").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     run.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_search_with_many_terms_against_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    vocabulary = [a + b + c for a in "bcdfgh" for b in "aeiou" for c in "klmnprstvw"]
+    texts = {i: [rng.choice(vocabulary) for _ in range(rng.randint(1, 40))] for i in range(400)}
+    asked = {q: [[rng.choice(vocabulary) for _ in range(12)], [rng.choice(vocabulary) for _ in range(30)]] for q in range(40)}
+    mean, df = sum(map(len, texts.values())) / 400, {}
+    for words in texts.values():
+        for w in set(words):
+            df[w] = df.get(w, 0) + 1
+    want = {}
+    for q, groups in asked.items():
+        scores = {}
+        for i, words in texts.items():
+            if all(set(g) & set(words) for g in groups):
+                part = lambda t: max(math.log((400 - df[t] + 0.5) / (df[t] + 0.5)), 1e-6) * words.count(t) * 2.2 / (words.count(t) + 1.2 * (0.25 + 0.75 * len(words) / mean))  # noqa: E731, B023
+                scores[i] = round(sum(part(t) for g in groups for t in g if t in words), 6)
+        want[q] = [i for i, _ in sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:5]]
+    rows = spark.createDataFrame([(i, " ".join(words)) for i, words in texts.items()], "id int, t string")
+    queries = spark.createDataFrame(list(asked.items()), "q int, groups array<array<string>>")
+    got = {}
+    for r in retrieval.search(retrieval.build_index(rows, "id", {"t": 1.0}), "id", queries, "q", 5, shard_rows=100).orderBy("rank").collect():
+        got.setdefault(r.q, []).append(r.id)
+    assert got == {q: ids for q, ids in want.items() if ids}

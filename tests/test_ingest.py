@@ -107,3 +107,19 @@ def test_written_notes(spark):
     ).head()
     assert row.made == "---\ntags: [a, b]\n---\n\n# T\n\nbody\n" and row.bare == "# T\n\nbody\n" and row.more.endswith("body\n\n## More\n\nx\n")
     assert row.kept == "---\ntags: [a, b]\n---\n\n# U\n\nnew\n" and row.set == "---\nlanguage: [go]\n---\n\n# U\n\nnew\n"
+
+
+def test_chain_shows_each_chunk_once_in_a_session(spark, sf_dir):
+    from shardleaf.catalog import QUERIES
+    from shardleaf.plans import chain
+
+    shown = chain.injected(spark, sf_dir).collect()
+    session = {r.call_id: r.session_id for r in spark.read.parquet(f"{sf_dir}/call_contexts.parquet").collect()}
+    pinned = {r.id for r in spark.read.parquet(f"{sf_dir}/chunks.parquet").where("is_universal").collect()}
+    seen = [(session[r.call_id], r.id) for r in shown if r.id not in pinned]
+    assert shown and len(seen) == len(set(seen))
+    texts = {r.call_id: r for r in QUERIES["chain_call_texts"](spark, sf_dir).collect()}
+    assert set(texts) == {r.call_id for r in shown}
+    for r in shown[:50]:
+        assert f"From {r.source_file}:\n" in texts[r.call_id].text and (r.body or "").strip() in texts[r.call_id].text
+    assert sum(r.chunks for r in QUERIES["chain_session_shares"](spark, sf_dir).collect()) == len(shown)
