@@ -158,7 +158,7 @@ def ret5_gated_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fused_gates(index: DataFrame, asked: DataFrame, **how) -> DataFrame:
-    lists = [retrieval.search(index, "id", q, "qid", 10, **how) for q in retrieval.gated(asked, "qid", "langs", "words")]
+    lists = retrieval.search_gated(index, "id", asked, "qid", "langs", "words", 10, **how)
     return retrieval.fuse(lists, "qid", "id").withColumn("fused", F.round("fused", 9))
 
 

@@ -215,6 +215,13 @@ def gated(queries: DataFrame, query_id: str, languages_col: str, terms_col: str)
     return fallback, structural
 
 
+def search_gated(index: DataFrame, id_col: str, queries: DataFrame, query_id: str, languages_col: str, terms_col: str, k: int, **how) -> list[DataFrame]:
+    """The fallback and the structural list of queries whose ids are texts, found in one search."""
+    marked = [q.withColumn(query_id, F.concat(F.lit(mark), F.col(query_id))) for mark, q in zip("fs", gated(queries, query_id, languages_col, terms_col))]
+    found = search(index, id_col, marked[0].unionByName(marked[1]), query_id, k, **how).checkpoint()
+    return [found.where(F.col(query_id).startswith(mark)).withColumn(query_id, F.expr(f"substring({query_id}, 2)")) for mark in "fs"]
+
+
 def match_groups(query: Column) -> Column:
     """The groups of an inferred query: ``a AND (b OR c)`` wants a, and b or c."""
     sides = F.transform(F.split(query, r"\s+AND\s+"), lambda side: F.regexp_replace(side, r"\s+OR\s+", " "))

@@ -25,7 +25,7 @@ def injected(spark: SparkSession, sf_dir: str, seeds: int = SEEDS) -> DataFrame:
     asked = asked.withColumn("qid", calls.query_string(F.col("langs"), F.col("words"))).where("qid IS NOT NULL").checkpoint()
     unique = asked.select("qid", "langs", "words").dropDuplicates(["qid"])
     index = lexical_index(spark, sf_dir)
-    lists = [retrieval.search(index, "id", q, "qid", 2 * seeds) for q in retrieval.gated(unique, "qid", "langs", "words")]
+    lists = retrieval.search_gated(index, "id", unique, "qid", "langs", "words", 2 * seeds)
     best = retrieval.ranked(retrieval.fuse(lists, "qid", "id").withColumn("fused", F.round("fused", 9)), "qid", "fused", "id", seeds)
     chunks = table(spark, sf_dir, "chunks").select("id", "source_file", "body", "is_universal", "applies_when_json")
     sources = best.join(chunks.select("id", "source_file"), "id").select("qid", "source_file").distinct()
