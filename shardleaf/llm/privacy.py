@@ -37,7 +37,7 @@ OTHER_WORDS = (
     "order|orders|run|runs|build|rows?|version|v|release|timeout|uuid|guid|commit|ticket|issue|pr|port|shard|ip|host|pid|process|line|lines|page|chapter|section|error|code|status|exit|size|offset|bytes?|"
     "count|total|sum|batch|job|task|queue|seed|seq|epoch|step|sku|invoice|tracking|isbn|serial|model|part|price|amount|balance|date|time|timestamp|at|between|kill|chmod|sleep|listen|bind|revision|rev|tag|hash"
 )
-COUNT_WORDS = "runs|tries|attempts|cases|items|rows|requests|times|ms|milliseconds|seconds|secs?|s|minutes|min|hours|days|bytes|kb|mb|gb|passed|failed|percent|lines|files|events|records|users|tests|points|of the"
+COUNT_WORDS = "runs|tries|attempts|cases|items|rows|requests|times|ms|milliseconds|seconds|secs?|s|minutes|min|hours|days|bytes|kb|mb|gb|passed|failed|percent|lines|files|events|records|users|tests|points"
 PLACE_WORDS = "moved? to|lives?|living|address(?:ed)?|office|ship(?:ped|ping)?|deliver(?:ed|y)?|visit|post|send|sent|parcel|letter|mail|to|at|residing|located|reside|home|house|wohnt|habite|vive"
 NAME_WORDS = (
     "my name is|name is|i am|i'm|named|author|authors|reviewer|reviewed|reviewed-by|reported-by|signed-off-by|co-authored-by|tested-by|cc|hi|hello|hey|dear|thanks|thank you|thx|regards|cheers|ask|asked|ping|by|from|with|"
@@ -47,7 +47,7 @@ TITLES = "Mr|Mrs|Ms|Miss|Mx|Dr|Prof|Herr|Frau|Señora|Señor|Sra|Sr|Mme|Mlle|Mon
 AFTER_NAME = "said|says|wrote|writes|asked|asks|owns|reviewed|reported|signed|complained|called|joined|left|replied|thinks|wants|agreed|lives|works|will|has|is out|was|and i\\b|can"
 THINGS = (
     "packages?|scripts?|builds?|modules?|crates?|librar(?:y|ies)|compilers?|code|languages?|frameworks?|servers?|services?|apis?|class(?:es)?|functions?|repos?|repositor(?:y|ies)|branch(?:es)?|plugins?|tools?|"
-    "files?|folders?|headings?|sections?|projects?|teams?|tests?|jobs?|pipelines?|tables?|queries|query|databases?|clusters?|nodes?|ports?|tags?|versions?|releases?|docs?|pages?|hooks?|workers?|keys?|labels?|are headings"
+    "files?|folders?|sections?|projects?|teams?|tests?|jobs?|pipelines?|tables?|queries|query|databases?|clusters?|nodes?|ports?|tags?|versions?|releases?|docs?|pages?|hooks?|workers?|keys?|labels?"
 )
 # Words that begin a sentence with a capital and are no part of a name.
 FUNCTION_WORDS = frozenset(
