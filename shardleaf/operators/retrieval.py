@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,16 +18,16 @@ from shardleaf.functions.text import search_tokens, split_into_words
 K1, B, RRF_K = 1.2, 0.75, 60
 
 
-def build_index(df: DataFrame, id_col: str, weights: dict[str, float], declared_col: str | None = None, stemmed: bool = False) -> DataFrame:
-    """``id_col, length, terms, hits, declared`` of each row: its terms with their weighted hits, as a table written once.
+def build_index(df: DataFrame, id_col: str, weights: dict[str, float], declared_col: str | None = None, stemmed: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col, length, terms, hits, declared`` and the columns ``also`` of each row: its terms with their weighted hits, as a table written once.
 
     Terms are words of letters, or if ``stemmed`` tokens with their digits, without accents, as stems. A term of a column
     of weight 0 matches with 0 hits. ``declared`` is the text of the declaring column. A map over rows without shuffle.
     """
     words = search_tokens if stemmed else split_into_words
     declared = F.lit(None).cast("string") if declared_col is None else F.col(declared_col)
-    given = df.select(F.col(id_col).alias("_id"), declared.alias("_declared"), *[F.coalesce(words(F.col(c)), F.array().cast("array<string>")).alias(f"_w{i}") for i, c in enumerate(weights)])
-    schema = T.StructType([T.StructField(id_col, given.schema["_id"].dataType), T.StructField("length", T.IntegerType()), T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("hits", T.ArrayType(T.DoubleType())), T.StructField("declared", T.StringType())])
+    given = df.select(F.col(id_col).alias("_id"), declared.alias("_declared"), *also, *[F.coalesce(words(F.col(c)), F.array().cast("array<string>")).alias(f"_w{i}") for i, c in enumerate(weights)])
+    schema = T.StructType([T.StructField(id_col, given.schema["_id"].dataType), T.StructField("length", T.IntegerType()), T.StructField("terms", T.ArrayType(T.StringType())), T.StructField("hits", T.ArrayType(T.DoubleType())), T.StructField("declared", T.StringType()), *[given.schema[c] for c in also]])
 
     def count(batches):
         known: dict[str, str] = {}
@@ -51,108 +52,234 @@ def build_index(df: DataFrame, id_col: str, weights: dict[str, float], declared_
                 lengths.append(length)
                 terms.append(list(found))
                 hits.append(list(found.values()))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(lengths, pa.int32()), pa.array(terms, pa.list_(pa.string())), pa.array(hits, pa.list_(pa.float64())), batch.column("_declared")], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(lengths, pa.int32()), pa.array(terms, pa.list_(pa.string())), pa.array(hits, pa.list_(pa.float64())), batch.column("_declared"), *[batch.column(c) for c in also]], names=schema.names)
 
     return given.mapInArrow(count, schema).checkpoint()
 
 
-def parts(index: DataFrame, id_col: str, terms: DataFrame, most_broadcast: int = 200_000) -> DataFrame:
+def _idf(df: Column, rows: int) -> Column:
+    return F.greatest(F.log((F.lit(rows) - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+
+
+def parts(index: DataFrame, id_col: str, terms: DataFrame, rows: int, mean: float) -> DataFrame:
     """``id_col, declared, term, part``: what each of the ``terms`` (a column of distinct ones) adds to the score of a row that holds it.
 
-    Length and frequency statistics come from the whole index. A small set of terms is broadcast after it is counted.
+    ``rows`` and their ``mean`` length are those of the whole index.
     """
-    whole = index.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total")).head()
-    mean = (whole.total or 0) / max(1, whole.n)
     post = index.select(id_col, "length", "declared", F.explode(F.arrays_zip("terms", "hits")).alias("_t")).select(id_col, "length", "declared", F.col("_t.terms").alias("term"), F.col("_t.hits").alias("tf"))
-    asked = F.broadcast(terms) if terms.count() <= most_broadcast else terms
-    post = post.join(asked, "term").checkpoint()
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.select("term", F.greatest(F.log((F.lit(whole.n) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6)).alias("idf"))
-    idf = F.broadcast(idf) if asked is not terms else idf
+    post = post.join(terms, "term")
+    idf = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", _idf(F.col("df"), rows).alias("idf"))
     tf = F.col("tf")
     return post.join(idf, "term").select(id_col, "declared", "term", (F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(mean)))).alias("part"))
 
 
+def weighed(index: DataFrame, id_col: str, terms: DataFrame, most_known: int = 200_000) -> tuple[DataFrame, dict[str, float] | None, int]:
+    """``id, declared, terms, hits, small, norm`` of the rows that hold any of the ``terms``, packed; the weights of the terms; how many postings at most.
+
+    Up to ``most_known`` terms are known everywhere: rows carry their places among the weights, and no posting is shuffled.
+    Where all hits of a row are whole numbers of a byte, they stand in ``small``. Of more terms rows carry names and, as
+    hits, what each adds to the score; the weights are None.
+    """
+    whole = index.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total"), F.sum(F.size("terms")).alias("postings")).head()
+    mean = (whole.total or 0) / max(1, whole.n) or 1.0
+    some = terms.limit(most_known + 1).collect()
+    if len(some) > most_known:
+        rows = parts(index, id_col, terms, whole.n, mean).groupBy(F.col(id_col).alias("id"), "declared").agg(F.collect_list(F.struct("term", "part")).alias("_p"))
+        return rows.select("id", "declared", F.col("_p.term").alias("terms"), F.col("_p.part").alias("hits"), F.lit(None).cast("array<tinyint>").alias("small"), F.lit(0.0).alias("norm")), None, whole.postings or 0
+    spark = index.sparkSession
+    post = index.select(F.explode("terms").alias("term")).join(F.broadcast(spark.createDataFrame([(r.term,) for r in some], "term string")), "term")
+    found = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", "df", _idf(F.col("df"), whole.n).alias("idf")).collect()
+    names = spark.sparkContext.broadcast([r.term for r in found])
+    given = index.select(F.col(id_col).alias("id"), "declared", "terms", "hits", (K1 * (1 - B + B * F.col("length") / F.lit(mean))).alias("norm"))
+    schema = T.StructType([given.schema["id"], given.schema["declared"], T.StructField("terms", T.ArrayType(T.ShortType() if len(found) < 2**15 else T.IntegerType())), T.StructField("hits", T.ArrayType(T.DoubleType())), T.StructField("small", T.ArrayType(T.ByteType())), T.StructField("norm", T.DoubleType())])
+
+    kind = to_arrow_type(schema["terms"].dataType.elementType)
+
+    def known(batches):
+        listed = pa.array(names.value, pa.string())
+        for batch in batches:
+            lists = batch.column("terms")
+            places = pc.index_in(lists.flatten(), value_set=listed)
+            here = places.is_valid()
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            row, places, hits = row[here.to_numpy(zero_copy_only=False)], places.filter(here), batch.column("hits").flatten().filter(here).to_numpy()
+            counts = np.bincount(row, minlength=len(lists))
+            ends = np.concatenate([[0], np.cumsum(counts[counts > 0])])
+            large = np.bincount(row[(hits < 0) | (hits > 127) | (hits != np.floor(hits))], minlength=len(lists)) > 0
+            rest = batch.filter(pa.array(counts > 0))
+            terms = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), places.cast(kind))
+            packed = [pack(ends, hits[of[row]], of[counts > 0], to) for of, to in ((large, pa.float64()), (~large, pa.int8()))]
+            yield pa.RecordBatch.from_arrays([rest.column("id"), rest.column("declared"), terms, *packed, rest.column("norm")], names=schema.names)
+
+    def pack(ends: np.ndarray, hits: np.ndarray, here: np.ndarray, to: pa.DataType) -> pa.Array:
+        """The hits of the rows that are here, null for others."""
+        own = np.concatenate([[0], np.cumsum(np.where(here, np.diff(ends), 0))])
+        return pa.ListArray.from_arrays(pa.array(own, pa.int32()), pa.array(hits, to), mask=pa.array(~here))
+
+    return given.mapInArrow(known, schema), {r.term: r.idf for r in found}, sum(r.df for r in found)
+
+
+class Lists:
+    """The postings of ``n`` rows by term: term ``t`` has those from ``begin[t]`` to ``begin[t + 1]``. ``back`` has the rows' places in the shard."""
+
+    def __init__(self, n: int, rows: np.ndarray, parts: np.ndarray, begin: np.ndarray, back: np.ndarray):
+        self.n, self.rows, self.parts, self.begin, self.back = n, rows, parts, begin, back
+        self.dense: dict[int, np.ndarray] = {}
+
+    def only(self, keep: np.ndarray) -> "Lists":
+        """Those of some rows."""
+        held = keep[self.rows]
+        begin = np.concatenate([[0], np.cumsum(held)])[self.begin]
+        return Lists(int(keep.sum()), (np.cumsum(keep) - 1)[self.rows[held]], self.parts[held], begin, self.back[keep])
+
+    def add(self, t: int, scores: np.ndarray) -> None:
+        a, b = self.begin[t], self.begin[t + 1]
+        if (b - a) * 8 < self.n:
+            scores[self.rows[a:b]] += self.parts[a:b]
+            return
+        if t not in self.dense:
+            self.dense[t] = np.zeros(self.n)
+            self.dense[t][self.rows[a:b]] = self.parts[a:b]
+        scores += self.dense[t]
+
+    def sums(self, terms: list[int]) -> np.ndarray:
+        """Over 0 where a row holds one of the terms."""
+        scores = np.zeros(self.n)
+        for t in terms:
+            self.add(t, scores)
+        return scores
+
+    def top(self, scores: np.ndarray, k: int, digits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the shard and rounded scores of the k best rows over 0, the first of equal ones."""
+        width, least, slack = 64, 0.0, 2 * 10.0**-digits
+        if self.n >= 2 * k * width:  # k stretches have a row as good as the least of their best
+            best = scores[: self.n // width * width].reshape(-1, width).max(axis=1)
+            least = np.partition(best, -k)[-k] - slack
+        at = np.flatnonzero(scores >= least) if least > 0 else np.flatnonzero(scores > 0)
+        found = scores[at]
+        if len(at) > k:
+            near = found >= np.partition(found, -k)[-k] - slack
+            at, found = at[near], found[near]
+        found = np.round(found, digits)
+        order = np.argsort(-found, kind="stable")[:k]
+        return self.back[at[order]], found[order]
+
+
 class Shard:
-    """The parts of some rows: scores of a query for all of them at once."""
-
-    def __init__(self, rows: pd.DataFrame):
-        ids, at = np.unique(rows["id"].to_numpy(), return_inverse=True)
-        codes, names = pd.factorize(rows["term"])
-        order = np.argsort(codes, kind="stable")
-        self.ids, self.terms = ids, {t: k for k, t in enumerate(names)}
-        self.at, self.part = at[order], rows["part"].to_numpy()[order]
-        self.begin = np.searchsorted(codes[order], np.arange(len(names) + 1))
-        shown = rows["declared"].to_numpy()
-        first = np.unique(at, return_index=True)[1]
-        self.declared = shown[first]
-        self.undeclared = np.array([d is None for d in self.declared], bool)
-        self.speaks: dict[str, np.ndarray] = {}
-        for text in {d for d in self.declared if d is not None}:
+    """The postings of some rows (a table as ``weighed`` gives it), in the order of their ids."""
+
+    LEAST = 1e-300  # what a term without hits adds, so that a row that holds a term has a score over 0
+
+    def __init__(self, table: pa.Table, weights: dict[str, float] | None):
+        ids, norm = np.array(table["id"].to_pylist()), table["norm"].to_numpy()
+        if ids.dtype.kind not in "iu":
+            ids = np.array(table["id"].to_pylist(), object)
+        self.ids, first, at = np.unique(ids, return_index=True, return_inverse=True)
+        lists = table["terms"].combine_chunks()
+        counts, codes, hits = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten(), np.zeros(int(pc.sum(pc.list_value_length(lists)).as_py()))
+        for name in ("hits", "small"):
+            given = table[name].combine_chunks()
+            hits[np.repeat(given.is_valid().to_numpy(zero_copy_only=False), counts)] = given.flatten().to_numpy()
+        if weights is None:
+            codes = codes.dictionary_encode()
+            self.terms, codes = {t: i for i, t in enumerate(codes.dictionary.to_pylist())}, codes.indices.to_numpy()
+        else:
+            self.terms, codes = {t: i for i, t in enumerate(weights)}, codes.to_numpy()
+            hits = np.array([*weights.values()])[codes] * hits * (K1 + 1) / (hits + np.repeat(norm, counts))
+        rows = np.repeat(at, counts)
+        order = np.lexsort((rows, codes))
+        rows, codes, parts = rows[order], codes[order], np.maximum(hits[order], self.LEAST)
+        if len(self.ids) < len(ids):  # a row that comes twice counts once
+            once = np.append((rows[1:] != rows[:-1]) | (codes[1:] != codes[:-1]), True)
+            rows, codes, parts = rows[once], codes[once], parts[once]
+        self.whole = Lists(len(self.ids), rows, parts, np.searchsorted(codes, np.arange(len(self.terms) + 1)), np.arange(len(self.ids)))
+        declared = table["declared"].combine_chunks().dictionary_encode()
+        texts, of = declared.dictionary.to_pylist(), declared.indices.fill_null(-1).to_numpy()[first]
+        self.undeclared, self.speaks = of < 0, {}
+        for i, text in enumerate(texts):
             try:
-                tokens = [t for t in json.loads(text) if isinstance(t, str)]
+                tokens = {t for t in json.loads(text) if isinstance(t, str)}
             except (ValueError, TypeError):
-                tokens = []
+                tokens = set()
             for token in tokens:
-                self.speaks[token] = self.speaks.get(token, np.zeros(len(ids), bool)) | (self.declared == text)
+                self.speaks[token] = self.speaks.get(token, np.zeros(len(of), bool)) | (of == i)
 
-    def rows(self, term: str) -> tuple[np.ndarray, np.ndarray]:
-        k = self.terms.get(term)
-        a, b = (0, 0) if k is None else self.begin[k : k + 2]
-        return self.at[a:b], self.part[a:b]
+    def gate(self, tokens: tuple[str, ...]) -> np.ndarray:
+        """Rows that declare one of the languages; without languages those that declare nothing."""
+        return np.any([self.speaks.get(t, np.zeros(len(self.ids), bool)) for t in tokens], axis=0) if tokens else self.undeclared
 
-    def best(self, queries: list[tuple], k: int, digits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Places and scores of the k best rows for each (groups, without, gate) of a block of queries.
+    def best(self, queries: list[tuple], k: int, digits: int, shared: int = 32):
+        """Number, places and scores of the k best rows of each (groups, without, gate).
 
-        All scores of a block of few terms are one product of the queries' terms and the terms' parts; with many terms
-        each query adds up the parts of its own.
+        Queries that share their gate, and their first group where they have others, are taken together, over the rows that pass these.
         """
-        used = sorted({t for groups, without, _ in queries for g in [*groups, without] for t in g if t in self.terms})
-        name, n = {t: i for i, t in enumerate(used)}, len(self.ids)
-        dense = len(used) <= 256
-        parts, there = np.zeros((len(used) if dense else 0, n)), np.zeros((len(used) + 1, n), bool)
-        for t, i in name.items():
-            at, part = self.rows(t)
-            there[i, at] = True
-            if dense:
-                parts[i, at] = part
-        times, scores, known = np.zeros((len(queries), len(used))), np.zeros((len(queries), n)), {}
-        held = np.ones((len(queries), n), bool)
-
-        def any_of(terms) -> np.ndarray:
-            key = frozenset(name.get(t, len(used)) for t in terms)
-            if key not in known:
-                known[key] = there[list(key)].any(axis=0)
-            return known[key]
-
+        codes = lambda terms: [self.terms[t] for t in terms if t in self.terms]
+        gates: dict = {}
         for q, (groups, without, gate) in enumerate(queries):
-            if gate is not None:
-                held[q] = np.any([self.speaks.get(g, there[-1]) for g in gate], axis=0) if len(gate) else self.undeclared
-            for group in groups:
-                held[q] &= any_of(group)
-                for t in group:
-                    if t in name and dense:
-                        times[q, name[t]] += 1
-                    elif t in name:
-                        at, part = self.rows(t)
-                        scores[q, at] += part
-            if len(without):
-                held[q] &= ~any_of(without)
-        scores = np.where(held, np.round(times @ parts if dense else scores, digits), -np.inf)
-        most = min(k, n)
-        if most < n:  # of equal scores the first rows count, so all that equal the last one are looked at
-            least = np.partition(scores, n - most, axis=1)[:, n - most]
-        else:
-            least = np.full(len(queries), -np.inf)
-        out = []
-        for q in range(len(queries)):
-            at = np.flatnonzero((scores[q] >= least[q]) & held[q])
-            at = at[np.argsort(-scores[q, at], kind="stable")[:k]]
-            out.append((at, scores[q, at]))
-        return out
-
+            gates.setdefault(None if gate is None else tuple(sorted(set(gate))), {}).setdefault(tuple(sorted(groups[0])) if len(groups) > 1 else None, []).append(q)
+        for gate, firsts in gates.items():
+            passed = self.whole if gate is None else self.whole.only(self.gate(gate))
+            for first, members in firsts.items():
+                lists, base = passed, None
+                if first is not None and len(members) >= shared:
+                    base = passed.sums(codes(first))
+                    lists, base = passed.only(base > 0), base[base > 0]
+                for q in members if lists.n else ():
+                    groups, without, _ = queries[q]
+                    scores = None
+                    for group in groups if base is None else groups[1:]:
+                        one = lists.sums(codes(group))
+                        scores = one if scores is None else np.where((scores > 0) & (one > 0), scores + one, 0)
+                    if base is not None:
+                        scores = np.where(scores > 0, scores + base, 0)
+                    for t in codes(without):
+                        scores[lists.rows[lists.begin[t] : lists.begin[t + 1]]] = 0
+                    yield q, *lists.top(scores, k, digits)
+
+
+def matches(index: DataFrame, id_col: str, asked: DataFrame, k: int, digits: int = 6, shard_rows: int = 262_144, block_queries: int = 131_072, shard_postings: int = 8_000_000) -> DataFrame:
+    """``_q, id, score``: the k best rows of each query ``_q`` in each shard, for ``asked`` as in ``search``; it is read several times.
+
+    Each block of queries meets each shard in one task. There are few shards, since queries and results travel once a
+    shard, and as few blocks as keep all cores busy, since the postings of the asked terms travel once a block.
+    """
+    spark = index.sparkSession
+    vocabulary = asked.select(F.explode(F.concat(F.flatten("groups"), F.coalesce("without", F.array().cast("array<string>")))).alias("term")).where("term IS NOT NULL").distinct()
+    rows, weights, postings = weighed(index, id_col, vocabulary)
+    wanted = asked.count()
+    shards = max(1, -(-index.count() // shard_rows), -(-postings // shard_postings))
+    blocks = max(1, -(-wanted // block_queries), min(-(-spark.sparkContext.defaultParallelism // shards), -(-wanted // 4096)))
+    task = lambda shard, block: (shard * blocks + block).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_n")
+    left = rows.select("*", F.lit(True).alias("_row"), every(blocks)).withColumn("_task", task(F.pmod(F.xxhash64("id"), F.lit(shards)), F.col("_n"))).drop("_n")
+    right = asked.select("_q", "groups", "without", "gate", F.lit(False).alias("_row"), every(shards)).withColumn("_task", task(F.col("_n"), F.pmod(F.xxhash64("_q"), F.lit(blocks)))).drop("_n")
+    schema = T.StructType([T.StructField("_q", asked.schema["_q"].dataType), T.StructField("id", rows.schema["id"].dataType), T.StructField("score", T.DoubleType())])
+    known = None if weights is None else spark.sparkContext.broadcast(weights)
+    kinds = [to_arrow_type(f.dataType) for f in schema]
 
-def search(index: DataFrame, id_col: str, queries: DataFrame, query_id: str, k: int, stemmed: bool = False, digits: int = 6, shard_rows: int = 4096, block_queries: int = 512) -> DataFrame:
+    def best(batches):
+        held, queries = [], []
+        for batch in batches:
+            row = batch.column("_row")
+            held.append(batch.filter(row).select(["id", "declared", "terms", "hits", "small", "norm"]))
+            queries.append(batch.filter(pc.invert(row)).select(["_q", "groups", "without", "gate"]))
+        if not sum(map(len, held)) or not sum(map(len, queries)):
+            return
+        shard, queries = Shard(pa.Table.from_batches(held), None if known is None else known.value), pa.Table.from_batches(queries).combine_chunks()
+        del held
+        for low in range(0, len(queries), 16_384):
+            part = queries.slice(low, 16_384)
+            listed = [(g, w or (), gate) for g, w, gate in zip(*(part[c].to_pylist() for c in ("groups", "without", "gate")))]
+            found = [x for x in shard.best(listed, k, digits) if len(x[1])]
+            if found:
+                q = np.repeat([q for q, _, _ in found], [len(at) for _, at, _ in found])
+                ids, scores = shard.ids[np.concatenate([at for _, at, _ in found])], np.concatenate([x for _, _, x in found])
+                yield pa.RecordBatch.from_arrays([part["_q"].combine_chunks().take(pa.array(q)).cast(kinds[0]), pa.array(ids.tolist(), kinds[1]), pa.array(scores)], names=schema.names)
+
+    return left.unionByName(right, allowMissingColumns=True).repartitionById(shards * blocks, "_task").drop("_task").mapInArrow(best, schema)
+
+
+def search(index: DataFrame, id_col: str, queries: DataFrame, query_id: str, k: int, stemmed: bool = False, digits: int = 6, **how) -> DataFrame:
     """``query_id, id_col, score, rank``: the k best rows of each query by BM25, ties by id.
 
     ``queries`` has ``groups`` (lists of terms: a row must hold a term of each; a repeated term counts again), and may
@@ -160,8 +287,8 @@ def search(index: DataFrame, id_col: str, queries: DataFrame, query_id: str, k:
     nothing, else languages of which the row must declare one. A query without groups finds nothing. If ``stemmed``,
     terms meet by their search form. Scores are rounded so that sums in another order tie alike.
 
-    Shards of rows meet blocks of queries; each pair keeps k rows a query. So a frequent term is spread over the shards,
-    and what is shuffled is the parts of the asked terms and k rows a query and shard, never all matches.
+    Shards of rows meet blocks of queries (``how`` is for ``matches``); each pair keeps k rows a query. What is shuffled is
+    the postings of the asked terms and k rows a query and shard, never all matches.
     """
     for name, kind in (("without", "array<string>"), ("gate", "array<string>")):
         if name not in queries.columns:
@@ -175,29 +302,7 @@ def search(index: DataFrame, id_col: str, queries: DataFrame, query_id: str, k:
 
         asked = asked.withColumn("_f", formed(F.array_append("groups", F.coalesce("without", F.array().cast("array<string>")))))
         asked = asked.withColumns({"groups": F.filter(F.slice("_f", 1, F.size("_f") - 1), lambda g: F.size(g) > 0), "without": F.element_at("_f", -1)}).drop("_f").where("size(groups) > 0")
-    asked = asked.checkpoint()
-    vocabulary = asked.select(F.explode(F.concat(F.flatten("groups"), F.coalesce("without", F.array().cast("array<string>")))).alias("term")).distinct()
-    shards, blocks = max(1, -(-index.count() // shard_rows)), max(1, -(-asked.count() // block_queries))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = parts(index, id_col, vocabulary).select(F.col(id_col).alias("id"), "declared", "term", "part", F.pmod(F.xxhash64(id_col), F.lit(shards)).cast("int").alias("_s"), every.alias("_b"))
-    right = asked.select("*", F.pmod(F.xxhash64("_q"), F.lit(blocks)).cast("int").alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("_s"))
-    schema = T.StructType([T.StructField("_q", asked.schema["_q"].dataType), T.StructField("id", left.schema["id"].dataType), T.StructField("score", T.DoubleType())])
-
-    def best(rows: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        names, ids, values = [], [], []
-        if len(rows) and len(wanted):
-            shard = Shard(rows)
-            for low in range(0, len(wanted), 256):
-                part = wanted.iloc[low : low + 256]
-                asked = [(g, () if w is None else w, gate) for g, w, gate in zip(part["groups"], part["without"], part["gate"])]
-                for q, (at, scores) in zip(part["_q"], shard.best(asked, k, digits)):
-                    names += [q] * len(at)
-                    ids.append(shard.ids[at])
-                    values.append(scores)
-        found = {"_q": pd.Series(names, dtype=object), "id": pd.Series(np.concatenate(ids).tolist() if ids else [], dtype=object)}
-        return pd.DataFrame(found | {"score": np.concatenate(values) if values else np.empty(0)})
-
-    found = left.groupBy("_s", "_b").cogroup(right.groupBy("_s", "_b")).applyInPandas(best, schema)
+    found = matches(index, id_col, asked.checkpoint(), k, digits, **how)
     return ranked(found, "_q", "score", "id", k).select(F.col("_q").alias(query_id), F.col("id").alias(id_col), "score", "rank")
 
 
@@ -234,8 +339,8 @@ def ranked(df: DataFrame, query_id: str, score: str, id_col: str, limit: int, as
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(order, id_col))).where(F.col("rank") <= limit)
 
 
-def fuse(lists: list[DataFrame], query_id: str, id_col: str, scores: dict[str, tuple[int, str]] | None = None) -> DataFrame:
-    """Reciprocal-rank fusion of ranked lists into ``query_id, id_col, fused`` from 0 to 1.
+def fuse(lists: list[DataFrame], query_id: str, id_col: str, scores: dict[str, tuple[int, str]] | None = None, n: int | None = None) -> DataFrame:
+    """Reciprocal-rank fusion of ranked lists into ``query_id, id_col, fused`` from 0 to 1; ``n`` lists, where several come as one.
 
     ``scores`` names further columns: the score of a row in one of the lists (its number and column), null where the list lacks the row.
     """
@@ -244,7 +349,7 @@ def fuse(lists: list[DataFrame], query_id: str, id_col: str, scores: dict[str, t
     every = lists[0].select(query_id, id_col, "rank", *own[0])
     for one, kept in zip(lists[1:], own[1:]):
         every = every.unionAll(one.select(query_id, id_col, "rank", *kept))
-    return every.groupBy(query_id, id_col).agg((F.sum(1 / (RRF_K + F.col("rank"))) / (len(lists) / (RRF_K + 1))).alias("fused"), *[F.max(n).alias(n) for n in scores])
+    return every.groupBy(query_id, id_col).agg((F.sum(1 / (RRF_K + F.col("rank"))) / ((n or len(lists)) / (RRF_K + 1))).alias("fused"), *[F.max(n).alias(n) for n in scores])
 
 
 def nearest(corpus: DataFrame, queries: DataFrame, id_col: str, vector_col: str, k: int, block: int = 2048) -> DataFrame:

@@ -1,12 +1,17 @@
 """From calls to the text that each of them gets: inference, gated search, siblings, conditions, sessions, formatting."""
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from shardleaf.functions import calls, languages
 from shardleaf.operators import retrieval
 from shardleaf.plans.calls import CALL
-from shardleaf.plans.search import lexical_index
+from shardleaf.plans.search import FIELD_WEIGHTS
 from shardleaf.registry import query
 from shardleaf.sources.tables import table
 from shardleaf.streaming import sessions
@@ -14,39 +19,126 @@ from shardleaf.streaming import sessions
 SEEDS = 3
 
 
-def injected(spark: SparkSession, sf_dir: str, seeds: int = SEEDS) -> DataFrame:
-    """``call_id, id, source_file, body``: what each call gets that its session has not been shown yet.
+def found_sources(spark: SparkSession, sf_dir: str, seeds: int = SEEDS) -> DataFrame:
+    """``no, call_id, session_id, called_at, tool_name, command, source_file``: the sources that each call's best ``seeds`` chunks come from.
 
-    Calls that ask the same are searched for once. The best ``seeds`` chunks bring along all chunks of their sources;
-    chunks whose condition does not hold for the call are taken out before the session counts them as seen.
+    Calls that ask the same are searched for once. Calls have numbers, and chunks, in the order of their ids, so that no
+    long key travels with what is found.
     """
-    rows = table(spark, sf_dir, "call_contexts").dropDuplicates(["call_id"])
-    asked = rows.select("call_id", "session_id", "called_at", "tool_name", "command", languages.infer_languages(*map(F.col, CALL)).alias("langs"), calls.call_terms(*map(F.col, (*CALL, "transcript_tail"))).alias("words"))
-    asked = asked.withColumn("qid", calls.query_string(F.col("langs"), F.col("words"))).where("qid IS NOT NULL").checkpoint()
-    unique = asked.select("qid", "langs", "words").dropDuplicates(["qid"])
-    index = lexical_index(spark, sf_dir)
-    lists = retrieval.search_gated(index, "id", unique, "qid", "langs", "words", 2 * seeds)
-    best = retrieval.ranked(retrieval.fuse(lists, "qid", "id").withColumn("fused", F.round("fused", 9)), "qid", "fused", "id", seeds)
+    rows = table(spark, sf_dir, "call_contexts").select("call_id", "session_id", "called_at", "tool_name", "command", languages.infer_languages(*map(F.col, CALL)).alias("langs"), calls.call_terms(*map(F.col, (*CALL, "transcript_tail"))).alias("words"))
+    asked = rows.dropDuplicates(["call_id"]).where("size(langs) > 0 OR size(words) > 0").withColumn("no", F.monotonically_increasing_id())
+    asked = asked.withColumn("qno", F.min("no").over(Window.partitionBy("langs", "words"))).checkpoint()
+    chunks = table(spark, sf_dir, "chunks").select("id", "source_file", "language_json", *[c for c in FIELD_WEIGHTS if c != "source_file"])
+    index = retrieval.build_index(chunks.orderBy("id").withColumn("no", F.monotonically_increasing_id()), "no", FIELD_WEIGHTS, "language_json", also=("source_file",))
+    forms = retrieval.gated(asked.where("no = qno"), "qno", "langs", "words")
+    both = [form.select((2 * F.col("qno") + at).alias("_q"), "groups", F.lit(None).cast("array<string>").alias("without"), "gate") for at, form in enumerate(forms)]
+    found = retrieval.matches(index, "no", both[0].unionByName(both[1]).where("size(groups) > 0"), 2 * seeds)
+    found = found.withColumn("qno", F.shiftright("_q", 1)).repartition("qno")
+    first = F.row_number().over(Window.partitionBy("qno", "_q").orderBy(F.desc("score"), "id"))
+    lists = found.withColumn("rank", first).where(F.col("rank") <= 2 * seeds)
+    best = retrieval.ranked(retrieval.fuse([lists], "qno", "id", n=2).withColumn("fused", F.round("fused", 9)), "qno", "fused", "id", seeds)
+    sources = best.join(index.select(F.col("no").alias("id"), "source_file"), "id").select("qno", "source_file").where("source_file IS NOT NULL").distinct().checkpoint()
+    return asked.drop("langs", "words").join(sources, "qno").drop("qno")
+
+
+def split_chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The chunks that are shown or not for their source and session alone, and the others: those with a condition, and those whose id comes twice."""
     chunks = table(spark, sf_dir, "chunks").select("id", "source_file", "body", "is_universal", "applies_when_json")
-    sources = best.join(chunks.select("id", "source_file"), "id").select("qid", "source_file").distinct()
-    found = asked.select("call_id", "session_id", "called_at", "tool_name", "command", "qid").join(sources, "qid").join(chunks, "source_file")
+    gated = F.coalesce("is_universal", F.lit(True)) & F.col("applies_when_json").isNotNull()
+    twice = chunks.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("id", F.lit(True).alias("_twice"))
+    if twice.isEmpty():
+        return chunks.where(~gated), chunks.where(gated)
+    chunks = chunks.join(twice, "id", "left").withColumn("_other", gated | F.col("_twice").isNotNull()).drop("_twice")
+    return chunks.where("NOT _other").drop("_other"), chunks.where("_other").drop("_other")
+
+
+def shown_sources(found: DataFrame) -> DataFrame:
+    """``no, call_id, source_file, first``: whether a call is the first of its session that finds the source. Others get its pinned chunks alone."""
+    order = Window.partitionBy("session_id", "source_file").orderBy("called_at", "call_id")
+    return found.select("no", "call_id", "source_file", "session_id", "called_at").withColumn("first", F.row_number().over(order) == 1).drop("session_id", "called_at")
+
+
+def shown_others(found: DataFrame, others: DataFrame) -> DataFrame:
+    """``no, call_id, source_file, id, body`` of the chunks for which each has to be looked at; those whose condition does not hold for a call are not seen."""
     holds = ~F.col("is_universal") | F.col("applies_when_json").isNull() | calls.applies(F.col("applies_when_json"), F.col("tool_name"), F.col("command"))
-    shown = sessions.first_in_session(found.where(holds), "session_id", "id", ["called_at", "call_id"], always=F.col("is_universal"))
-    return shown.select("call_id", "id", "source_file", "body")
+    shown = sessions.first_in_session(found.join(others, "source_file").where(holds), "session_id", "id", ["called_at", "call_id"], always=F.col("is_universal"))
+    return shown.select("no", "call_id", "source_file", "id", "body")
+
+
+def injected(spark: SparkSession, sf_dir: str, seeds: int = SEEDS) -> DataFrame:
+    """``call_id, id, source_file, body``: what each call gets that its session has not been shown yet.
+
+    The best ``seeds`` chunks bring along all chunks of their sources; chunks whose condition does not hold for the call
+    are taken out before the session counts them as seen.
+    """
+    found, (plain, others) = found_sources(spark, sf_dir, seeds), split_chunks(spark, sf_dir)
+    shown = shown_sources(found).join(plain, "source_file").where("first OR is_universal").select("call_id", "id", "source_file", "body")
+    return shown.unionByName(shown_others(found, others).select("call_id", "id", "source_file", "body"))
+
+
+def texts(shown: DataFrame, plain: DataFrame, others: DataFrame, group_rows: int = 131_072) -> DataFrame:
+    """``call_id, chunks, text`` of each call that gets anything.
+
+    Calls are dealt out to groups, and of each source one copy goes to a group that needs it, not one to each call.
+    """
+    blocks = max(1, -(-shown.count() // group_rows), min(shown.sparkSession.sparkContext.defaultParallelism // 2, -(-shown.count() // 4096)))
+    task = F.pmod(F.xxhash64("no"), F.lit(blocks)).cast("int").alias("_task")
+    asked = shown.select("no", "call_id", "source_file", "first", task)
+    bodies = asked.select("_task", "source_file").distinct().join(plain, "source_file").select("_task", "source_file", "id", "body", F.coalesce("is_universal", F.lit(False)).alias("first"))
+    every = asked.unionByName(bodies, allowMissingColumns=True).unionByName(others.select("*", task), allowMissingColumns=True)
+    kind = shown.schema["call_id"].dataType
+    schema = T.StructType([T.StructField("call_id", kind), T.StructField("chunks", T.LongType()), T.StructField("text", T.StringType())])
+
+    def assembled(batches):
+        sources, wanted = {}, {}
+        for batch in batches:
+            for no, call, source, first, chunk, body in zip(*(batch.column(c).to_pylist() for c in ("no", "call_id", "source_file", "first", "id", "body"))):
+                if no is None:
+                    sources.setdefault(source, []).append((chunk, body or "", first))
+                elif first is None:
+                    wanted.setdefault(no, (call, {}))[1].setdefault(source, []).append((chunk, body or ""))
+                else:
+                    wanted.setdefault(no, (call, {}))[1].setdefault(source, []).append(first)
+        for source in sources.values():
+            source.sort(key=lambda x: x[:2])
+        rows, size = [], 0
+        for call, found in wanted.values():
+            n, out = 0, []
+            for name in sorted(found):
+                own = [x for x in found[name] if not isinstance(x, bool)]
+                for first in (x for x in found[name] if isinstance(x, bool)):
+                    own += [(chunk, body) for chunk, body, pinned in sources.get(name, ()) if first or pinned]
+                if own:
+                    n += len(own)
+                    out.append(f"From {name}:\n" + re.sub(r"\n+\Z", "", "\n".join(body for _, body in sorted(own))) + "\n")
+            if n:
+                rows.append((call, n, "".join(out)))
+                size += len(rows[-1][2])
+            if size > 4_000_000:
+                yield batch_of(rows)
+                rows, size = [], 0
+        yield batch_of(rows)
+
+    def batch_of(rows):
+        calls, counts, made = zip(*rows) if rows else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(calls, to_arrow_type(kind)), pa.array(counts, pa.int64()), pa.array(made, pa.string())], names=schema.names)
+
+    return every.repartitionById(blocks, "_task").drop("_task").mapInArrow(assembled, schema)
 
 
 @query()
 def chain_call_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every call that gets anything: how many chunks, and their text by source, each under a line that names it."""
-    parts = injected(spark, sf_dir).groupBy("call_id", "source_file").agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("body", F.lit("")).alias("body")))).alias("p"))
-    text = F.concat(F.lit("From "), F.col("source_file"), F.lit(":\n"), F.regexp_replace(F.array_join(F.transform("p", lambda x: x["body"]), "\n"), r"\n+\z", ""), F.lit("\n"))
-    each = parts.select("call_id", "source_file", F.size("p").alias("n"), text.alias("text"))
-    return each.groupBy("call_id").agg(F.sum("n").alias("chunks"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_file", "text"))), lambda x: x["text"]), "").alias("text"))
+    found, (plain, others) = found_sources(spark, sf_dir), split_chunks(spark, sf_dir)
+    return texts(shown_sources(found).checkpoint(), plain, shown_others(found, others))
 
 
 @query()
 def chain_session_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each session: calls, those that got anything, and the chunks that they were shown."""
-    got = injected(spark, sf_dir).groupBy("call_id").agg(F.count(F.lit(1)).alias("n"))
+    found, (plain, others) = found_sources(spark, sf_dir), split_chunks(spark, sf_dir)
+    tally = plain.groupBy("source_file").agg(F.count(F.lit(1)).alias("whole"), F.count(F.when(F.col("is_universal"), 1)).alias("pinned"))
+    shown = shown_sources(found).join(tally, "source_file").select("call_id", F.when(F.col("first"), F.col("whole")).otherwise(F.col("pinned")).alias("n")).where("n > 0")
+    got = shown.unionAll(shown_others(found, others).select("call_id", F.lit(1).alias("n"))).groupBy("call_id").agg(F.sum("n").alias("n"))
     rows = table(spark, sf_dir, "call_contexts").select("call_id", "session_id").dropDuplicates(["call_id"]).join(got, "call_id", "left")
     return rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("calls"), F.count("n").alias("answered"), F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"))
