@@ -10,7 +10,7 @@ from shardleaf.plans import chain
 from shardleaf.streaming import sessions
 
 
-@pytest.mark.parametrize("name", ["chain_call_texts"])
+@pytest.mark.parametrize("name", ["chain_call_texts", "chain_session_shares"])
 def test_what_the_chain_shuffles_stays_small(spark, name):
     sf_dir = "/root/testdata/sf0.01"
     if not os.path.isdir(sf_dir):
