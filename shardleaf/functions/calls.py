@@ -49,8 +49,13 @@ def applies(condition: Column, tool: Column, command: Column) -> Column:
     All lists that are set must hold, each by any of its values, and an empty list by none. No condition, a malformed
     one and one that sets nothing hold for every call.
     """
+    return applies_to(condition, tool, effective_head(command))
+
+
+def applies_to(condition: Column, tool: Column, head: Column) -> Column:
+    """As ``applies``, given the command that the call really runs."""
     lists = F.from_json(condition, "tools array<string>, bash_command_starts_with array<string>")
     tools, heads = lists["tools"], lists["bash_command_starts_with"]
     by_tool = tools.isNull() | F.coalesce(F.array_contains(tools, tool), F.lit(False))
-    by_head = heads.isNull() | F.coalesce((tool == "Bash") & F.array_contains(heads, effective_head(command)), F.lit(False))
+    by_head = heads.isNull() | F.coalesce((tool == "Bash") & F.array_contains(heads, head), F.lit(False))
     return by_tool & by_head

@@ -2,6 +2,7 @@
 
 import json
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from shardleaf.functions.stem import search_form
 from shardleaf.functions.text import search_tokens, split_into_words
+from shardleaf.operators import packs
 
 K1, B, RRF_K = 1.2, 0.75, 60
 
@@ -22,7 +24,7 @@ def build_index(df: DataFrame, id_col: str, weights: dict[str, float], declared_
     """``id_col, length, terms, hits, declared`` and the columns ``also`` of each row: its terms with their weighted hits, as a table written once.
 
     Terms are words of letters, or if ``stemmed`` tokens with their digits, without accents, as stems. A term of a column
-    of weight 0 matches with 0 hits. ``declared`` is the text of the declaring column. A map over rows without shuffle.
+    of weight 0 matches with 0 hits. ``declared`` is the text of the declaring column. A map over rows without shuffle; it is written packed.
     """
     words = search_tokens if stemmed else split_into_words
     declared = F.lit(None).cast("string") if declared_col is None else F.col(declared_col)
@@ -54,7 +56,7 @@ def build_index(df: DataFrame, id_col: str, weights: dict[str, float], declared_
                 hits.append(list(found.values()))
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(lengths, pa.int32()), pa.array(terms, pa.list_(pa.string())), pa.array(hits, pa.list_(pa.float64())), batch.column("_declared"), *[batch.column(c) for c in also]], names=schema.names)
 
-    return given.mapInArrow(count, schema).checkpoint()
+    return packs.written(given, by=count, schema=schema)
 
 
 def _idf(df: Column, rows: int) -> Column:
@@ -73,27 +75,25 @@ def parts(index: DataFrame, id_col: str, terms: DataFrame, rows: int, mean: floa
     return post.join(idf, "term").select(id_col, "declared", "term", (F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.lit(mean)))).alias("part"))
 
 
-def weighed(index: DataFrame, id_col: str, terms: DataFrame, most_known: int = 200_000) -> tuple[DataFrame, dict[str, float] | None, int]:
-    """``id, declared, terms, hits, small, norm`` of the rows that hold any of the ``terms``, packed; the weights of the terms; how many postings at most.
+def weighed(index: DataFrame, id_col: str, terms: DataFrame, most_known: int = 200_000) -> tuple[DataFrame, Callable | None, dict[str, float] | None, int]:
+    """Rows, what makes of their batches ``id, declared, terms, hits, small, norm`` of those that hold any of the ``terms``, the weights of these, and how many postings at most.
 
     Up to ``most_known`` terms are known everywhere: rows carry their places among the weights, and no posting is shuffled.
     Where all hits of a row are whole numbers of a byte, they stand in ``small``. Of more terms rows carry names and, as
-    hits, what each adds to the score; the weights are None.
+    hits, what each adds to the score; they need no more making, and the weights are None. A column ``_part`` stays.
     """
     whole = index.agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("total"), F.sum(F.size("terms")).alias("postings")).head()
     mean = (whole.total or 0) / max(1, whole.n) or 1.0
     some = terms.limit(most_known + 1).collect()
     if len(some) > most_known:
         rows = parts(index, id_col, terms, whole.n, mean).groupBy(F.col(id_col).alias("id"), "declared").agg(F.collect_list(F.struct("term", "part")).alias("_p"))
-        return rows.select("id", "declared", F.col("_p.term").alias("terms"), F.col("_p.part").alias("hits"), F.lit(None).cast("array<tinyint>").alias("small"), F.lit(0.0).alias("norm")), None, whole.postings or 0
+        return rows.select("id", "declared", F.col("_p.term").alias("terms"), F.col("_p.part").alias("hits"), F.lit(None).cast("array<tinyint>").alias("small"), F.lit(0.0).alias("norm")), None, None, whole.postings or 0
     spark = index.sparkSession
     post = index.select(F.explode("terms").alias("term")).join(F.broadcast(spark.createDataFrame([(r.term,) for r in some], "term string")), "term")
     found = post.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", "df", _idf(F.col("df"), whole.n).alias("idf")).collect()
     names = spark.sparkContext.broadcast([r.term for r in found])
     given = index.select(F.col(id_col).alias("id"), "declared", "terms", "hits", (K1 * (1 - B + B * F.col("length") / F.lit(mean))).alias("norm"))
-    schema = T.StructType([given.schema["id"], given.schema["declared"], T.StructField("terms", T.ArrayType(T.ShortType() if len(found) < 2**15 else T.IntegerType())), T.StructField("hits", T.ArrayType(T.DoubleType())), T.StructField("small", T.ArrayType(T.ByteType())), T.StructField("norm", T.DoubleType())])
-
-    kind = to_arrow_type(schema["terms"].dataType.elementType)
+    kind = pa.int16() if len(found) < 2**15 else pa.int32()
 
     def known(batches):
         listed = pa.array(names.value, pa.string())
@@ -109,14 +109,15 @@ def weighed(index: DataFrame, id_col: str, terms: DataFrame, most_known: int = 2
             rest = batch.filter(pa.array(counts > 0))
             terms = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), places.cast(kind))
             packed = [pack(ends, hits[of[row]], of[counts > 0], to) for of, to in ((large, pa.float64()), (~large, pa.int8()))]
-            yield pa.RecordBatch.from_arrays([rest.column("id"), rest.column("declared"), terms, *packed, rest.column("norm")], names=schema.names)
+            kept = {"id": rest.column("id"), "declared": rest.column("declared"), "terms": terms, "hits": packed[0], "small": packed[1], "norm": rest.column("norm")}
+            yield pa.RecordBatch.from_pydict(kept | {c: rest.column(c) for c in rest.schema.names if c == "_part"})
 
     def pack(ends: np.ndarray, hits: np.ndarray, here: np.ndarray, to: pa.DataType) -> pa.Array:
         """The hits of the rows that are here, null for others."""
         own = np.concatenate([[0], np.cumsum(np.where(here, np.diff(ends), 0))])
         return pa.ListArray.from_arrays(pa.array(own, pa.int32()), pa.array(hits, to), mask=pa.array(~here))
 
-    return given.mapInArrow(known, schema), {r.term: r.idf for r in found}, sum(r.df for r in found)
+    return given, known, {r.term: r.idf for r in found}, sum(r.df for r in found)
 
 
 class Lists:
@@ -237,38 +238,37 @@ class Shard:
                     yield q, *lists.top(scores, k, digits)
 
 
-def matches(index: DataFrame, id_col: str, asked: DataFrame, k: int, digits: int = 6, shard_rows: int = 262_144, block_queries: int = 131_072, shard_postings: int = 8_000_000) -> DataFrame:
+def matches(index: DataFrame, id_col: str, asked: DataFrame, k: int, digits: int = 6, shard_rows: int = 262_144, block_queries: int = 524_288, shard_postings: int = 8_000_000) -> DataFrame:
     """``_q, id, score``: the k best rows of each query ``_q`` in each shard, for ``asked`` as in ``search``; it is read several times.
 
     Each block of queries meets each shard in one task. There are few shards, since queries and results travel once a
-    shard, and as few blocks as keep all cores busy, since the postings of the asked terms travel once a block.
+    shard, and as few blocks as keep all cores busy, since the postings of the asked terms travel once a block. Both
+    travel packed. A query that comes again counts once.
     """
     spark = index.sparkSession
     vocabulary = asked.select(F.explode(F.concat(F.flatten("groups"), F.coalesce("without", F.array().cast("array<string>")))).alias("term")).where("term IS NOT NULL").distinct()
-    rows, weights, postings = weighed(index, id_col, vocabulary)
+    rows, made, weights, postings = weighed(index, id_col, vocabulary)
     wanted = asked.count()
     shards = max(1, -(-index.count() // shard_rows), -(-postings // shard_postings))
     blocks = max(1, -(-wanted // block_queries), min(-(-spark.sparkContext.defaultParallelism // shards), -(-wanted // 4096)))
     task = lambda shard, block: (shard * blocks + block).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_n")
-    left = rows.select("*", F.lit(True).alias("_row"), every(blocks)).withColumn("_task", task(F.pmod(F.xxhash64("id"), F.lit(shards)), F.col("_n"))).drop("_n")
-    right = asked.select("_q", "groups", "without", "gate", F.lit(False).alias("_row"), every(shards)).withColumn("_task", task(F.col("_n"), F.pmod(F.xxhash64("_q"), F.lit(blocks)))).drop("_n")
+    left = packs.packed(rows.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")), by=made).select(F.lit(True).alias("_row"), "_pack", "_part", every(blocks)).withColumn("_task", task(F.col("_part"), F.col("_n")))
+    right = packs.packed(asked.select("_q", "groups", "without", "gate", F.pmod(F.xxhash64("_q"), F.lit(blocks)).cast("int").alias("_part")), once="_q").select(F.lit(False).alias("_row"), "_pack", "_part", every(shards)).withColumn("_task", task(F.col("_n"), F.col("_part")))
     schema = T.StructType([T.StructField("_q", asked.schema["_q"].dataType), T.StructField("id", rows.schema["id"].dataType), T.StructField("score", T.DoubleType())])
     known = None if weights is None else spark.sparkContext.broadcast(weights)
     kinds = [to_arrow_type(f.dataType) for f in schema]
 
     def best(batches):
-        held, queries = [], []
+        held, queries, seen = [], [], set()
         for batch in batches:
-            row = batch.column("_row")
-            held.append(batch.filter(row).select(["id", "declared", "terms", "hits", "small", "norm"]))
-            queries.append(batch.filter(pc.invert(row)).select(["_q", "groups", "without", "gate"]))
-        if not sum(map(len, held)) or not sum(map(len, queries)):
+            for row, pack in zip(batch.column("_row").to_pylist(), batch.column("_pack").to_pylist()):
+                (held if row else queries).append(pack)
+        if not held or not queries:
             return
-        shard, queries = Shard(pa.Table.from_batches(held), None if known is None else known.value), pa.Table.from_batches(queries).combine_chunks()
+        shard = Shard(pa.Table.from_batches([packs.rows_of(pack) for pack in held]), None if known is None else known.value)
         del held
-        for low in range(0, len(queries), 16_384):
-            part = queries.slice(low, 16_384)
+        for part in parts_of(queries, seen):
             listed = [(g, w or (), gate) for g, w, gate in zip(*(part[c].to_pylist() for c in ("groups", "without", "gate")))]
             found = [x for x in shard.best(listed, k, digits) if len(x[1])]
             if found:
@@ -276,7 +276,21 @@ def matches(index: DataFrame, id_col: str, asked: DataFrame, k: int, digits: int
                 ids, scores = shard.ids[np.concatenate([at for _, at, _ in found])], np.concatenate([x for _, _, x in found])
                 yield pa.RecordBatch.from_arrays([part["_q"].combine_chunks().take(pa.array(q)).cast(kinds[0]), pa.array(ids.tolist(), kinds[1]), pa.array(scores)], names=schema.names)
 
-    return left.unionByName(right, allowMissingColumns=True).repartitionById(shards * blocks, "_task").drop("_task").mapInArrow(best, schema)
+    def parts_of(queries, seen, rows=16_384):
+        """Tables of about so many queries, of each the first; packs are opened as they are needed."""
+        some, n = [], 0
+        for at, pack in enumerate(queries):
+            batch = packs.rows_of(pack)
+            names = batch.column("_q").to_pylist()
+            new = [not (q in seen or seen.add(q)) for q in names]
+            some.append(batch if all(new) else batch.filter(pa.array(new, pa.bool_())))
+            n += len(some[-1])
+            if n >= rows or at == len(queries) - 1:
+                table, n = pa.Table.from_batches(some), 0
+                some = []
+                yield from (table.slice(low, rows) for low in range(0, len(table), rows))
+
+    return left.unionByName(right).select("_row", "_pack", "_task").repartitionById(shards * blocks, "_task").drop("_task").mapInArrow(best, schema)
 
 
 def search(index: DataFrame, id_col: str, queries: DataFrame, query_id: str, k: int, stemmed: bool = False, digits: int = 6, **how) -> DataFrame:
@@ -313,11 +327,16 @@ def gated(queries: DataFrame, query_id: str, languages_col: str, terms_col: str)
     languages) and any of its terms (where it has terms). The structural one wants rows that declare a language of the
     query and hold any of its terms; a query without languages or without terms has none.
     """
+    fallback, structural = gated_forms(languages_col, terms_col)
+    return queries.select(query_id, fallback.alias("_f")).select(query_id, "_f.groups", "_f.gate"), queries.select(query_id, structural.alias("_f")).where("_f IS NOT NULL").select(query_id, "_f.groups", "_f.gate")
+
+
+def gated_forms(languages_col: str, terms_col: str) -> tuple[Column, Column]:
+    """``groups, gate`` of the fallback and of the structural form, null where a query has none."""
     none = F.array().cast("array<string>")
     langs, words = F.coalesce(languages_col, none), F.coalesce(terms_col, none)
-    fallback = queries.select(query_id, F.filter(F.array(langs, words), lambda g: F.size(g) > 0).alias("groups"), none.alias("gate"))
-    structural = queries.select(query_id, F.array(words).alias("groups"), langs.alias("gate")).where((F.size("gate") > 0) & (F.size(F.element_at("groups", 1)) > 0))
-    return fallback, structural
+    fallback = F.struct(F.filter(F.array(langs, words), lambda g: F.size(g) > 0).alias("groups"), none.alias("gate"))
+    return fallback, F.when((F.size(langs) > 0) & (F.size(words) > 0), F.struct(F.array(words).alias("groups"), langs.alias("gate")))
 
 
 def search_gated(index: DataFrame, id_col: str, queries: DataFrame, query_id: str, languages_col: str, terms_col: str, k: int, **how) -> list[DataFrame]:

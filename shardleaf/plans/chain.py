@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from shardleaf.functions import calls, languages
-from shardleaf.operators import retrieval
+from shardleaf.operators import packs, retrieval
 from shardleaf.plans.calls import CALL
 from shardleaf.plans.search import FIELD_WEIGHTS
 from shardleaf.registry import query
@@ -19,26 +19,30 @@ from shardleaf.streaming import sessions
 SEEDS = 3
 
 
-def found_sources(spark: SparkSession, sf_dir: str, seeds: int = SEEDS) -> DataFrame:
-    """``no, call_id, session_id, called_at, tool_name, command, source_file``: the sources that each call's best ``seeds`` chunks come from.
+def found_sources(spark: SparkSession, sf_dir: str, seeds: int = SEEDS, known: DataFrame | None = None) -> DataFrame:
+    """``no, call_id, session_id, called_at, tool_name, head, source_file``: the sources that each call's best ``seeds`` chunks come from.
 
-    Calls that ask the same are searched for once. Calls have numbers, and chunks, in the order of their ids, so that no
-    long key travels with what is found.
+    Calls have numbers, and chunks, in the order of their ids, so that no long key travels with what is found. What calls
+    ask travels apart from them, under its digest, once for those that ask the same. If ``known`` (a row for each
+    ``source_file``) is given, its columns stand in place of the source's name.
     """
-    rows = table(spark, sf_dir, "call_contexts").select("call_id", "session_id", "called_at", "tool_name", "command", languages.infer_languages(*map(F.col, CALL)).alias("langs"), calls.call_terms(*map(F.col, (*CALL, "transcript_tail"))).alias("words"))
-    asked = rows.dropDuplicates(["call_id"]).where("size(langs) > 0 OR size(words) > 0").withColumn("no", F.monotonically_increasing_id())
-    asked = asked.withColumn("qno", F.min("no").over(Window.partitionBy("langs", "words"))).checkpoint()
-    chunks = table(spark, sf_dir, "chunks").select("id", "source_file", "language_json", *[c for c in FIELD_WEIGHTS if c != "source_file"])
-    index = retrieval.build_index(chunks.orderBy("id").withColumn("no", F.monotonically_increasing_id()), "no", FIELD_WEIGHTS, "language_json", also=("source_file",))
-    forms = retrieval.gated(asked.where("no = qno"), "qno", "langs", "words")
-    both = [form.select((2 * F.col("qno") + at).alias("_q"), "groups", F.lit(None).cast("array<string>").alias("without"), "gate") for at, form in enumerate(forms)]
-    found = retrieval.matches(index, "no", both[0].unionByName(both[1]).where("size(groups) > 0"), 2 * seeds)
-    found = found.withColumn("qno", F.shiftright("_q", 1)).repartition("qno")
-    first = F.row_number().over(Window.partitionBy("qno", "_q").orderBy(F.desc("score"), "id"))
+    given = table(spark, sf_dir, "call_contexts").withColumns({"langs": languages.infer_languages(*map(F.col, CALL)), "words": calls.call_terms(*map(F.col, (*CALL, "transcript_tail")))})
+    given = given.withColumn("_ask", F.when(F.expr("size(langs) > 0 OR size(words) > 0"), F.substring(F.unhex(F.sha2(F.to_json(F.struct("langs", "words")), 256)), 1, 16)))
+    head = F.when(F.col("tool_name") == "Bash", calls.effective_head(F.col("command"))).alias("head")
+    asked = given.select("call_id", "session_id", "called_at", "tool_name", head, "_ask").dropDuplicates(["call_id"]).where("_ask IS NOT NULL").withColumn("no", F.monotonically_increasing_id()).checkpoint()
+    forms = F.array(*[F.struct(F.lit(bytes([at])).alias("form"), form.alias("of")) for at, form in enumerate(retrieval.gated_forms("langs", "words"))])
+    queries = given.where("_ask IS NOT NULL").select("_ask", F.explode(forms).alias("_f")).where("_f.of IS NOT NULL AND size(_f.of.groups) > 0")
+    queries = packs.written(queries.select(F.concat("_ask", "_f.form").alias("_q"), "_f.of.groups", F.lit(None).cast("array<string>").alias("without"), "_f.of.gate"), once="_q")
+    chunks = packs.in_order(table(spark, sf_dir, "chunks").select("id", "source_file", "language_json", *[c for c in FIELD_WEIGHTS if c != "source_file"]), "id")
+    index = retrieval.build_index(chunks.withColumn("no", F.monotonically_increasing_id()), "no", FIELD_WEIGHTS, "language_json", also=("source_file",))
+    found = retrieval.matches(index, "no", queries, 2 * seeds).withColumn("_ask", F.substring("_q", 1, 16)).repartition("_ask")
+    first = F.row_number().over(Window.partitionBy("_ask", "_q").orderBy(F.desc("score"), "id"))
     lists = found.withColumn("rank", first).where(F.col("rank") <= 2 * seeds)
-    best = retrieval.ranked(retrieval.fuse([lists], "qno", "id", n=2).withColumn("fused", F.round("fused", 9)), "qno", "fused", "id", seeds)
-    sources = best.join(index.select(F.col("no").alias("id"), "source_file"), "id").select("qno", "source_file").where("source_file IS NOT NULL").distinct().checkpoint()
-    return asked.drop("langs", "words").join(sources, "qno").drop("qno")
+    best = retrieval.ranked(retrieval.fuse([lists], "_ask", "id", n=2).withColumn("fused", F.round("fused", 9)), "_ask", "fused", "id", seeds)
+    places = index.where("source_file IS NOT NULL").select(F.col("no").alias("id"), "source_file")
+    if known is not None:
+        places = places.join(known, "source_file").drop("source_file")
+    return asked.join(best.select("_ask", "id").join(places, "id").drop("id").distinct().checkpoint(), "_ask").drop("_ask")
 
 
 def split_chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -52,15 +56,16 @@ def split_chunks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return chunks.where("NOT _other").drop("_other"), chunks.where("_other").drop("_other")
 
 
-def shown_sources(found: DataFrame) -> DataFrame:
-    """``no, call_id, source_file, first``: whether a call is the first of its session that finds the source. Others get its pinned chunks alone."""
+def shown_sources(found: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """``no, call_id, source_file, first`` and the columns ``also``: whether a call is the first of its session that finds the source. Others get its pinned chunks alone."""
     order = Window.partitionBy("session_id", "source_file").orderBy("called_at", "call_id")
-    return found.select("no", "call_id", "source_file", "session_id", "called_at").withColumn("first", F.row_number().over(order) == 1).drop("session_id", "called_at")
+    return found.select("no", "call_id", "source_file", "session_id", "called_at", *also).withColumn("first", F.row_number().over(order) == 1).drop("session_id", "called_at")
 
 
 def shown_others(found: DataFrame, others: DataFrame) -> DataFrame:
     """``no, call_id, source_file, id, body`` of the chunks for which each has to be looked at; those whose condition does not hold for a call are not seen."""
-    holds = ~F.col("is_universal") | F.col("applies_when_json").isNull() | calls.applies(F.col("applies_when_json"), F.col("tool_name"), F.col("command"))
+    head = F.col("head") if "head" in found.columns else calls.effective_head(F.col("command"))
+    holds = ~F.col("is_universal") | F.col("applies_when_json").isNull() | calls.applies_to(F.col("applies_when_json"), F.col("tool_name"), head)
     shown = sessions.first_in_session(found.join(others, "source_file").where(holds), "session_id", "id", ["called_at", "call_id"], always=F.col("is_universal"))
     return shown.select("no", "call_id", "source_file", "id", "body")
 
@@ -135,10 +140,18 @@ def chain_call_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def chain_session_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each session: calls, those that got anything, and the chunks that they were shown."""
-    found, (plain, others) = found_sources(spark, sf_dir), split_chunks(spark, sf_dir)
-    tally = plain.groupBy("source_file").agg(F.count(F.lit(1)).alias("whole"), F.count(F.when(F.col("is_universal"), 1)).alias("pinned"))
-    shown = shown_sources(found).join(tally, "source_file").select("call_id", F.when(F.col("first"), F.col("whole")).otherwise(F.col("pinned")).alias("n")).where("n > 0")
-    got = shown.unionAll(shown_others(found, others).select("call_id", F.lit(1).alias("n"))).groupBy("call_id").agg(F.sum("n").alias("n"))
+    """Of each session: calls, those that got anything, and the chunks that they were shown.
+
+    A source is known by a number, and with it go how many chunks it has to show and whether others have to be looked at.
+    """
+    plain, others = split_chunks(spark, sf_dir)
+    count = lambda condition: F.count(F.when(F.expr(condition), 1))
+    every = plain.select("source_file", "is_universal", F.lit(False).alias("_other")).unionAll(others.select("source_file", "is_universal", F.lit(True)))
+    known = every.where("source_file IS NOT NULL").groupBy("source_file").agg(count("NOT _other").alias("whole"), count("NOT _other AND is_universal").alias("pinned"), F.max("_other").alias("more"))
+    known = known.withColumn("source", F.monotonically_increasing_id()).checkpoint()
+    found = found_sources(spark, sf_dir, known=known).withColumnRenamed("source", "source_file")
+    shown = shown_sources(found, ("whole", "pinned")).select("call_id", F.when(F.col("first"), F.col("whole")).otherwise(F.col("pinned")).alias("n")).where("n > 0")
+    others = others.join(known.select("source_file", "source"), "source_file").drop("source_file").withColumnRenamed("source", "source_file")
+    got = shown.unionAll(shown_others(found.where("more"), others).select("call_id", F.lit(1).alias("n"))).groupBy("call_id").agg(F.sum("n").alias("n"))
     rows = table(spark, sf_dir, "call_contexts").select("call_id", "session_id").dropDuplicates(["call_id"]).join(got, "call_id", "left")
     return rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("calls"), F.count("n").alias("answered"), F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"))

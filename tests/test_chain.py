@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shardleaf.catalog import QUERIES
 from shardleaf.functions import calls
+from shardleaf.operators import packs
 from shardleaf.plans import chain
 from shardleaf.streaming import sessions
 
@@ -22,6 +23,28 @@ def test_what_the_chain_shuffles_stays_small(spark, name):
     assert written() - before < 3_000_000
 
 
+def test_shares_of_sessions_take_little_disk(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf_dir):
+        pytest.skip("no test tables here")
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    taken = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite() + sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(folder) for f in names)
+    before = taken()
+    assert QUERIES["chain_session_shares"](spark, sf_dir).collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    assert taken() - before < 1_200_000
+
+
+def test_rows_come_out_of_packs_as_they_went_in(spark):
+    rows = [(i % 3, i // 2, None if i == 4 else [["a", "b"], [], [f"w{i}"]], None if i == 5 else ["x", None], f"t{i}" if i % 2 else None) for i in range(9)]
+    df = spark.createDataFrame(rows, "_part int, q long, lists array<array<string>>, words array<string>, t string").coalesce(1)
+    key = lambda r: repr(tuple(r))
+    assert sorted(map(key, packs.unpacked(packs.packed(df, most=1), df.drop("_part").schema).collect())) == sorted(repr(r[1:]) for r in rows)
+    assert sorted(r.q for r in packs.written(df.drop("_part"), once="q").collect()) == [0, 1, 2, 3, 4]
+    ids = spark.createDataFrame([(None if i % 50 == 0 else f"{i * 7919 % 1000:04}", i) for i in range(1000)], "id string, i int").repartition(3)
+    assert [r.id for r in packs.in_order(ids, "id", part_rows=100).collect()] == [r.id for r in ids.orderBy("id").collect()]
+
+
 def test_chain_gives_what_looking_at_each_chunk_gives(spark):
     """Also for chunks that come twice, have a condition, no body or nothing that says whether they are pinned."""
     chunks = spark.createDataFrame(
